@@ -1,13 +1,15 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation of word bigrams.
 
-A text is a sequence of words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and then one end. The model spells each word byte
-by byte with an end-of-word symbol; the probability of a symbol mixes maximum-likelihood estimates of the n-grams of 1 to
-ORDER symbols and an even share. The weights of the mixture depend on a bucket of the context's frequency and are learned
-by expectation-maximisation on the counts of a held-out slice, whose own counts are left out of the n-grams meanwhile.
+A text is a sequence of words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and then one end; words that training doesn't have
+are one more symbol. The probability of a word w after v (or after the start) mixes the maximum-likelihood estimates
+c(v, w) / c(v) and c(w) / N and the even share 1 / (V + 1). The weights depend on a bucket of the context's frequency c(v)
+and are learned by expectation-maximisation on the counts of a held-out slice of the training documents, whose own counts
+are left out of the estimates meanwhile.
 
-Counts are exchanged as arrays: every block of documents asks for the words and n-grams that it holds, one row for each
+Counts are exchanged as arrays: every block of documents asks for the words and bigrams that it holds, one row for each
 slice of the key space, with its own counts; a slice sums the counts of all blocks and answers in the order of the asking.
-No table of counts is sent to every task, so vocabulary may grow with the corpus.
+No table of counts is sent to every task, so the vocabulary may grow with the corpus. A key is 64 bits of hash: those
+that choose its slice and 48 within it; slices are bounded, so the chance that two keys of a slice meet is below 1 %.
 """
 
 from __future__ import annotations
@@ -19,236 +21,172 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, kept, small_batches
-from .tokens import chunks, mix, spans, utf8
-
-ORDER = 4
-SYMBOLS = 258  # bytes, end of word (256), end of text (257)
-BUCKETS = 24
-STEPS = 40
-#: Text bytes of a block, and distinct keys of a slice of the key space, about.
-BLOCK_BYTES = 12_000_000
+from .tokens import chunks, mix, utf8, words
+
+#: Text bytes of a block of documents, about; slices of the key space for each block.
+BLOCK_BYTES, SLICES = 16_000_000, 2
+#: Frequencies of contexts, in powers of two, with a bucket each; 0 is a context that was never seen.
+BUCKETS = 28
+#: Held-out estimates are grouped by steps of 1/20 of a power of ten, 0 apart: at most BUCKETS * GRID**2 groups.
+GRID = 200
+STEPS = 100
 _U = np.uint64
-_END_KEY = _U(0x5DEECE66D1234567)
+_END = np.full(1, 0x5DEECE66D1234567, _U)
 
 
 class Block:
-    """Words and n-grams of a block of documents, as arrays; the same for any order of its rows."""
+    """Words and bigrams of a block of documents as sorted keys; the same for any order of its rows."""
 
-    def __init__(self, text: pa.Array):
+    def __init__(self, text: pa.Array, slices: int):
         flat, offsets = utf8(text)
-        hashes, firsts, lasts, row = [], [], [], [np.zeros(1, np.int64)]
+        parts, ends = [np.zeros(0, _U)], [np.zeros(1, np.int64)]
         for a, b in chunks(offsets):
-            h, s, e, at = spans(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            hashes.append(h)
-            firsts.append(s + offsets[a])
-            lasts.append(e + offsets[a])
-            row.append(row[-1][-1] + at[1:])
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.at = np.concatenate(row)
-        self.words, first, self.word_of = np.unique(join(hashes, _U), return_index=True, return_inverse=True)
-        starts, ends = join(firsts, np.int64)[first], join(lasts, np.int64)[first]
-        self._spell(flat, starts, ends)
-
-    def _spell(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Symbols of the distinct words and, as the last, of the end; an n-gram's key for each symbol and order."""
-        size = np.append(ends - starts + 1, 1)
-        self.start = np.cumsum(size) - size
-        symbol = np.full(int(size.sum()), 256, np.int64)
-        inside = np.ones(len(symbol), bool)
-        inside[self.start + size - 1] = False
-        if len(starts):
-            place = np.arange(len(symbol)) - np.repeat(self.start, size) + np.repeat(np.append(starts, 0), size)
-            raw = flat[place[inside]].astype(np.int64)
-            symbol[inside] = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
-        symbol[-1] = 257
-        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        depth = np.arange(len(symbol)) - np.repeat(self.start, size)
-        self.keys, self.key_of = [], []
-        exact, rank, ranks = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64), 1
-        for n in range(ORDER):
-            if n:  # one symbol further back; 259 before the word's start
-                back = np.where(depth >= n, np.concatenate([np.full(n, 259), symbol[:-n]])[: len(symbol)], 259)
-                exact = exact * 260 + back
-                rank, ranks = _dense(rank * 260 + back, ranks * 260)
-            gram, grams = _dense(rank * 260 + symbol, ranks * 260)
-            for of, size_, code in ((gram, grams, exact * 260 + symbol), (rank, ranks, exact)):  # n-grams of n + 1 symbols, then their contexts
-                name = np.empty(size_, np.int64)
-                name[of] = code
-                self.keys.append(mix(name.astype(_U) * _U(8) + _U(2 * n + (of is rank) + 0x1234560)))
-                self.key_of.append(of.astype(np.int32))
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """All keys, sorted, and where the words, the end and each family of n-grams stand among them."""
-        every = np.concatenate([self.words, [_END_KEY], *self.keys])
-        order = np.argsort(every, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return every[order], place
+            hashes, at = words(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            parts.append(hashes)
+            ends.append(ends[-1][-1] + at[1:])
+        #: Places of the documents among tokens; each has its words and then the end.
+        self.at = np.concatenate(ends)
+        self.at += np.arange(len(self.at))
+        tokens = np.empty(self.at[-1], _U)
+        last = np.zeros(len(tokens), bool)
+        last[self.at[1:] - 1] = True
+        tokens[~last] = np.concatenate(parts)
+        tokens[last] = _END
+        before = np.concatenate([_END, tokens[:-1]])  # the start has the end's count
+        pairs = mix(before * _U(0x9FB21C651E98DF25) + tokens)
+        self.word_keys, self.word_of = np.unique(_keys(tokens, slices), return_inverse=True)
+        self.pair_keys, self.pair_of = np.unique(_keys(pairs, slices), return_inverse=True)
+        self.before = np.concatenate([self.word_of[last][:1], self.word_of[:-1]])
+        both = np.concatenate([self.word_keys, self.pair_keys])
+        order = np.argsort(both, kind="stable")
+        self.keys, self.is_word = both[order], order < len(self.word_keys)
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
 
     def counts(self, documents: np.ndarray) -> np.ndarray:
-        """Of each key of :meth:`asked` before sorting, the occurrences in the marked documents."""
+        """Of each of ``keys``, the occurrences in the marked documents."""
         each = np.repeat(documents, np.diff(self.at))
-        n = np.append(np.bincount(self.word_of[each], minlength=len(self.words)), documents.sum())
-        symbols = n[self.owner]
-        return np.concatenate([n, *[np.bincount(of, weights=symbols, minlength=len(k)).astype(np.int64) for k, of in zip(self.keys, self.key_of, strict=True)]])
+        out = np.empty(len(self.keys), np.int64)
+        out[self.place] = np.concatenate([np.bincount(of[each], minlength=len(k)) for of, k in ((self.word_of, self.word_keys), (self.pair_of, self.pair_keys))])
+        return out
 
+    def known(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """c(w), c(v, w) and c(v) of every token, from the counts of ``keys``."""
+        own = counts[self.place]
+        one, two = own[: len(self.word_keys)], own[len(self.word_keys) :]
+        return one[self.word_of], two[self.pair_of], one[self.before]
 
-def _dense(code: np.ndarray, most: int) -> tuple[np.ndarray, int]:
-    """Codes below ``most`` as numbers from 0 without gaps, and how many there are."""
-    if most > 8 * len(code) + 1_000_000:
-        found, of = np.unique(code, return_inverse=True)
-        return of, len(found)
-    there = np.zeros(most, bool)
-    there[code] = True
-    return (np.cumsum(there) - 1)[code], int(there.sum())
 
-
-def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
-    return ((keys >> _U(32)) * _U(slices) >> _U(32)).astype(np.int64)
+def _keys(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The slice in the upper 16 bits' place and 48 bits of the hash below it."""
+    return ((hashes >> _U(40)) * _U(slices) >> _U(24)) << _U(48) | mix(hashes) >> _U(16)
 
 
 def _asking(slices: int):
     def run(group: pa.Table) -> pa.Table:
-        block = Block(group["text"].combine_chunks())
-        keys, place = block.asked()
+        block = Block(group["text"].combine_chunks(), slices)
         use = group["use"].to_numpy()
-        sums = []
-        for mine in (use == 0, (use == 0) | (use == 1)):  # fitted on; all that may be learned from
-            n = np.empty(len(keys), np.int64)
-            n[place] = block.counts(mine)
-            sums.append(n)
-        word = np.zeros(len(keys), bool)
-        word[place[: len(block.words) + 1]] = True
-        cut = np.searchsorted(_slice_of(keys, slices), np.arange(slices + 1)).astype(np.int32)
+        cut = np.searchsorted(block.keys >> _U(48), np.arange(slices + 1, dtype=_U)).astype(np.int32)
         some = np.flatnonzero(np.diff(cut))
-        ends = pa.array(np.append(cut[:-1][some], cut[-1]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys.view(np.int64), *sums, word)]
+        ends = pa.array(np.append(cut[some], cut[-1]).astype(np.int32))
+        low, high = (block.keys & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), (block.keys >> _U(32) & _U(0xFFFF)).astype(np.uint16).view(np.int16)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (low, high, block.counts(use == 0).astype(np.int32), block.counts(use < 2).astype(np.int32), block.is_word)]
         name = pa.array(np.full(len(some), group["block"][0].as_py()), pa.int64())
-        return pa.table([pa.array(some, pa.int64()), name, *lists], names=["slice", "block", "keys", "fit", "train", "word"])
+        return pa.table([pa.array(some, pa.int64()), name, *lists], names=["slice", "block", "low", "high", "fit", "train", "word"])
 
     return run
 
 
+ASKED = "slice long, block long, low array<int>, high array<smallint>, fit array<int>, train array<int>, word array<boolean>"
+ANSWERED = "block long, slice long, fit array<bigint>, train array<bigint>"
+
+
 def _answer(group: pa.Table) -> pa.Table:
-    """Sums of a slice, to each block in the order of its keys; block -1 has tokens and distinct words of training."""
-    columns = {n: group[n].combine_chunks() for n in ("keys", "fit", "train", "word")}
-    size = np.diff(np.asarray(columns["keys"].offsets))
-    keys, of = np.unique(columns["keys"].flatten().to_numpy().view(_U), return_inverse=True)
-    out = [np.bincount(of, weights=columns[n].flatten().to_numpy(), minlength=len(keys)).astype(np.int64) for n in ("fit", "train")]
+    """Sums of a slice, to each block in the order of its keys; block -1 has the slice's tokens and distinct words."""
+    lists = {n: group[n].combine_chunks() for n in ("low", "high", "fit", "train", "word")}
+    flat = {n: x.flatten().to_numpy(zero_copy_only=False) for n, x in lists.items()}
+    size = np.diff(np.asarray(lists["low"].offsets))
+    keys, of = np.unique(flat["low"].view(np.uint32).astype(_U) | flat["high"].view(np.uint16).astype(_U) << _U(32), return_inverse=True)
     word = np.zeros(len(keys), bool)
-    word[of[columns["word"].flatten().to_numpy(zero_copy_only=False)]] = True
-    ends = pa.array(np.concatenate([[0], np.cumsum(size), [len(of) + 1]]).astype(np.int32))
-    facts = [[(out[i][word]).sum(), (out[i][word] > 0).sum()] for i in (0, 1)]
-    lists = [pa.ListArray.from_arrays(ends, pa.array(np.append(x[of], total))) for x, total in ((out[0], facts[1][0]), (out[1], facts[1][1]))]
+    word[of[flat["word"]]] = True
+    ends = pa.array(np.concatenate([[0], np.cumsum(size), [len(of) + 2]]).astype(np.int32))
+    made = []
+    for n in ("fit", "train"):
+        total = np.bincount(of, weights=flat[n], minlength=len(keys)).astype(np.int64)
+        made.append(pa.ListArray.from_arrays(ends, pa.array(np.append(total[of], [total[word].sum(), (total[word] > 0).sum()]))))
     slices = pa.array(np.full(len(size) + 1, group["slice"][0].as_py()), pa.int64())
-    return pa.table([pa.concat_arrays([group["block"].combine_chunks(), pa.array([-1], pa.int64())]), slices, *lists], names=["block", "slice", "fit", "train"])
-
-
-def _answers(table: pa.Table) -> dict[str, np.ndarray]:
-    """A block's answers, in the order of its sorted keys."""
-    table = table.sort_by("slice")
-    return {n: table[n].combine_chunks().flatten().to_numpy() for n in ("fit", "train")}
-
-
-class Known:
-    """A block with its answers put back to words and symbols."""
-
-    def __init__(self, texts: pa.Table, answers: pa.Table):
-        self.block = Block(texts["text"].combine_chunks())
-        _, place = self.block.asked()
-        self.counts = {n: x[place] for n, x in _answers(answers).items()}
-
-    def words(self, which: str) -> np.ndarray:
-        return self.counts[which][: len(self.block.words) + 1]
-
-    def symbols(self, which: str) -> tuple[np.ndarray, np.ndarray]:
-        """For each symbol: counts of its n-grams and of their contexts, orders 1 to ORDER (order 1's context: all symbols)."""
-        at = len(self.block.words) + 1
-        families = []
-        for keys, of in zip(self.block.keys, self.block.key_of, strict=True):
-            families.append(self.counts[which][at : at + len(keys)][of])
-            at += len(keys)
-        return np.stack(families[0::2]), np.stack(families[1::2])
-
-
-def estimates(n: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of orders 0 (even) to ORDER for each symbol, and its bucket: by the frequency of the longest context
-    that has been seen, and by its length."""
-    rows = [np.full(n.shape[1], 1 / SYMBOLS), *(n / np.maximum(context, 1))]
-    longest = (context > 0).sum(axis=0) - 1
-    seen = np.maximum(context[np.maximum(longest, 0), np.arange(n.shape[1])], 1)
-    level = np.minimum(np.log2(seen).astype(np.int64), BUCKETS - 1)
-    return np.stack(rows), np.maximum(longest, 0) * BUCKETS + level
-
-
-def _held(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """The longest n-grams of a held-out block: occurrences, bucket and estimates without the held-out slice."""
-    known = Known(texts, answers)
-    block = known.block
-    times = block.counts(np.ones(len(block.at) - 1, bool))[: len(block.words) + 1][block.owner]
-    keys, of = block.keys[-2], block.key_of[-2]
-    first = np.zeros(len(keys), np.int64)
-    first[of] = np.arange(len(of))
-    n, context = known.symbols("fit")
-    rows, bucket = estimates(n[:, first], context[:, first])
-    f = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (ORDER + 1)), pa.array(rows.T.ravel()))
-    return pa.table([pa.array(keys.view(np.int64)), pa.array(np.bincount(of, weights=times, minlength=len(keys)).astype(np.int64)), pa.array(bucket), f], names=["gram", "times", "bucket", "f"])
-
-
-def learn_weights(held: DataFrame, steps: int = STEPS, tolerance: float = 1e-5) -> np.ndarray:
-    """Weights of orders 0 to ORDER for each bucket, by EM on held-out n-gram counts (gram, times, bucket, f).
-
-    Every step is one aggregation by bucket; only the expected counts of the buckets come to the driver."""
-    weights = np.full((ORDER * BUCKETS, ORDER + 1), 1 / (ORDER + 1))
-    last = -np.inf
-    for _ in range(steps):
-        parts = [F.get(F.lit(weights[:, i].tolist()), F.col("bucket").cast("int")) * F.col("f")[i] for i in range(ORDER + 1)]
-        p = sum(parts[1:], parts[0])
-        with_p = held.withColumns({f"p{i}": x for i, x in enumerate(parts)}).withColumn("p", p)
-        rows = with_p.groupBy("bucket").agg(*[F.sum(F.col("times") * F.col(f"p{i}") / F.col("p")).alias(f"p{i}") for i in range(ORDER + 1)], F.sum(F.col("times") * F.log("p")).alias("ll")).collect()
-        for r in rows:
-            got = np.array([r[f"p{i}"] for i in range(ORDER + 1)])
-            weights[r["bucket"]] = (got + 0.01) / (got + 0.01).sum()
-        now = sum(r["ll"] for r in rows)
-        if not rows or now - last < tolerance * abs(now):
-            break
-        last = now
-    return weights
+    return pa.table([pa.concat_arrays([group["block"].combine_chunks(), pa.array([-1], pa.int64())]), slices, *made], names=["block", "slice", "fit", "train"])
+
+
+def _answers(answers: pa.Table, name: str) -> np.ndarray:
+    """A block's answers, in the order of its keys."""
+    return answers.sort_by("slice")[name].combine_chunks().flatten().to_numpy()
+
+
+def _bucket(context: np.ndarray) -> np.ndarray:
+    return np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
+
+
+def _grid(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, np.clip(GRID - 1 + np.round(20 * np.log10(np.maximum(p, 1e-300))), 1, GRID - 1), 0).astype(np.int64)
+
 
+def _held(slices: int, fitted: int):
+    """Held-out tokens of a block, counted by context bucket and estimates (without the held-out slice) on the grid."""
 
-def _scored(tokens: int, kinds: int, weights: np.ndarray):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known = Known(texts, answers)
-        block = known.block
-        train = known.words("train")
-        base = np.log10((train + 1) / (tokens + (kinds + 1)))
-        rows, bucket = estimates(*known.symbols("train"))
-        p = np.log10((rows * weights[bucket].T).sum(axis=0))
-        word = np.add.reduceat(p, block.start)
-
-        # summed row by row: a running sum over the block would round differently for equal texts
-        def summed(x: np.ndarray) -> np.ndarray:
-            own = np.append(x[block.word_of], 0.0)
-            out = np.add.reduceat(own, np.minimum(block.at[:-1], len(own) - 1))
-            out[np.diff(block.at) == 0] = 0.0
-            return np.round(out + x[-1], 6)
-
-        n = np.diff(block.at) + 1
-        known_words = summed((train > 0).astype(np.float64)).astype(np.int64)
-        return pa.table(
-            [texts["doc_id"], pc.equal(texts["use"], 2), pa.array(n), pa.array(known_words), pa.array(np.full(len(n), tokens)), pa.array(summed(base)), pa.array(summed(word))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        block = Block(texts["text"].combine_chunks(), slices)
+        one, two, context = block.known(_answers(answers, "fit"))
+        group = (_bucket(context) * GRID + _grid(two / np.maximum(context, 1))) * GRID + _grid(one / max(fitted, 1))
+        groups, times = np.unique(group, return_counts=True)
+        return pa.table([pa.array(groups), pa.array(times)], names=["grp", "times"])
 
     return run
 
 
+def learn_weights(held: dict[int, int], kinds: int, steps: int = STEPS) -> np.ndarray:
+    """Weights of bigram, unigram and even share for each bucket, by EM on held-out counts. The two lowest buckets'
+    neighbours lend a little (0.1 token each way), so empty buckets are even."""
+    group = np.array(sorted(held), np.int64)
+    times = np.array([held[g] for g in group.tolist()], float)
+    grid = np.concatenate([[0.0], 10 ** ((np.arange(1, GRID) - GRID + 1) / 20)])
+    f = np.stack([grid[group // GRID % GRID], grid[group % GRID], np.full(len(group), 1 / (kinds + 1))])
+    bucket = group // GRID**2
+    weights = np.full((3, BUCKETS), 1 / 3)
+    for _ in range(steps):
+        parts = weights[:, bucket] * f
+        share = parts / parts.sum(axis=0)
+        got = np.stack([np.bincount(bucket, weights=times * s, minlength=BUCKETS) for s in share]) + 0.1
+        weights = got / got.sum(axis=0)
+    weights[1:, 0] += weights[0, 0] * weights[1:, 0] / weights[1:, 0].sum()
+    weights[0, 0] = 0
+    return weights
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _scored(slices: int, tokens: int, kinds: int, weights: np.ndarray):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(texts["text"].combine_chunks(), slices)
+        one, two, context = block.known(_answers(answers, "train"))
+        a, b, c = weights[:, _bucket(context)]
+        p = a * two / np.maximum(context, 1) + b * one / max(tokens, 1) + c / (kinds + 1)
+
+        def summed(x: np.ndarray) -> np.ndarray:  # each document by itself: equal texts get equal sums
+            return np.round(np.add.reduceat(x, block.at[:-1]), 6)
+
+        n = np.diff(block.at)
+        base = np.log10((one + 1) / (tokens + (kinds + 1)))
+        columns = [pa.array(n), pa.array(np.add.reduceat((one > 0).astype(np.int64), block.at[:-1])), pa.array(np.full(len(n), tokens)), pa.array(summed(base)), pa.array(summed(np.log10(p)))]
+        return pa.table([texts["doc_id"], pc.equal(texts["use"], 2), *columns], names=[c.split(" ")[0] for c in SCORES.split(", ")])
+
+    return run
+
+
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, use): use 0 is fitted on, 1 gives the held-out counts that the weights are
-    learned from (then it is counted too), 2 is scored only.
+    learned from (after that it is counted too), 2 is scored only.
 
     ``base_score`` is the add-one unigram score over training words, ``score`` the model's log10 probability of the text,
     ``n_known`` the tokens that training has. Null text counts as empty (its end alone). Repeated rows count as often
@@ -257,18 +195,17 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     small_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(8, size // block_bytes)
-    slices = max(8, size // block_bytes * 2)
-    # blocks of use 1 are apart, so that learning weights reads them alone; equal rows may meet, equal texts need not
-    block = F.when(F.col("use") == 1, -2 - F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(2, blocks // 7)))).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    slices = min(60_000, SLICES * blocks)
+    # held-out blocks (below -1) are apart, so that learning the weights reads them alone
+    named = F.xxhash64("doc_id", "text")
+    block = F.when(F.col("use") == 1, -2 - F.pmod(named, F.lit(max(2, blocks // 7)))).otherwise(F.pmod(named, F.lit(blocks)))
     rows = docs.select("doc_id", "text", "use", block.cast("long").alias("block"))
-    asked = rows.groupBy("block").applyInArrow(_asking(slices), "slice long, block long, keys array<bigint>, fit array<bigint>, train array<bigint>, word array<boolean>")
-    answers = kept(asked.groupBy("slice").applyInArrow(_answer, "block long, slice long, fit array<bigint>, train array<bigint>"), "answers")
-    tokens, kinds = (int(x or 0) for x in answers.where("block = -1").agg(F.sum(F.col("fit")[0]), F.sum(F.col("train")[0])).first())
+    answers = kept(rows.groupBy("block").applyInArrow(_asking(slices), ASKED).groupBy("slice").applyInArrow(_answer, ANSWERED), "answers")
+    fitted, tokens, kinds = (int(x or 0) for x in answers.where("block = -1").agg(F.sum(F.col("fit")[0]), F.sum(F.col("train")[0]), F.sum(F.col("train")[1])).first())
     mine = answers.where("block <> -1")
-    held_rows, held_answers = rows.where("use = 1").groupBy("block"), mine.where("block < -1").groupBy("block")
-    held = held_rows.cogroup(held_answers).applyInArrow(_held, "gram long, times long, bucket long, f array<double>")
-    weights = learn_weights(kept(held.groupBy("gram").agg(F.sum("times").alias("times"), F.first("bucket").alias("bucket"), F.first("f").alias("f")), "held"))
-    return rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_scored(tokens, kinds, weights), SCORES)
+    held = rows.where("use = 1").groupBy("block").cogroup(mine.where("block < -1").groupBy("block")).applyInArrow(_held(slices, fitted), "grp long, times long")
+    weights = learn_weights(dict(map(tuple, held.groupBy("grp").agg(F.sum("times")).collect())), kinds)
+    return rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_scored(slices, tokens, kinds, weights), SCORES)
 
 
 def scores(docs: DataFrame) -> DataFrame:
