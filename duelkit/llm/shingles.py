@@ -120,6 +120,41 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _open(told: DataFrame) -> DataFrame:
+    """Rows (band, doc, n, comp, ...) of the buckets that hold several components."""
+    several = told.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    return told.join(several, "band")
+
+
+def _bounded(active: DataFrame, texts: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
+    """Adds ``alone``: how many of a document's shingles no document of another component holds, among those of ``active``.
+
+    A link to another component shares none of these. Documents with too many of them can't have one and go, exactly;
+    then the rest holds fewer shingles, so it is done again."""
+    for _ in range(rounds):
+        active = kept(active.select("band", "doc", "n", "comp"), "active")
+        docs = active.select("doc", "comp").distinct()
+        own = texts.join(docs, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text").mapInArrow(_shingled, "doc long, shingle long").join(docs, "doc")
+        held = own.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
+        common = own.join(held, "shingle").groupBy("doc").agg(F.count("*").alias("common"))
+        alone = F.col("n") - F.coalesce("common", F.lit(0))
+        active = _open(active.join(common, "doc", "left").withColumn("alone", alone).where(F.expr(f"100 * (n - alone) >= {threshold} * n")))
+    return kept(active, "active")
+
+
+def _across(active: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and that the bounds allow; each pair once, from the
+    first bucket that it shares."""
+    bands = active.groupBy("doc").agg(F.collect_list("band").alias("bands"))  # BANDS at most
+    one = active.join(bands, "doc")
+    two = one.select(*[F.col(c).alias(c + "2") for c in ("band", "doc", "n", "comp", "alone", "bands")])
+    most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))
+    allowed = (F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & (100 * most >= threshold * (F.col("n") + F.col("n2") - most))
+    first = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
+    met = one.join(two, (F.col("band") == F.col("band2")) & allowed & first)
+    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -153,18 +188,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", do
     links = kept(verify(star, texts, threshold), "links")
     comp = components(links)
 
-    told = live.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    open_bands = told.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    active = kept(told.join(open_bands, "band").select("band", "doc", "n", "comp"), "active")
+    told = live.join(comp, "doc", "left").select("band", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
+    active = _bounded(_open(told), texts, threshold)
     if active.limit(1).count():
-        own = texts.join(active.select("doc").distinct(), "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text").mapInArrow(_shingled, "doc long, shingle long")
-        alone = own.groupBy("shingle").agg(F.min("doc").alias("doc"), F.count("*").alias("holders")).where("holders = 1").groupBy("doc").agg(F.count("*").alias("alone"))
-        bound = active.join(alone, "doc", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where(F.expr(f"100 * (n - alone) >= {threshold} * n"))
-        bound = kept(bound, "bound")
-        other = bound.select("band", *[F.col(c).alias(c + "2") for c in ("doc", "n", "comp", "alone")])
-        most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))
-        rest = bound.join(other, "band").where((F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & (100 * most >= threshold * (F.col("n") + F.col("n2") - most)))
-        more = kept(verify(rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct(), texts, threshold), "links")
+        more = kept(verify(_across(active, threshold), texts, threshold), "links")
         if more.limit(1).count():
             comp = components(links.unionByName(more))
     out = member.join(comp.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
