@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -15,14 +17,25 @@ from tokenizers import Tokenizer
 from .common import small_batches
 
 #: Words whose ids a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 SCHEMA = "row_key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
 
 
+#: Marks that can join an ASCII letter; in texts that have one, case isn't folded before looking words up.
+_MARK = re.compile("[\u0300-\u036f]")
+
+
+#: Words of Latin letters that fold and compose one by one, perhaps with a stop or comma.
+_PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+#: The letters by which byte-level models write bytes that aren't printable: 256 and on, in order.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
 class _Ids(dict):
-    """The ids of a blank-free chunk as little-endian 32-bit integers.
+    """The ids of a chunk without blanks and line feeds, as little-endian 32-bit integers.
 
-    The tokenizer never lets a token cross white space, so the ids of a text are those of its chunks in order."""
+    The tokenizer never lets a token cross white space, so the ids of a text are those of its chunks in order, and
+    many new chunks are encoded at once, with blanks between them; a token's offset tells its chunk."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -32,19 +45,49 @@ class _Ids(dict):
     def learn(self, chunks: set[str]) -> None:
         if len(self) + len(chunks) > CACHE_WORDS:
             self.clear()
-        new = [c for c in chunks if c not in self]
-        for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(got.ids, "<u4").tobytes()
+        new = {c for c in chunks if c not in self}
+        plain = {c for c in new if _PLAIN.fullmatch(c)}
+        self._learn_mixed([*(new - plain), *(c for c in ".," if c not in self and c not in new)])
+        tokenize = self.tokenizer.model.tokenize
+        for chunk in plain:  # letters are one word for the model; a stop or comma is one of its own
+            word = chunk.rstrip(".,")
+            if word not in self:
+                self[word] = struct.pack(f"<{len(got)}I", *got) if (got := [t.id for t in tokenize(word.lower().encode().decode("latin-1").translate(_BYTES))]) else b""
+            if word != chunk:
+                self[chunk] = self[word] + self[chunk[-1]]
+
+    def _learn_mixed(self, new: list[str]) -> None:
+        for i in range(0, len(new), 5000):
+            part = new[i : i + 5000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            size = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            cut = (4 * np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)]))).tolist()
+            data = np.array(got.ids, "<u4").tobytes()
+            self.update((c, data[cut[k] : cut[k + 1]]) for k, c in enumerate(part))
 
 
 _CACHES: dict[str, _Ids] = {}
 
 
-def token_bytes(text: str | None, ids: _Ids, end: int) -> bytes:
-    """The ids of a text and then ``end``, four bytes each. Null text is empty."""
-    chunks = (text or "").replace("\n", " ").split(" ")
-    ids.learn(set(chunks))
-    return b"".join(map(ids.__getitem__, chunks)) + np.array([end], "<u4").tobytes()
+def split(text: str | None) -> list[str]:
+    """The chunks of a text (null: empty) between blanks and line feeds.
+
+    The tokenizer folds case itself; folding A-Z first makes more chunks equal and changes no id, unless a mark follows."""
+    text = text or ""
+    if not _MARK.search(text):
+        text = text.encode().lower().decode()  # bytes fold A-Z alone
+    return text.replace("\n", " ").split(" ")
+
+
+def token_bytes(texts: list[str | None], ids: _Ids, end: int) -> Iterator[bytes]:
+    """For each text its ids and then ``end``, four bytes each."""
+    last = np.array([end], "<u4").tobytes()
+    for i in range(0, len(texts), 32):
+        chunks = [split(t) for t in texts[i : i + 32]]
+        ids.learn(set().union(*chunks))
+        for own in chunks:
+            yield b"".join(map(ids.__getitem__, own)) + last
 
 
 def pieces(n: int, most: int) -> list[int]:
@@ -71,8 +114,7 @@ def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str =
         ids = _CACHES[path]
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(8)]
-            for key, doc, body in zip(batch["k"].to_pylist(), batch["d"].to_pylist(), batch["t"], strict=True):
-                data = token_bytes(body.as_py(), ids, end)
+            for key, doc, data in zip(batch["k"].to_pylist(), batch["d"].to_pylist(), token_bytes(batch["t"].to_pylist(), ids, end), strict=True):
                 n, at = len(data) // 4, 0
                 for length in pieces(n, most):
                     crc = zlib.crc32(data[4 * at : 4 * (at + length)])
