@@ -61,11 +61,13 @@ def _below(cuts: list[int]) -> Column:
     return let(coarse, lambda n: n + F.size(F.filter(F.slice(every, n + 1, step), lambda c: c < F.col("at"))))
 
 
-NEIGHBOURS = Window.partitionBy("bucket").orderBy("ghost", F.desc("at"), "text")
+def neighbours() -> Window:
+    """Documents of a bucket in descending order of ids, ghosts last."""
+    return Window.partitionBy("bucket").orderBy("ghost", F.desc("at"), "text")
 
 
 def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``docs`` (doc_id, text) dealt into buckets, so that ``lead`` over ``NEIGHBOURS`` is the next document in descending
+    """``docs`` (doc_id, text) dealt into buckets, so that ``lead`` over :func:`neighbours` is the next document in descending
     order of ids (ties: by text; null ids last; after the last: the first). Rows with ``ghost`` are to be dropped then.
 
     Ids are cut into buckets at quantiles that are ids themselves. The document at the top of a bucket also goes, as a
@@ -90,8 +92,8 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """One row per document: its anchors and those of its edited text, whose last half is the next document's start."""
-    pairs = with_next(docs.select("doc_id", "text")).withColumn("next_text", F.lead("text").over(NEIGHBOURS))
-    made = pairs.withColumn("anchors", anchors(F.col("text"), k, s)).withColumn("next_anchors", F.lead("anchors").over(NEIGHBOURS)).where("not ghost")
+    pairs = with_next(docs.select("doc_id", "text")).withColumn("next_text", F.lead("text").over(neighbours()))
+    made = pairs.withColumn("anchors", anchors(F.col("text"), k, s)).withColumn("next_anchors", F.lead("anchors").over(neighbours())).where("not ghost")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
