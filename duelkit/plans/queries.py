@@ -411,11 +411,11 @@ def choose_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bets(spark, sf_dir)
 
 
-@register(BETS + " SELECT match_idx, CASE WHEN bet_won = 1 THEN 1 ELSE 0 END AS win_majority, round(confidence + 0.04, 7) AS confidence, stake, bet_won FROM bets")
+@register(BETS + " SELECT match_idx, CASE WHEN bet_won = 1 THEN 1 ELSE 0 END AS win_majority, round(confidence + 0.04, 11) AS confidence, stake, bet_won FROM bets")
 def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven models that differ in confidence only, by 0.01 each around the fourth."""
     models = _bets(spark, sf_dir).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("confidence", F.col("confidence") + F.col("model") / 100)
-    return bets.ensemble_vote(models).select("match_idx", "win_majority", F.round("confidence", 7).alias("confidence"), "stake", "bet_won")
+    return bets.ensemble_vote(models).select("match_idx", "win_majority", F.round("confidence", 11).alias("confidence"), "stake", "bet_won")
 
 
 _STAKED, _FLAT = "round(100 * (sum(stake * PSW * bet_won) - sum(stake)) / nullif(sum(stake), 0), 6)", "round(100 * (sum(PSW * bet_won) - count(*)) / count(*), 6)"
