@@ -284,9 +284,28 @@ def elo_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.top(ratings.final_ratings(matches(spark, sf_dir), ORDER))
 
 
+@register()
+def elo_quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opponents' quality by ratings before the contest: last-ten means and the average over wins."""
+    m = _rated(spark, sf_dir).withColumns({"_w": ratings.elo_for_quality("winner"), "_l": ratings.elo_for_quality("loser")})
+    pm = form.serve_return_metrics(ordering.sides(m, [*ORDER, "_w", "_l"])).withColumn("day", F.datediff("tourney_date", F.lit("1970-01-01").cast("date")))
+    own = F.col("side") == "w"
+    pm = pm.withColumns({"elo": F.when(own, F.col("_w")).otherwise(F.col("_l")), "o_elo": F.when(own, F.col("_l")).otherwise(F.col("_w"))}).drop("_w", "_l")
+    out = form.exponential(form.opponent_quality(pm, ORDER), ORDER, own="elo", other="o_elo")
+    return out.select(KEY, "side", "player_id", "r10_avg_opp_elo_beaten", "r10_upset_win_pct", "r10_bad_loss_pct", "quality_ema", "quality_ema_n")
+
+
 # --- odds
 
-NAMED = "names AS (SELECT *, 'Ann Player' || winner_id AS winner_name, 'Ann Player' || loser_id AS loser_name FROM m)"
+
+@register("SELECT match_num, 'Player' || winner_id || ' A.' AS Winner, PSW, PSL FROM m")
+def read_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odds written as CSV and read back."""
+    path = f"{tables.kept(spark.range(1), 'folder').inputFiles()[0].rsplit('/', 1)[0]}-csv-{uuid.uuid4().hex}"
+    m = matches(spark, sf_dir)
+    rows = m.select(F.col("match_num").alias("Date"), F.concat(F.lit("Player"), "winner_id", F.lit(" A.")).alias("Winner"), F.concat(F.lit("Player"), "loser_id", F.lit(" A.")).alias("Loser"), "PSW", "PSL")
+    tables.write_table(rows, path, "csv", by_year=False)
+    return tables.read_odds(spark, [path]).select(F.col("Date").cast("long").alias("match_num"), "Winner", "PSW", "PSL")
 
 
 def _odds(spark: SparkSession, sf_dir: str, orient: bool) -> DataFrame:
@@ -394,6 +413,25 @@ def walk_forward_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.walkforward_summary(backtest.classification_metrics(scored, ["origin", "model"]), "elo")
 
 
+@register()
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the gain in boosted trees, and which features were never used."""
+    df = tables.kept(_model(spark, sf_dir), "model")
+    _, gains = backtest.train_score(df, df.limit(0), FEATURES, rounds=5)
+    return gains.join(backtest.never_used(gains).withColumn("never_used", F.lit(True)), "feature", "left").fillna(False, ["never_used"])
+
+
+@register()
+def bootstrap_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the mean yearly gain in accuracy of prior ratings over a coin."""
+    years = elo_quality_by_year(spark, sf_dir).withColumn("gain", F.col("accuracy") - 0.5)
+    return backtest_interval(years)
+
+
+def backtest_interval(years: DataFrame) -> DataFrame:
+    return bets.bootstrap_mean(years, "gain").select(F.col("roi_mean").alias("mean_gain"), F.col("roi_low").alias("low"), F.col("roi_high").alias("high"))
+
+
 # --- bets
 
 BETS = MODEL + f""", e AS (SELECT *, {PROB} AS prob, (1 / player1_PS) / (1 / player1_PS + 1 / player2_PS) AS m1, (1 / player2_PS) / (1 / player1_PS + 1 / player2_PS) AS m2 FROM d),
@@ -411,11 +449,11 @@ def choose_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bets(spark, sf_dir)
 
 
-@register(BETS + " SELECT match_idx, CASE WHEN bet_won = 1 THEN 1 ELSE 0 END AS win_majority, round(confidence + 0.04, 11) AS confidence, stake, bet_won FROM bets")
+@register(BETS + " SELECT match_idx, CASE WHEN bet_won = 1 THEN 1 ELSE 0 END AS win_majority, round(confidence + 0.0565685424948, 6) AS confidence, stake, bet_won FROM bets")
 def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven models that differ in confidence only, by 0.01 each around the fourth."""
-    models = _bets(spark, sf_dir).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("confidence", F.col("confidence") + F.col("model") / 100)
-    return bets.ensemble_vote(models).select("match_idx", "win_majority", F.round("confidence", 11).alias("confidence"), "stake", "bet_won")
+    """Seven models that differ in confidence only, by even steps around the fourth."""
+    models = _bets(spark, sf_dir).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("confidence", F.col("confidence") + F.col("model") * 0.0141421356237)
+    return bets.ensemble_vote(models).select("match_idx", "win_majority", F.round("confidence", 6).alias("confidence"), "stake", "bet_won")
 
 
 _STAKED, _FLAT = "round(100 * (sum(stake * PSW * bet_won) - sum(stake)) / nullif(sum(stake), 0), 6)", "round(100 * (sum(PSW * bet_won) - count(*)) / count(*), 6)"
