@@ -87,9 +87,9 @@ def test_exponential_equals_loop(spark, small):
     pm = form.serve_return_metrics(player_matches(spark, small))
     got = form.exponential(pm, ORDER, own="elo", other="o_elo").toPandas().sort_values(["player_id", *ORDER])
     for _, rows in got.groupby("player_id"):
-        state, n, last = None, 0, None
+        state, n, served, last = None, 0, 0, None
         for r in rows.itertuples():
-            assert r.ema_n == n or math.isnan(r.srv_1st_pct)
+            assert r.ema_n == served
             if n >= 3:
                 assert r.ema_hold_pct == pytest.approx(state, abs=2e-4)
             elif n == 0:
