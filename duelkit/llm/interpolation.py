@@ -145,8 +145,8 @@ def _held(slices: int, fitted: int):
 
 
 def learn_weights(held: dict[int, int], kinds: int, steps: int = STEPS) -> np.ndarray:
-    """Weights of bigram, unigram and even share for each bucket, by EM on held-out counts. The two lowest buckets'
-    neighbours lend a little (0.1 token each way), so empty buckets are even."""
+    """Weights of bigram, unigram and even share for each bucket, by EM on held-out counts. Each
+    weight gets 0.1 token on top, so a bucket without tokens is even; a context never seen gives its bigram share away."""
     group = np.array(sorted(held), np.int64)
     times = np.array([held[g] for g in group.tolist()], float)
     grid = np.concatenate([[0.0], 10 ** ((np.arange(1, GRID) - GRID + 1) / 20)])
