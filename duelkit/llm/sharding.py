@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import kept, table
 
-#: Rows of a block and of a slice of a shard, about; and the most blocks and slices (the matrix has so many cells each way).
-BLOCK_ROWS, MAX_BLOCKS, MAX_SLICES = 100_000, 4096, 4096
+#: Rows of a block and of a slice of a shard, about; the most cells of the matrix (its size is blocks times shards, whatever
+#: the number of rows) and the most slices of all shards.
+BLOCK_ROWS, MAX_CELLS, MAX_SLICES = 100_000, 1 << 20, 1 << 16
 LEAST = 64
 
 
@@ -31,7 +32,7 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, taken: int) ->
 
 
 def matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
-    """How many rows of each block go to each slice: row sums are ``counts``, column sums are ``sizes``."""
+    """How many rows of each block go to each shard: row sums are ``counts``, column sums are ``sizes``."""
     rng = np.random.default_rng(seed)
     left = list(sizes)
     out = []
@@ -56,31 +57,35 @@ def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     from 0): a uniform random permutation, the same for the same input and ``seed``. Columns of these names are replaced.
 
     Any rows will do: nulls, equal rows and a key that most rows share don't matter, as rows are dealt by number and not
-    by value. The numbered rows are written to the shared folder once, so that a lost executor's work is redone over
-    the same numbers. A block and a slice hold about ``BLOCK_ROWS`` rows each; only the blocks' row counts (4096 at most)
-    come to the driver. An empty table gives an empty result.
+    by value. Numbered and dealt rows are written to the shared folder once each, so that a lost executor's work is redone
+    over the same numbers. After the exchange a shard is permuted by random keys in slices of key ranges, so no task holds
+    a whole shard; the slices' counts, at most ``MAX_SLICES``, place them. Only the blocks' row counts (at most
+    ``MAX_CELLS`` over the number of shards) come to the driver. An empty table gives an empty result.
     """
     df = df.drop("shard", "slot")
     uid = F.monotonically_increasing_id()
     rows = kept(df.withColumn("_uid", uid), "rows")
     n = rows.count()
-    blocks = max(LEAST, min(MAX_BLOCKS, n // BLOCK_ROWS))
+    blocks = max(LEAST, min(MAX_CELLS // shards, n // BLOCK_ROWS))
     block = F.pmod(F.xxhash64("_uid", F.lit(seed)), F.lit(blocks))
     counted = {r["_block"]: r["n"] for r in rows.groupBy(block.alias("_block")).agg(F.count("*").alias("n")).collect()}
-    slices = max(1, min(MAX_SLICES // shards, max(LEAST // shards, n // BLOCK_ROWS // shards)))
-    sizes = [s for shard in even(n, shards) for s in even(shard, slices)]
-    bounds = np.cumsum(matrix([counted.get(b, 0) for b in range(blocks)], sizes, seed), axis=1)
-    starts = [sum(sizes[i // slices * slices : i]) for i in range(len(sizes))]
+    bounds = np.cumsum(matrix([counted.get(b, 0) for b in range(blocks)], even(n, shards), seed), axis=1)
     spark = df.sparkSession
     cells = F.from_json(F.lit(json.dumps([{"_block": b, "_to": row} for b, row in enumerate(bounds.tolist())])), "array<struct<_block:bigint,_to:array<bigint>>>")
     dealt = spark.range(1).select(F.inline(cells))
 
     local = Window.partitionBy("_block").orderBy(F.xxhash64("_uid", F.lit(seed + 1)), "_uid")
     placed = rows.withColumn("_block", block).withColumn("_rank", F.row_number().over(local) - 1).join(F.broadcast(dealt), "_block")
-    placed = placed.withColumn("_slice", F.size(F.filter("_to", lambda to: to <= F.col("_rank")))).drop("_to", "_block", "_rank")
-    again = Window.partitionBy("_slice").orderBy(F.xxhash64("_uid", F.lit(seed + 2)), "_uid")
-    slot = F.element_at(F.lit(starts).cast("array<bigint>") if starts else F.array(), F.col("_slice") + 1) + F.row_number().over(again) - 1
-    return placed.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col("_slice") / slices).cast("int")).drop("_slice", "_uid")
+    slices = max(1, min(MAX_SLICES, max(LEAST, n // BLOCK_ROWS)) // shards)
+    key = F.xxhash64("_uid", F.lit(seed + 2))
+    in_range = F.floor(F.shiftrightunsigned(key, 32) * slices / (1 << 32)).cast("int")  # rises with the unsigned key
+    placed = kept(placed.withColumn("shard", F.size(F.filter("_to", lambda to: to <= F.col("_rank")))).withColumn("_slice", in_range).drop("_to", "_block", "_rank"), "dealt")
+
+    before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("shard", "_slice").agg(F.count("*").alias("_n")).select("shard", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    again = Window.partitionBy("shard", "_slice").orderBy(key, "_uid")
+    numbered = placed.withColumn("_at", F.row_number().over(again) - 1).join(F.broadcast(starts), ["shard", "_slice"])
+    return numbered.withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).select(*df.columns, "slot", "shard")
 
 
 def shards(spark, sf_dir: str) -> DataFrame:
