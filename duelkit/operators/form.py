@@ -129,9 +129,10 @@ def _decayed(values: np.ndarray, days: np.ndarray, use: np.ndarray, half_life: f
     return out, counts
 
 
-def exponential(pm: DataFrame, order: list[str], day: str = "day", own: str | None = None, other: str | None = None) -> DataFrame:
-    """Adds ``ema_*`` (45 days), ``ema_long_*`` (120 days; at least three values, 4 digits), their counts ``ema_n`` and
-    ``ema_long_n`` (of the first metric), ``delta_form_*``; with ratings also ``quality_ema`` over wins, and its count.
+def exponential(pm: DataFrame, order: list[str], day: str = "day", own: str | None = None, other: str | None = None, digits: int = 4, edge_digits: int = 2) -> DataFrame:
+    """Adds ``ema_*`` (45 days), ``ema_long_*`` (120 days; at least three values, rounded to ``digits``), their counts ``ema_n`` and
+    ``ema_long_n`` (of the first metric), ``delta_form_*``; with ratings also ``quality_ema`` over wins
+    (rounded to ``edge_digits``), and its count.
 
     A linear recurrence in contest order, folded for each player by NumPy over all metrics at once."""
     types = dict(pm.dtypes)
@@ -148,14 +149,14 @@ def exponential(pm: DataFrame, order: list[str], day: str = "day", own: str | No
         rounded = []
         for prefix, half_life in (("ema", SHORT_DAYS), ("ema_long", LONG_DAYS)):
             state, seen = _decayed(values, days, use, half_life)
-            rounded.append(np.where(seen >= LEAST, np.round(state, 4), np.nan))
+            rounded.append(np.where(seen >= LEAST, np.round(state, digits), np.nan))
             out[[f"{prefix}_{m}" for m in METRICS]] = rounded[-1]
             out[f"{prefix}_n"] = seen[:, 0]
-        out[[f"delta_form_{m}" for m in METRICS]] = np.round(rounded[0] - rounded[1], 4)
+        out[[f"delta_form_{m}" for m in METRICS]] = np.round(rounded[0] - rounded[1], digits)
         if rated:
             edge = player[["_edge"]].to_numpy(float)
             state, seen = _decayed(edge, days, use & (player["won"] == 1).to_numpy() & ~np.isnan(edge[:, 0]), QUALITY_DAYS)
-            out["quality_ema"], out["quality_ema_n"] = np.where(seen[:, 0] >= LEAST, np.round(state[:, 0], 2), np.nan), seen[:, 0]
+            out["quality_ema"], out["quality_ema_n"] = np.where(seen[:, 0] >= LEAST, np.round(state[:, 0], edge_digits), np.nan), seen[:, 0]
         return out[["player_id", *order, "side", *added, *numbers]]
 
     keys = ", ".join(f"`{c}` {types[c]}" for c in ["player_id", *order, "side"])

@@ -195,11 +195,35 @@ def hard_12_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return form.hard_12_months(_metrics(spark, sf_dir), digits=8).select(KEY, "side", "player_id", F.col("hard_12mo_n").alias("n"), F.col("hard_12mo_hold_pct").alias("hold"))
 
 
-@register()
+_SO_FAR = "OVER (PARTITION BY player_id ORDER BY tourney_date, match_num ROWS UNBOUNDED PRECEDING)"
+
+
+def _averaged(name: str, rows: str, x: str, half_lives: tuple[float, ...]) -> str:
+    """CTE ``name``: after each used row, the number of values and their averages ``e45``, ``e120``.
+
+    The recurrence in closed form: a value's share is halved ``d`` times by each later value, so after sums of ``d``
+    it is one windowed sum."""
+    there = f"{x} IS NOT NULL"
+    turn = lambda h: f"CASE WHEN {x} IS NULL OR count({x}) {_SO_FAR} = 1 THEN 0.0::DOUBLE WHEN gap <= 0 THEN 1.0 ELSE gap / {h}::DOUBLE END AS d{h:g}"
+    value = lambda h: f"sum({x} * CASE WHEN k = 1 THEN 1 ELSE 1 - pow(2, -d{h:g}) END * pow(2, c{h:g})) FILTER ({there}) {_SO_FAR} * pow(2, -c{h:g}) AS e{h:g}"
+    return f""", {name}0 AS (SELECT *, coalesce(day - lag(day) OVER (PARTITION BY player_id ORDER BY tourney_date, match_num), 0) AS gap FROM dated WHERE {rows}),
+{name}1 AS (SELECT *, count({x}) {_SO_FAR} AS k, {", ".join(map(turn, half_lives))} FROM {name}0),
+{name}2 AS (SELECT *, {", ".join(f"sum(d{h:g}) {_SO_FAR} AS c{h:g}" for h in half_lives)} FROM {name}1),
+{name} AS (SELECT match_num, side, k, count({form.METRICS[0]}) {_SO_FAR} AS n, {", ".join(map(value, half_lives))} FROM {name}2)"""
+
+
+EMA = METRICS_CTE + f", dated AS (SELECT *, {_day('tourney_date')} AS day, CAST(o_elo - elo AS DOUBLE) AS edge FROM v)" + _averaged("f", "valid", "hold_pct", (45, 120)) + _averaged("q", "valid AND won = 1 AND edge IS NOT NULL", "edge", (45,))
+EMA += f""", j AS (SELECT v.*, CASE WHEN f.k IS NOT NULL THEN {{'k': f.k, 'n': f.n, 'a': f.e45, 'b': f.e120}} END AS s, CASE WHEN q.k IS NOT NULL THEN {{'k': q.k, 'a': q.e45}} END AS t
+  FROM v LEFT JOIN f USING (match_num, side) LEFT JOIN q USING (match_num, side)),
+p AS (SELECT {SIDE}, last_value(s IGNORE NULLS) {PRIOR} AS s, last_value(t IGNORE NULLS) {PRIOR} AS t FROM j),
+r AS (SELECT {SIDE}, coalesce(s.n, 0) AS n, CASE WHEN s.k >= 3 THEN round(s.a, 8) END AS a, CASE WHEN s.k >= 3 THEN round(s.b, 8) END AS b, CASE WHEN t.k >= 3 THEN round(t.a, 6) END AS q, coalesce(t.k, 0) AS qn FROM p)
+SELECT {SIDE}, n AS ema_n, a AS ema_hold_pct, n AS ema_long_n, b AS ema_long_hold_pct, round(a - b, 8) AS delta_form_hold_pct, q AS quality_ema, qn AS quality_ema_n FROM r"""
+
+
+@register(EMA, pm=True)
 def exponential_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered recurrence; tests hold it against a plain loop."""
-    pm = _metrics(spark, sf_dir)
-    made = form.exponential(pm, ORDER, own="elo", other="o_elo")
+    """An ordered recurrence; its SQL has it in closed form, and tests hold it against a plain loop too."""
+    made = form.exponential(_metrics(spark, sf_dir), ORDER, own="elo", other="o_elo", digits=8, edge_digits=6)
     return made.select(KEY, "side", "player_id", "ema_n", "ema_hold_pct", "ema_long_n", "ema_long_hold_pct", "delta_form_hold_pct", "quality_ema", "quality_ema_n")
 
 
@@ -378,7 +402,13 @@ def walk_forward_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.walk_forward_origins(_model(spark, sf_dir), CUTOFFS)
 
 
-@register()
+BLOCKS = """, s AS (SELECT row_number() OVER (ORDER BY tourney_date, match_num) - 1 AS seq, count(*) OVER () AS n FROM d),
+b AS (SELECT i AS block, 500 + v + i * 1500 AS test, v, n FROM (SELECT DISTINCT CAST(floor(180 * (n / 365 / 5)) AS BIGINT) AS v, n FROM s), range(0, 1000000) t(i) WHERE 500 + v + i * 1500 <= n - 90)
+SELECT block, CASE WHEN seq < test - v THEN 'train' WHEN seq < test THEN 'validation' ELSE 'test' END AS part, count(*) AS n, min(seq) AS first, max(seq) AS last
+FROM s JOIN b ON seq >= test - v - 500 AND seq < test + 90 GROUP BY 1, 2"""
+
+
+@register(MODEL + BLOCKS)
 def row_block_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each block and part, by row number in date order."""
     m = ordering.chronological_order(_model(spark, sf_dir), *ORDER)
