@@ -292,18 +292,39 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.elo(matches(spark, sf_dir), ORDER)
 
 
-@register()
+#: All ladders as one recursion over the contests in order. A step's state is a list with a slot for each ladder and player
+#: (overall, three surfaces, six surfaces with venue, clutch); ``a`` and ``b`` are both sides' ratings before the contest.
+ELO = f"""WITH RECURSIVE m AS ({MATCHES}), {PM},
+x AS (SELECT match_num, side, count(*) {PRIOR} AS n FROM pm),
+k AS (SELECT match_num, max(CASE WHEN side = 'w' THEN n END) AS nw, max(CASE WHEN side = 'l' THEN n END) AS nl FROM x GROUP BY 1),
+player AS (SELECT player_id, row_number() OVER (ORDER BY player_id) AS p, count(*) OVER () AS total FROM (SELECT DISTINCT player_id FROM pm)),
+ladder AS (SELECT m.match_num, winner_id, loser_id, tourney_date, match_num % 5 IN (1, 4) AS decisive, 1 + list_position(['Hard', 'Clay', 'Grass'], surface_norm) AS surface, CASE indoor WHEN 'I' THEN 3 WHEN 'O' THEN 6 END AS venue FROM m),
+e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY tourney_date, match_num) AS step, match_num, tourney_date, greatest(16.0::DOUBLE, least(50.0::DOUBLE, 250 / pow(nw + 5.0, 0.4))) AS k_w, greatest(16.0::DOUBLE, least(50.0::DOUBLE, 250 / pow(nl + 5.0, 0.4))) AS k_l,
+  list_transform([1, surface, surface + venue, 11], lambda i: (i - 1) * w.total + w.p) AS ws, list_transform([1, surface, surface + venue, 11], lambda i: (i - 1) * l.total + l.p) AS ls, CASE WHEN decisive THEN 4 ELSE 3 END AS moved
+  FROM ladder JOIN k USING (match_num) JOIN player w ON w.player_id = winner_id JOIN player l ON l.player_id = loser_id),
+rated(step, slots, a, b) AS (
+  SELECT 0::BIGINT, list_transform(range(11 * (SELECT count(*) FROM player)), lambda i: 1500.0::DOUBLE), NULL::DOUBLE[], NULL::DOUBLE[]
+  UNION ALL
+  SELECT step, list_transform(slots, lambda r, i: r + coalesce(k_w * gain[list_position(ws[:moved], i)], 0) - coalesce(k_l * gain[list_position(ls[:moved], i)], 0)), a, b
+  FROM (SELECT *, list_transform([1, 2, 3, 4], lambda i: 1 - 1 / (1 + pow(10, (b[i] - a[i]) / 400))) AS gain
+    FROM (SELECT e.*, slots, list_transform(ws, lambda i: slots[i]) AS a, list_transform(ls, lambda i: slots[i]) AS b FROM rated JOIN e ON e.step = rated.step + 1)))
+"""
+ELO_LAST = """, z AS (SELECT slots FROM rated ORDER BY step DESC LIMIT 1)
+SELECT player_id, (SELECT count(*) FROM pm WHERE pm.player_id = player.player_id) AS played, """ + ", ".join(f"round(slots[{i} * total + p], 1) AS {c}" for i, c in ((0, "elo"), (1, "elo_hard"), (2, "elo_clay"), (3, "elo_grass"), (10, "elo_clutch"))) + " FROM player, z"
+
+
+@register(ELO + "SELECT match_num, " + ", ".join(f"round({x}[{i}], 2) AS {s}_{c}_pre" for s, x in (("winner", "a"), ("loser", "b")) for i, c in enumerate(("elo", "surface_elo", "surface_env_elo", "clutch_elo"), 1)) + ", round(1 / (1 + pow(10, (b[1] - a[1]) / 400)), 4) AS elo_prob_winner FROM rated JOIN e USING (step)", raw=True)
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All four ladders; tests hold them against a plain loop."""
+    """All four ladders; tests hold them against a plain loop too."""
     return _rated(spark, sf_dir).select(KEY, *[f"{s}_{x}_pre" for s in ("winner", "loser") for x in ("elo", "surface_elo", "surface_env_elo", "clutch_elo")], "elo_prob_winner")
 
 
-@register()
+@register(ELO + ELO_LAST, raw=True)
 def elo_ratings_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.final_ratings(matches(spark, sf_dir), ORDER)
 
 
-@register()
+@register(ELO + ELO_LAST + " ORDER BY elo DESC, player_id LIMIT 15", raw=True)
 def elo_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.top(ratings.final_ratings(matches(spark, sf_dir), ORDER))
 
@@ -421,7 +442,8 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.classification_metrics(df, ["origin"])
 
 
-@register()
+@register(ELO + """, y AS (SELECT year(tourney_date) AS year, round(1 / (1 + pow(10, (b[1] - a[1]) / 400)), 4) AS p FROM rated JOIN e USING (step))
+SELECT year, count(*) AS n, round(avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(-avg(ln(p)), 6) AS log_loss, round(avg((p - 1) * (p - 1)), 6) AS brier FROM y GROUP BY 1""", raw=True)
 def elo_quality_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well prior ratings predict winners, by year."""
     df = _rated(spark, sf_dir).select(F.year("tourney_date").alias("year"), F.col("elo_prob_winner").alias("prob"), F.lit(1).alias("target_player1_won"))
