@@ -29,9 +29,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of near-duplicates."""
-    keep = shingles.near_duplicates(docs, SIMILAR).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the document of the least id of each group of near-duplicates. Rows that share an id stay or go together; rows
+    without one stay."""
+    keep = shingles.near_duplicates(docs, SIMILAR).where("kept and doc_id is not null").select(F.col("doc_id").alias("keep_id")).distinct()
+    stays = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi")
+    return stays.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
