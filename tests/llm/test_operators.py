@@ -10,13 +10,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
 from duelkit.llm import bpe, chat, interpolation, language, lines, media, packing, sharding, shingles, syncmers
-from duelkit.llm.queries import QUERIES
+from duelkit.llm.queries import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -217,6 +218,14 @@ def test_chat(spark, small):
             assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(own_turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_equals_sql(spark, small):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
+    want = con.execute(ORACLE_SQL["op9_chat_formatting"]).fetchdf()
+    got = rows(spark, small, "op9_chat_formatting")[list(want.columns)]
+    assert len(got) and got.sort_values("conv_id").to_numpy().tolist() == want.sort_values("conv_id").to_numpy().tolist()
+
+
 def test_fingerprints(spark, small, texts, odd):
     out = rows(spark, small, "op10_document_fingerprints").set_index("doc_id")
     ids = sorted(texts, reverse=True)
@@ -254,5 +263,6 @@ def test_pipeline_stages(spark, small, odd):
         docs = after
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).select("doc_id").distinct().count() == docs.count()
     table = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.near_stage(spark, table, small).where("doc_id is null").count() == 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table, small).count() >= 0
