@@ -12,10 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, small_batches
-from .tokens import chunks, mix, spans, utf8
+from .tokens import chunks, mix, sets, spans, utf8
 
-#: Words that a common block must have. Chance does not repeat so many, and boilerplate lines are shorter.
+#: Words that a common block must have if many documents share it. Chance does not repeat so many, and boilerplate lines
+#: are shorter.
 MIN_WORDS = 20
+#: Words that a rare common block must have, and the most documents that hold a rare one.
+RARE_WORDS, RARE_DOCS = 5, 10
+#: Kinds of anchors, in the two low bits of their hashes.
+LONG, RARE, WHOLE = 0, 1, 2
+#: So many of the most frequent short runs, which link nothing, are kept out of the join by a broadcast.
+FREQUENT = 1000
 
 
 def _split(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,16 +59,43 @@ def _runs(hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray, least: int
     return out
 
 
-def _lines(least: int):
+def _rare(hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray, least: int, rare: int) -> np.ndarray:
+    """As ``_runs`` with ``rare`` words, without the runs that have ``least``: those are anchors anyhow."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    end = np.minimum(np.searchsorted(total, total[:-1] + rare), len(words))
+    return np.where(total[end] - total[:-1] < least, _runs(hashes, words, offsets, rare), np.uint64(0))
+
+
+def _whole(hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
+    """The hash of all lines that have words, for each row of less than ``least`` words (but one at least); else 0."""
+    solid = words > 0
+    count = np.concatenate([[0], np.cumsum(solid)])
+    place = (count[:-1] - np.repeat(count[offsets[:-1]], np.diff(offsets))).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(solid, mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)), dtype=np.uint64)])
+    total = np.concatenate([[0], np.cumsum(words)])[offsets]
+    size = np.diff(total)
+    return np.where((size > 0) & (size < least), mix(np.diff(sums[offsets])), np.uint64(0))
+
+
+def _tagged(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """The hashes with their kind in the two low bits; 0 (no anchor) stays."""
+    return np.where(hashes == 0, hashes, hashes & np.uint64(2**64 - 4) | np.uint64(kind))
+
+
+def _lines(least: int, rare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch["text"])
             for a, b in chunks(offsets):
                 hashes, words, at = _split(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                runs = _runs(hashes, words, at, least)
-                ends = pa.array(at.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hashes.view(np.int64), words.astype(np.int32), runs.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch["row_key"].slice(a, b - a), *lists], names=["row_key", "lines", "words", "runs"])
+                each = [_tagged(_runs(hashes, words, at, least), LONG), _tagged(_rare(hashes, words, at, least, rare), RARE), _tagged(_whole(hashes, words, at, least), WHOLE)]
+                row = np.repeat(np.arange(b - a), np.diff(at))
+                row, keys = np.concatenate([row, row, np.arange(b - a)]), np.concatenate(each)
+                row, keys = row[keys != 0], keys[keys != 0]
+                order = np.argsort(row, kind="stable")
+                anchors, ends = sets(keys[order], np.searchsorted(row[order], np.arange(b - a + 1)))
+                lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(x)) for e, x in ((at, hashes.view(np.int64)), (at, words.astype(np.int32)), (ends, anchors.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([batch["row_key"].slice(a, b - a), *lists], names=["row_key", "lines", "words", "anchors"])
 
     return run
 
@@ -86,8 +120,8 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(old: list[int], old_runs: list[int], new: list[int], new_runs: list[int], words: list[int], least: int) -> list[int]:
-    """Lines of ``new`` in blocks of at least ``least`` words that it has in common with ``old``.
+def common_blocks(old: list[int], old_runs: list[int], new: list[int], new_runs: list[int], words: list[int], least: int, gone: set[int]) -> None:
+    """Adds to ``gone`` the lines of ``new`` in blocks of at least ``least`` words that it has in common with ``old``.
 
     Patience diff on the runs that both have: the n-th open copy of a run in one stands for its n-th copy in the other,
     so anchors are unique; a longest rising subsequence of them is kept and each anchor grows up and down over equal
@@ -96,7 +130,6 @@ def common_blocks(old: list[int], old_runs: list[int], new: list[int], new_runs:
     for i, r in enumerate(old_runs):
         if r:
             places.setdefault(r, []).append(i)
-    gone: set[int] = set()
 
     def length(i: int) -> int:
         n = j = 0
@@ -105,7 +138,8 @@ def common_blocks(old: list[int], old_runs: list[int], new: list[int], new_runs:
             j += 1
         return j
 
-    starts = [i for i, r in enumerate(new_runs) if r in places]
+    is_open = lambda i: i not in gone and gone.isdisjoint(range(i, i + length(i)))
+    starts = [i for i, r in enumerate(new_runs) if r in places and is_open(i)]
     while starts:
         seen: dict[int, int] = {}
         here, there = [], []
@@ -122,37 +156,67 @@ def common_blocks(old: list[int], old_runs: list[int], new: list[int], new_runs:
             while hi < len(new) and hi + shift < len(old) and hi not in gone and new[hi] == old[hi + shift]:
                 hi += 1
             gone.update(range(lo, hi))
-        starts = [i for i in starts if i not in gone and gone.isdisjoint(range(i, i + length(i)))]
+        starts = [i for i in starts if is_open(i)]
+
+
+def _cut(old: tuple[list[int], ...], new: tuple[list[int], ...], words: list[int], marks: list[int], least: int, rare: int) -> list[int]:
+    """Lines of ``new`` that ``old`` has: blocks of ``least`` words, then those of ``rare`` words at rare runs in ``marks``;
+    all if the rows are equal. Each row is (lines, runs, rare runs)."""
+    gone: set[int] = set()
+    common_blocks(old[0], old[1], new[0], new[1], words, least, gone)
+    known = set(marks)
+    if known:
+        common_blocks(old[0], [r if r in known else 0 for r in old[2]], new[0], [r if r in known else 0 for r in new[2]], words, rare, gone)
+    if any(r & 3 == WHOLE for r in known):
+        gone.update(i for i, x in enumerate(new[0]) if x in old[0])
     return sorted(gone)
 
 
-def _aligned(least: int):
+def _sides(hashes: pa.ListArray, words: pa.ListArray, least: int, rare: int) -> Iterator[tuple[list[int], ...]]:
+    """For each row: its lines, runs and rare runs (both made again rather than joined)."""
+    at = hashes.offsets.to_numpy().astype(np.int64)
+    values, sizes = (x.values.to_numpy()[at[0] : at[-1]] for x in (hashes, words))
+    at = at - at[0]
+    sizes = sizes.astype(np.int64)
+    found = [values, *(x.view(np.int64) for x in (_runs(values.view(np.uint64), sizes, at, least), _tagged(_rare(values.view(np.uint64), sizes, at, least, rare), RARE)))]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield tuple(x[a:b].tolist() for x in found)
+
+
+def _aligned(least: int, rare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ["lines", "runs", "o_lines", "o_runs", "words"]
-            cut = [common_blocks(ol, orr, nl, nr, w, least) for nl, nr, ol, orr, w in zip(*(batch[c].to_pylist() for c in names), strict=True)]
+            old, new = (_sides(batch[f"{side}lines"], batch[f"{side}words"], least, rare) for side in ("o_", ""))
+            cut = [_cut(*both, least, rare) for both in zip(old, new, batch["words"].to_pylist(), batch["marks"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["row_key"], pa.array(cut, pa.list_(pa.int32()))], names=["row_key", "cut"])
 
     return run
 
 
-def deleted_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def deleted_lines(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE_WORDS, most: int = RARE_DOCS) -> DataFrame:
     """(row_key, cut): for rows that lose lines, the numbers (from 0) of those lines. ``docs``: (row_key, text).
 
-    ``row_key`` orders the rows (earlier rows keep their lines); rows that share one must be equal. Each run of lines of at least
-    ``least`` words is looked up by its hash. Rarity comes from length: no chance repeats so many words, and a hash that
-    many documents share all the same is linked with its first holder alone, so pairs grow with lines and not with the
-    square of a group. Every block of ``least`` words that an earlier row has is covered by such runs.
+    ``row_key`` orders the rows (earlier rows keep their lines); rows that share one must be equal. Anchors are of three
+    kinds, each looked up by its hash: runs of lines of at least ``least`` words, whose rarity comes from length, as no
+    chance repeats so many words; shorter runs of at least ``rare`` words that ``most`` rows at most hold; and all lines of
+    a row below ``least`` words. An anchor is linked with its first holder alone, so pairs grow with lines and not with the
+    square of a group. Every block of ``least`` words, and every rare one of ``rare`` words, that an earlier row has is
+    covered by such runs.
     """
     small_batches(docs.sparkSession)
     key = docs.schema["row_key"].dataType.simpleString()
-    made = kept(docs.mapInArrow(_lines(least), f"row_key {key}, lines array<bigint>, words array<int>, runs array<bigint>").dropDuplicates(["row_key"]), "lines")
-    runs = made.select("row_key", F.explode(F.array_distinct("runs")).alias("run")).where("run <> 0")
-    first = runs.groupBy("run").agg(F.min("row_key").alias("owner"), F.max("row_key").alias("last")).where("owner < last").select("run", "owner")
-    pairs = runs.join(first, "run").where("row_key > owner").select("row_key", "owner").distinct()
-    old = made.select(F.col("row_key").alias("owner"), F.col("lines").alias("o_lines"), F.col("runs").alias("o_runs"))
-    both = pairs.join(made, "row_key").join(old, "owner")
-    return both.mapInArrow(_aligned(least), f"row_key {key}, cut array<int>").groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut")).where("size(cut) > 0")
+    made = kept(docs.mapInArrow(_lines(least, rare), f"row_key {key}, lines array<bigint>, words array<int>, anchors array<bigint>").dropDuplicates(["row_key"]), "lines")
+    runs = made.select("row_key", F.explode("anchors").alias("run"))
+    kind = F.col("run").bitwiseAND(F.lit(3))
+    held = runs.groupBy("run").agg(F.min("row_key").alias("owner"), F.max("row_key").alias("last"), F.count("*").alias("n")).where("owner < last")
+    # the short runs' holders: a product, as a filter by kind would be pushed below the counts, which then were made twice
+    frequent = held.select("run", (F.col("n") * (kind == RARE).cast("long")).alias("n")).where(F.col("n") > most).orderBy(F.desc("n"), "run").limit(FREQUENT)
+    first = held.where((kind != RARE) | (F.col("n") <= most)).select("run", "owner")
+    pairs = runs.join(F.broadcast(frequent), "run", "left_anti").join(first, "run").where("row_key > owner").groupBy("row_key", "owner").agg(F.collect_list(F.when(kind != LONG, F.col("run"))).alias("marks"))
+    sides = made.select("row_key", "lines", "words")
+    old = sides.select(F.col("row_key").alias("owner"), F.col("lines").alias("o_lines"), F.col("words").alias("o_words"))
+    both = pairs.join(sides, "row_key").join(old, "owner")
+    return both.mapInArrow(_aligned(least, rare), f"row_key {key}, cut array<int>").groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut")).where("size(cut) > 0")
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -145,6 +145,37 @@ def test_lines_leave_no_known_block(spark, small, texts):
         assert all(" ".join(words(own[k])) in seen for k in cut)
 
 
+def test_rare_short_lines_and_copies(spark):
+    """Rare lines below 20 words go, frequent ones stay; copies of short documents go, however many."""
+    rare, often = "eight words that only two documents here share", "a line of many documents is left"
+    table = [(1, f"first\n{rare}"), (2, f"{rare}\nsecond"), *[(i, f"{often}\nnumber {i} of them") for i in range(10, 25)], *[(i, "two Words\n\n") for i in (30, 31)], (32, "two  words")]
+    got = {r.doc_id: (r.text, r.lines_cut) for r in lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got[1] == (f"first\n{rare}", []) and got[2] == ("second", [0])
+    assert all(got[i] == (f"{often}\nnumber {i} of them", []) for i in range(10, 25))
+    assert got[30] == ("two Words\n\n", []) and got[31] == ("", [0, 1, 2]) and got[32] == ("", [0])
+
+
+def test_lines_leave_no_rare_line_and_no_copy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    keys = {i: [" ".join(words(x)) for x in t.split("\n")] for i, t in texts.items()}
+    holders = Counter(k for own in keys.values() for k in set(own))
+    out = {r.doc_id: set(r.lines_cut) for r in lines.dedup_lines(docs).collect()}
+    seen: set[str] = set()
+    whole: set[tuple[str, ...]] = set()
+    found = 0
+    for i in sorted(texts):
+        copy = tuple(filter(None, keys[i])) in whole
+        for k, x in enumerate(keys[i]):
+            if x and x in seen and (copy or len(x.split(" ")) >= lines.RARE_WORDS and holders[x] <= lines.RARE_DOCS):
+                found += len(x.split(" ")) < lines.MIN_WORDS
+                assert k in out[i]
+        assert all(keys[i][k] in seen for k in out[i])
+        seen.update(keys[i])
+        whole.add(tuple(filter(None, keys[i])))
+    assert found
+
+
 def test_bpe(spark, small, texts, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.default_path(), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
