@@ -44,10 +44,10 @@ def encode_wav(df: DataFrame, text: str = "text", media: str = "media") -> DataF
 
 
 def spectrogram(samples: np.ndarray) -> np.ndarray:
-    """Power of the short-time Fourier transform, frames by bins; shorter input is one padded frame."""
+    """Power of the short-time Fourier transform, frames by bins; the last frame is padded with silence, so that every sample
+    lies in a frame."""
     x = (samples.astype(np.float32) - 128) / 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    x = np.pad(x, (0, FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     return np.concatenate([np.abs(np.fft.rfft((part := frames[i : i + 4096]) * window, axis=1)[:, :128]) ** 2 for i in range(0, len(frames), 4096)])
