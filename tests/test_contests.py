@@ -190,6 +190,21 @@ def test_bootstrap_and_permutation(spark):
     assert bets.permutation_pvalue(df.withColumn("stake", F.lit(0.0)), 10).first().p_value is None
 
 
+def test_permutation_of_many_bets(spark):
+    """Blocks of pays give the p-value of plain shuffles, and more than a million bets are no limit."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"stake": (rng.random(300) < 0.8).astype(float), "PSW": np.round(1.2 + rng.random(300) * 2, 2), "bet_won": (rng.random(300) < 0.5).astype(int)})
+    pay, won = (rows.stake * rows.PSW).to_numpy(), rows.bet_won.to_numpy()
+    plain = np.mean([rng.permutation(won) @ pay >= won @ pay - 1e-9 for _ in range(10_000)])
+    df = spark.createDataFrame(rows)
+    for size in (7, 20_000):
+        assert bets.permutation_pvalue(df, 10_000, block_values=size).first().p_value == pytest.approx(plain, abs=0.025)
+    many = spark.range(1_200_000).select(F.lit(1.0).alias("stake"), (1.5 + F.col("id") % 3).alias("PSW"), (F.col("id") % 3 == 2).cast("int").alias("bet_won"))
+    assert tuple(bets.permutation_pvalue(many, 200).first()) == (pytest.approx(100 * (3.5 / 3 - 1), abs=1e-4), 0.0)
+    big = [bets._drawn(np.random.default_rng(i), 10**10, 2 * 10**10, np.array([3 * 10**6]))[0] for i in range(50)]
+    assert abs(np.mean(big) - 10**6) < 1000
+
+
 def test_deciles_of_few_ties(spark):
     df = spark.createDataFrame([(i, 1.0, 2.0, 1) for i in range(7)], "match_idx int, confidence double, PSW double, bet_won int")
     assert bets.roi_by_decile(df).agg(F.sum("n")).first()[0] == 7
