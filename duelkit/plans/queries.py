@@ -450,34 +450,39 @@ def elo_quality_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.classification_metrics(df, ["year"])
 
 
-@register()
-def walk_forward_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees against the Elo and rank baselines at one origin: gains over Elo."""
+def _gains(spark: SparkSession, sf_dir: str, cutoffs: list[str], rounds: int = 50) -> DataFrame:
     df = tables.kept(_model(spark, sf_dir, _rated(spark, sf_dir)), "model")
-    d = F.col("tourney_date") < F.lit("1996-01-01").cast("date")
-    train, test = df.where(d), df.where(~d)
-    full, _ = backtest.train_score(train, test, [*FEATURES, "player1_elo_pre", "player2_elo_pre"], rounds=5)
-    runs = {"full": full, "elo": backtest.logistic_score(train, test, backtest.elo_features()), "rank": backtest.logistic_score(train, test, backtest.rank_features(False))}
-    scored = None
-    for name, run in runs.items():
-        part = run.select(F.lit("1996").alias("origin"), F.lit(name).alias("model"), "prob", "target_player1_won")
-        scored = part if scored is None else scored.unionByName(part)
+    d = F.col("tourney_date").cast("date")
+    scored = spark.createDataFrame([], "origin string, model string, prob double, target_player1_won int")
+    for origin in sorted(r["origin"] for r in backtest.walk_forward_origins(df, cutoffs).collect()):
+        first = F.lit(origin).cast("date")
+        train, test = df.where(d < first), df.where(d.between(first, F.lit(backtest.END).cast("date")))
+        full, _ = backtest.train_score(train, test, [*FEATURES, "player1_elo_pre", "player2_elo_pre"], rounds=rounds)
+        runs = {"full": full, "elo": backtest.logistic_score(train, test, backtest.elo_features()), "rank": backtest.logistic_score(train, test, backtest.rank_features(False))}
+        for name, run in runs.items():
+            scored = scored.unionByName(run.select(F.lit(origin).alias("origin"), F.lit(name).alias("model"), "prob", "target_player1_won"))
     return backtest.walkforward_summary(backtest.classification_metrics(scored, ["origin", "model"]), "elo")
 
 
+@register()
+def walk_forward_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees against the Elo and rank baselines at every accepted origin: gains over Elo."""
+    return _gains(spark, sf_dir, CUTOFFS)
+
+
 @register()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the gain in boosted trees, and which features were never used."""
     df = tables.kept(_model(spark, sf_dir), "model")
-    _, gains = backtest.train_score(df, df.limit(0), FEATURES, rounds=5)
+    _, gains = backtest.train_score(df, df.limit(0), FEATURES)
     return gains.join(backtest.never_used(gains).withColumn("never_used", F.lit(True)), "feature", "left").fillna(False, ["never_used"])
 
 
 @register()
 def bootstrap_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean yearly gain in accuracy of prior ratings over a coin."""
-    years = elo_quality_by_year(spark, sf_dir).withColumn("gain", F.col("accuracy") - 0.5)
-    return backtest_interval(years)
+    """Interval of the mean gain in accuracy of boosted trees over Elo, from the gains of every accepted origin."""
+    gains = tables.kept(_gains(spark, sf_dir, CUTOFFS).where("model = 'full'"), "gains")
+    return backtest_interval(gains.withColumn("gain", F.col("accuracy_gain")))
 
 
 def backtest_interval(years: DataFrame) -> DataFrame:
@@ -526,18 +531,18 @@ def strategy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def select_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled; tests check the interval on a small table."""
-    return bets.select_strategy(bets.selection_holdout(_bets(spark, sf_dir), "1990-01-01", "1996-01-01").where("part = 'selection'"), 50, 500)
+    return bets.select_strategy(bets.selection_holdout(_bets(spark, sf_dir), "1990-01-01", "1996-01-01").where("part = 'selection'"))
 
 
 @register()
 def frozen_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best strategy of the selection part on the holdout: interval, p-value, verdict."""
     rows = bets.selection_holdout(_bets(spark, sf_dir), "1990-01-01", "1996-01-01")
-    best = bets.select_strategy(rows.where("part = 'selection'"), 50, 500).first()
+    best = bets.select_strategy(rows.where("part = 'selection'")).first()
     if best is None:
         return spark.createDataFrame([], "roi_mean double, roi_low double, roi_high double, roi double, p_value double, verdict string")
     chosen = tables.kept(bets.apply_strategy(rows.where("part = 'holdout'"), best["sort_column"], best["cap"], best["percent"]), "chosen")
-    return bets.verdict(bets.bootstrap_roi(chosen, 500).crossJoin(bets.permutation_pvalue(chosen, 500)))
+    return bets.verdict(bets.bootstrap_roi(chosen).crossJoin(bets.permutation_pvalue(chosen)))
 
 
 @register(BETS + f" , q AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, match_idx) AS r, count(*) OVER () AS n FROM bets) SELECT CAST(ceil(10.0 * r / n) - 1 AS INT) AS decile, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, {_FLAT} AS roi FROM q GROUP BY 1")
@@ -552,7 +557,7 @@ def ab_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def best_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bets.select_best_percentage(bets.ab_split(_bets(spark, sf_dir)).where("half = 'A'"), 500)
+    return bets.select_best_percentage(bets.ab_split(_bets(spark, sf_dir)).where("half = 'A'"))
 
 
 @register(BETS + ", q AS (SELECT *, greatest(0, least(1, confidence / PSW)) AS p FROM bets), k AS (SELECT quantile_cont(p, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS edges FROM q) SELECT greatest(0, len(list_filter(list_distinct(edges), lambda e: e < p)) - 1) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(bet_won), 6) AS observed FROM q, k GROUP BY 1")

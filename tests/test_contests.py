@@ -13,6 +13,7 @@ import pandas as pd
 import pytest
 from duelkit.functions import names, values
 from duelkit.operators import bets, dataset, fatigue, form, h2h, odds, ordering, ratings
+from duelkit.plans import queries
 from duelkit.plans.fixture import ORDER, matches, player_matches
 from duelkit.plans.queries import ORACLE_SQL, QUERIES
 from duelkit.sources import tables
@@ -177,6 +178,12 @@ def test_symmetry(spark, small):
     assert (np.where(first, back.player1_id, back.player2_id) == back.winner_id).all() and 0.4 < first.mean() < 0.6
 
 
+def test_walk_forward_of_every_origin(spark):
+    """Gains of every accepted origin (few rounds here); one with too few rows has none."""
+    got = queries._gains(spark, "/root/testdata/sf0.01", ["1993-01-01", "1997-01-01", "1998-01-01"], rounds=2).collect()
+    assert {(r.origin, r.model) for r in got} == {(o, m) for o in ("1997-01-01", "1998-01-01") for m in ("full", "rank")}
+
+
 def test_bootstrap_and_permutation(spark):
     rng = np.random.default_rng(1)
     rows = pd.DataFrame({"match_idx": range(400), "stake": 1.0, "PSW": np.round(1.2 + rng.random(400), 2), "bet_won": (rng.random(400) < 0.6).astype(int)})
