@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import parts
 
 #: Words a worker remembers; beyond it, it starts anew. Words sent to DuckDB at once.
 CACHE_WORDS, QUERY_WORDS = 600_000, 20_000
@@ -128,7 +128,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ``n_tokens``, ``ids`` (decimal, one blank between) and ``decoded`` (the bytes of the ids) to every row,
     without special tokens. Null or empty text has no ids. Columns of these names are replaced; other columns and
     repeated rows stay."""
-    small_batches(docs.sparkSession)
     docs = docs.drop("n_tokens", "ids", "decoded")
     names = docs.columns
 
@@ -136,7 +135,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         if path not in _CODERS:
             _CODERS[path] = Coder(path)
         coder = _CODERS[path]
-        for batch in batches:
+        for batch in parts(batches, text):
             words = [_PATTERN.findall(t.as_py() or "") for t in batch[text]]
             ids, n, decoded = [], [], []
             for start in range(0, len(words), 64):

@@ -4,38 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts can be long, so batches are far below Spark's default.
-BATCH_ROWS = 1000
+#: Rows and text bytes that a Python worker handles at once; one longer text is handled alone.
+PART_ROWS, PART_BYTES = 1000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of a Python worker: at most ``BATCH_ROWS`` rows of text in a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of bounded size, whatever the session's own bounds of a batch are."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if i > start and (i - start >= PART_ROWS or held + size > PART_BYTES):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else one of our own (local runs and tests)."""
+    """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a
+    temporary folder of its own; on a cluster that would be a disk which other machines can't see, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: computed once, and safe when executors are lost."""
+def kept(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: computed once, and safe when executors are lost.
+
+    The results of the operators are lazy and read such tables, so the folder's owner clears it, not the operator."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

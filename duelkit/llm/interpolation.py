@@ -6,25 +6,30 @@ c(v, w) / c(v) and c(w) / N and the even share 1 / (V + 1). The weights depend o
 and are learned by expectation-maximisation on the counts of a held-out slice of the training documents, whose own counts
 are left out of the estimates meanwhile.
 
-Counts are exchanged as arrays: every block of documents asks for the words and bigrams that it holds, one row for each
-slice of the key space, with its own counts; a slice sums the counts of all blocks and answers in the order of the asking.
-No table of counts is sent to every task, so the vocabulary may grow with the corpus. A key is 64 bits of hash: those
-that choose its slice and 48 within it; slices are bounded, so the chance that two keys of a slice meet is below 1 %.
+1. Every task packs its documents into blocks of bounded size, one table row each, written once.
+2. A block asks for its distinct words and bigrams: 64-bit hashes with the block's own counts, pre-summed, as one row for
+   each slice of the key space in which it has any. So rows exchanged never outnumber the keys of the blocks, and grow
+   with the input, while slices (as many as the input's size asks for) stay bounded.
+3. A slice sums all blocks' counts and answers each in the order of its asking; answers are joined back by block.
+
+No table of counts is sent to every task, so the vocabulary may grow with the corpus. Keys are compared by all their 64
+bits: among 10^9 distinct words two meet with a chance of 3 %, which would change the counts of these two words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, kept, small_batches
+from .common import crc_of_id, kept
 from .tokens import chunks, mix, utf8, words
 
-#: Text bytes of a block of documents, about; slices of the key space for each block.
-BLOCK_BYTES, SLICES = 16_000_000, 2
+#: Text bytes of a block of documents (one longer text is a block of its own), and for each slice of the bigrams' key space.
+BLOCK_BYTES, SLICE_BYTES = 8_000_000, 8_000_000
+#: Bytes of a row group of the table of blocks, so that few blocks are read at once.
+GROUP_BYTES = 16_000_000
 #: Frequencies of contexts, in powers of two, with a bucket each; 0 is a context that was never seen.
 BUCKETS = 28
 #: Held-out estimates are grouped by steps of 1/20 of a power of ten, 0 apart: at most BUCKETS * GRID**2 groups.
@@ -34,93 +39,149 @@ _U = np.uint64
 _END = np.full(1, 0x5DEECE66D1234567, _U)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; the first byte is that width."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+BLOCKS = "use int, ids array<bigint>, ends array<bigint>, data binary"
+
+
+def _blocks(block_bytes: int):
+    """Rows of documents -> rows of blocks; a block has documents of one use only."""
+
+    def block(use: int, parts: list[tuple[pa.Array, bytes, np.ndarray]]) -> pa.RecordBatch:
+        ids, ends = pa.concat_arrays([p[0] for p in parts]), np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))
+        data = pa.compress(b"".join(p[1] for p in parts), codec="zstd", asbytes=True)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, pa.array(ends))]
+        return pa.RecordBatch.from_arrays([pa.array([use], pa.int32()), *lists, pa.array([data])], names=["use", "ids", "ends", "data"])
+
+    def run(batches):
+        waiting: dict[int, list] = {0: [], 1: [], 2: []}
+        held = dict.fromkeys(waiting, 0)
+        for batch in batches:
+            for use, parts in waiting.items():
+                mine = batch.filter(pa.array(batch["use"].to_numpy() == use))
+                flat, offsets = utf8(mine["text"])
+                for a, b in chunks(offsets, block_bytes // 2):
+                    size = int(offsets[b] - offsets[a])
+                    if parts and held[use] + size > block_bytes:
+                        yield block(use, parts)
+                        parts.clear()
+                        held[use] = 0
+                    parts.append((mine["doc_id"].slice(a, b - a), flat[offsets[a] : offsets[b]].tobytes(), offsets[a : b + 1]))
+                    held[use] += size
+        for use, parts in waiting.items():
+            if parts:
+                yield block(use, parts)
+
+    return run
+
+
 class Block:
-    """Words and bigrams of a block of documents as sorted keys; the same for any order of its rows."""
+    """The words and bigrams of a block as sorted distinct keys, and each token's places among them."""
 
-    def __init__(self, text: pa.Array, slices: int):
-        flat, offsets = utf8(text)
-        parts, ends = [np.zeros(0, _U)], [np.zeros(1, np.int64)]
+    def __init__(self, data: bytes, ends: np.ndarray):
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        flat = np.frombuffer(pa.decompress(data, int(offsets[-1]), codec="zstd"), np.uint8)
+        parts, at = [np.zeros(0, _U)], [np.zeros(1, np.int64)]
         for a, b in chunks(offsets):
-            hashes, at = words(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            hashes, own = words(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             parts.append(hashes)
-            ends.append(ends[-1][-1] + at[1:])
+            at.append(at[-1][-1] + own[1:])
         #: Places of the documents among tokens; each has its words and then the end.
-        self.at = np.concatenate(ends)
+        self.at = np.concatenate(at)
         self.at += np.arange(len(self.at))
         tokens = np.empty(self.at[-1], _U)
         last = np.zeros(len(tokens), bool)
         last[self.at[1:] - 1] = True
         tokens[~last] = np.concatenate(parts)
         tokens[last] = _END
-        before = np.concatenate([_END, tokens[:-1]])  # the start has the end's count
-        pairs = mix(before * _U(0x9FB21C651E98DF25) + tokens)
-        self.word_keys, self.word_of = np.unique(_keys(tokens, slices), return_inverse=True)
-        self.pair_keys, self.pair_of = np.unique(_keys(pairs, slices), return_inverse=True)
-        self.before = np.concatenate([self.word_of[last][:1], self.word_of[:-1]])
-        both = np.concatenate([self.word_keys, self.pair_keys])
-        order = np.argsort(both, kind="stable")
-        self.keys, self.is_word = both[order], order < len(self.word_keys)
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
-
-    def counts(self, documents: np.ndarray) -> np.ndarray:
-        """Of each of ``keys``, the occurrences in the marked documents."""
-        each = np.repeat(documents, np.diff(self.at))
-        out = np.empty(len(self.keys), np.int64)
-        out[self.place] = np.concatenate([np.bincount(of[each], minlength=len(k)) for of, k in ((self.word_of, self.word_keys), (self.pair_of, self.pair_keys))])
-        return out
-
-    def known(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """c(w), c(v, w) and c(v) of every token, from the counts of ``keys``."""
-        own = counts[self.place]
-        one, two = own[: len(self.word_keys)], own[len(self.word_keys) :]
-        return one[self.word_of], two[self.pair_of], one[self.before]
-
-
-def _keys(hashes: np.ndarray, slices: int) -> np.ndarray:
-    """The slice in the upper 16 bits' place and 48 bits of the hash below it."""
-    return ((hashes >> _U(40)) * _U(slices) >> _U(24)) << _U(48) | mix(hashes) >> _U(16)
-
-
-def _asking(slices: int):
-    def run(group: pa.Table) -> pa.Table:
-        block = Block(group["text"].combine_chunks(), slices)
-        use = group["use"].to_numpy()
-        cut = np.searchsorted(block.keys >> _U(48), np.arange(slices + 1, dtype=_U)).astype(np.int32)
-        some = np.flatnonzero(np.diff(cut))
-        ends = pa.array(np.append(cut[some], cut[-1]).astype(np.int32))
-        low, high = (block.keys & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), (block.keys >> _U(32) & _U(0xFFFF)).astype(np.uint16).view(np.int16)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (low, high, block.counts(use == 0).astype(np.int32), block.counts(use < 2).astype(np.int32), block.is_word)]
-        name = pa.array(np.full(len(some), group["block"][0].as_py()), pa.int64())
-        return pa.table([pa.array(some, pa.int64()), name, *lists], names=["slice", "block", "low", "high", "fit", "train", "word"])
+        del flat, parts, at, last
+        pairs = np.concatenate([_END, tokens[:-1]])  # the start has the end's count
+        pairs *= _U(0x9FB21C651E98DF25)
+        pairs += tokens
+        self.words, self.word_of = _distinct(tokens)
+        del tokens
+        self.pairs, self.pair_of = _distinct(mix(pairs))
+
+    @classmethod
+    def of(cls, blocks: pa.Table | pa.RecordBatch, i: int = 0) -> Block:
+        return cls(blocks["data"][i].as_buffer(), blocks["ends"][i].values.to_numpy())
+
+    def known(self, answers: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """c(w), c(v, w) and c(v) of every token, from the answers: words in order, then bigrams in order."""
+        found = np.concatenate([unpacked(x.as_py()) for x in answers.sort_by("slice")[name]]).astype(np.int64)
+        one, two = found[: len(self.words)][self.word_of], found[len(self.words) :][self.pair_of]
+        return one, two, np.concatenate([one[-1:], one[:-1]])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, of = np.unique(keys, return_inverse=True)
+    return found, of.astype(np.int32)
+
+
+ASKED = "slice long, block long, use int, keys binary, counts binary"
+ANSWERED = "block long, slice long, fit binary, train binary, n_fit long, n_train long, n_kinds long"
+
+
+def _asking(word_slices: int, pair_slices: int):
+    """A block's rows: slices 0 and on are of words, those from ``word_slices`` on of bigrams."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                block, use, name = Block.of(batch, i), batch["use"][i].as_py(), batch["block"][i].as_py()
+                out: list[list] = [[], [], []]
+                for first, n, keys, of in ((0, word_slices, block.words, block.word_of), (word_slices, pair_slices, block.pairs, block.pair_of)):
+                    counts = np.bincount(of, minlength=len(keys))
+                    at = (keys >> _U(32)) * _U(n) >> _U(32)
+                    cut = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(keys)]
+                    for a, b in zip(cut[:-1], cut[1:], strict=True):
+                        out[0].append(first + int(at[a]))
+                        out[1].append(packed(np.diff(keys[a:b], prepend=_U(0))))
+                        out[2].append(b"" if use == 2 else packed(counts[a:b]))
+                size = len(out[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], pa.int64()), pa.array(np.full(size, name)), pa.array(np.full(size, use, np.int32)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
+                    names=["slice", "block", "use", "keys", "counts"],
+                )
 
     return run
 
 
-ASKED = "slice long, block long, low array<int>, high array<smallint>, fit array<int>, train array<int>, word array<boolean>"
-ANSWERED = "block long, slice long, fit array<bigint>, train array<bigint>"
-
-
-def _answer(group: pa.Table) -> pa.Table:
-    """Sums of a slice, to each block in the order of its keys; block -1 has the slice's tokens and distinct words."""
-    lists = {n: group[n].combine_chunks() for n in ("low", "high", "fit", "train", "word")}
-    flat = {n: x.flatten().to_numpy(zero_copy_only=False) for n, x in lists.items()}
-    size = np.diff(np.asarray(lists["low"].offsets))
-    keys, of = np.unique(flat["low"].view(np.uint32).astype(_U) | flat["high"].view(np.uint16).astype(_U) << _U(32), return_inverse=True)
-    word = np.zeros(len(keys), bool)
-    word[of[flat["word"]]] = True
-    ends = pa.array(np.concatenate([[0], np.cumsum(size), [len(of) + 2]]).astype(np.int32))
-    made = []
-    for n in ("fit", "train"):
-        total = np.bincount(of, weights=flat[n], minlength=len(keys)).astype(np.int64)
-        made.append(pa.ListArray.from_arrays(ends, pa.array(np.append(total[of], [total[word].sum(), (total[word] > 0).sum()]))))
-    slices = pa.array(np.full(len(size) + 1, group["slice"][0].as_py()), pa.int64())
-    return pa.table([pa.concat_arrays([group["block"].combine_chunks(), pa.array([-1], pa.int64())]), slices, *made], names=["block", "slice", "fit", "train"])
-
+def _answer(word_slices: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Sums of a slice, to each block in the order of its keys (fitted counts to held-out blocks alone); the row of
+        block -1 has a slice of words' tokens and distinct words."""
+        asked = [np.cumsum(unpacked(x.as_py()), dtype=_U) for x in group["keys"]]
+        sizes = [len(x) for x in asked]
+        keys, of = _distinct(np.concatenate(asked))
+        del asked
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        total = {n: np.zeros(len(keys), np.int64) for n in ("fit", "train")}
+        uses = group["use"].to_pylist()
+        for use, a, b, counts in zip(uses, ends[:-1], ends[1:], group["counts"], strict=True):
+            if use < 2:  # keys of a row are distinct
+                own = unpacked(counts.as_py()).astype(np.int64)
+                total["train"][of[a:b]] += own
+                if use == 0:
+                    total["fit"][of[a:b]] += own
+        out = {n: [packed(x[of[a:b]]) if n == "train" or use == 1 else None for use, a, b in zip(uses, ends[:-1], ends[1:], strict=True)] for n, x in total.items()}
+        name, none = group["slice"][0].as_py(), [None] * len(uses)
+        sums = [int(total["fit"].sum()), int(total["train"].sum()), int((total["train"] > 0).sum())] if name < word_slices else [None] * 3
+        columns = [pa.array([*group["block"].to_pylist(), -1]), pa.array(np.full(len(uses) + 1, name)), *(pa.array([*out[n], None], pa.binary()) for n in ("fit", "train"))]
+        return pa.table([*columns, *(pa.array([*none, x], pa.int64()) for x in sums)], names=[c.split(" ")[0] for c in ANSWERED.split(", ")])
 
-def _answers(answers: pa.Table, name: str) -> np.ndarray:
-    """A block's answers, in the order of its keys."""
-    return answers.sort_by("slice")[name].combine_chunks().flatten().to_numpy()
+    return run
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -131,12 +192,12 @@ def _grid(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(GRID - 1 + np.round(20 * np.log10(np.maximum(p, 1e-300))), 1, GRID - 1), 0).astype(np.int64)
 
 
-def _held(slices: int, fitted: int):
+def _held(fitted: int):
     """Held-out tokens of a block, counted by context bucket and estimates (without the held-out slice) on the grid."""
 
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(texts["text"].combine_chunks(), slices)
-        one, two, context = block.known(_answers(answers, "fit"))
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block.of(blocks)
+        one, two, context = block.known(answers, "fit")
         group = (_bucket(context) * GRID + _grid(two / np.maximum(context, 1))) * GRID + _grid(one / max(fitted, 1))
         groups, times = np.unique(group, return_counts=True)
         return pa.table([pa.array(groups), pa.array(times)], names=["grp", "times"])
@@ -166,46 +227,51 @@ def learn_weights(held: dict[int, int], kinds: int, steps: int = STEPS) -> np.nd
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(slices: int, tokens: int, kinds: int, weights: np.ndarray):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(texts["text"].combine_chunks(), slices)
-        one, two, context = block.known(_answers(answers, "train"))
-        a, b, c = weights[:, _bucket(context)]
-        p = a * two / np.maximum(context, 1) + b * one / max(tokens, 1) + c / (kinds + 1)
+def _scored(tokens: int, kinds: int, weights: np.ndarray):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block.of(blocks)
+        one, two, context = block.known(answers, "train")
 
         def summed(x: np.ndarray) -> np.ndarray:  # each document by itself: equal texts get equal sums
             return np.round(np.add.reduceat(x, block.at[:-1]), 6)
 
+        bucket = _bucket(context)
+        p = weights[0][bucket] * two
+        p /= np.maximum(context, 1)
+        p += weights[1][bucket] * one / max(tokens, 1)
+        p += weights[2][bucket] / (kinds + 1)
+        score = summed(np.log10(p, out=p))
+        base = summed(np.log10((one + 1) / (tokens + (kinds + 1))))
         n = np.diff(block.at)
-        base = np.log10((one + 1) / (tokens + (kinds + 1)))
-        columns = [pa.array(n), pa.array(np.add.reduceat((one > 0).astype(np.int64), block.at[:-1])), pa.array(np.full(len(n), tokens)), pa.array(summed(base)), pa.array(summed(np.log10(p)))]
-        return pa.table([texts["doc_id"], pc.equal(texts["use"], 2), *columns], names=[c.split(" ")[0] for c in SCORES.split(", ")])
+        known = np.add.reduceat((one > 0).astype(np.int64), block.at[:-1])
+        held_out = pa.array(np.full(len(n), blocks["use"][0].as_py() == 2))
+        columns = [blocks["ids"][0].values, held_out, pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)]
+        return pa.table(columns, names=[c.split(" ")[0] for c in SCORES.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, use): use 0 is fitted on, 1 gives the held-out counts that the weights are
     learned from (after that it is counted too), 2 is scored only.
 
     ``base_score`` is the add-one unigram score over training words, ``score`` the model's log10 probability of the text,
-    ``n_known`` the tokens that training has. Null text counts as empty (its end alone). Repeated rows count as often
-    as they stand; equal texts get equal scores. An empty table gives none.
+    ``n_known`` the tokens that training has. Null text counts as empty (its end alone). Repeated rows, rows of one id and
+    rows without one are rows of their own, each counted; equal texts get equal scores. Other columns are not read and
+    not returned. An empty table gives none.
     """
-    small_batches(docs.sparkSession)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(8, size // block_bytes)
-    slices = min(60_000, SLICES * blocks)
-    # held-out blocks (below -1) are apart, so that learning the weights reads them alone
-    named = F.xxhash64("doc_id", "text")
-    block = F.when(F.col("use") == 1, -2 - F.pmod(named, F.lit(max(2, blocks // 7)))).otherwise(F.pmod(named, F.lit(blocks)))
-    rows = docs.select("doc_id", "text", "use", block.cast("long").alias("block"))
-    answers = kept(rows.groupBy("block").applyInArrow(_asking(slices), ASKED).groupBy("slice").applyInArrow(_answer, ANSWERED), "answers")
-    fitted, tokens, kinds = (int(x or 0) for x in answers.where("block = -1").agg(F.sum(F.col("fit")[0]), F.sum(F.col("train")[0]), F.sum(F.col("train")[1])).first())
-    mine = answers.where("block <> -1")
-    held = rows.where("use = 1").groupBy("block").cogroup(mine.where("block < -1").groupBy("block")).applyInArrow(_held(slices, fitted), "grp long, times long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("use").cast("int").alias("use"))
+    blocks = kept(rows.mapInArrow(_blocks(block_bytes), BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks", {"parquet.block.size": GROUP_BYTES})
+    size = int(blocks.agg(F.coalesce(F.sum(F.element_at("ends", -1)), F.lit(0))).first()[0])
+    pair_slices = max(4, size // slice_bytes)
+    word_slices = max(2, pair_slices // 4)
+    asked = blocks.mapInArrow(_asking(word_slices, pair_slices), ASKED)
+    answers = kept(asked.groupBy("slice").applyInArrow(_answer(word_slices), ANSWERED), "answers")
+    fitted, tokens, kinds = (int(x or 0) for x in answers.where("block = -1").agg(F.sum("n_fit"), F.sum("n_train"), F.sum("n_kinds")).first())
+    mine = answers.where("block <> -1").select("block", "slice", "fit", "train")
+    held = blocks.where("use = 1").groupBy("block").cogroup(mine.where("fit is not null").drop("train").groupBy("block")).applyInArrow(_held(fitted), "grp long, times long")
     weights = learn_weights(dict(map(tuple, held.groupBy("grp").agg(F.sum("times")).collect())), kinds)
-    return rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_scored(slices, tokens, kinds, weights), SCORES)
+    return blocks.groupBy("block").cogroup(mine.drop("fit").groupBy("block")).applyInArrow(_scored(tokens, kinds, weights), SCORES)
 
 
 def scores(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, kept, small_batches
+from .common import crc_of_id, kept, parts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The bounded sample that the model is fitted on: about so many labelled documents.
@@ -40,7 +40,7 @@ def grams(word: str, n: int) -> list[str]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
-    for batch in batches:
+    for batch in parts(batches, "text"):
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             total.update((lang, w) for w in WORD.findall(text.lower()))
     both = list(total)
@@ -66,7 +66,6 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text",
     hash of the id: a bounded sample and a bounded model, which is why the model may be sent to every worker. Word and
     n-gram counts are summed by Spark; the most frequent of each language are kept. No rows give a model of no language.
     """
-    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)).alias("h")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
@@ -152,14 +151,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (0 to 1) to every row, reading the text alone; columns of these names are
     replaced. Null text, text without a letter or a model of no language give ``und`` and 0. Whole texts are read."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in parts(batches, text):
             got = [classify(t.as_py(), scorer) for t in batch[text]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches
+from .common import kept, parts
 from .tokens import chunks, mix, sets, spans, utf8
 
 #: Words that a common block must have if many documents share it. Chance does not repeat so many, and boilerplate lines
@@ -84,7 +84,7 @@ def _tagged(hashes: np.ndarray, kind: int) -> np.ndarray:
 
 def _lines(least: int, rare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             flat, offsets = utf8(batch["text"])
             for a, b in chunks(offsets):
                 hashes, words, at = _split(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -203,7 +203,6 @@ def deleted_lines(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE_WORD
     square of a group. Every block of ``least`` words, and every rare one of ``rare`` words, that an earlier row has is
     covered by such runs.
     """
-    small_batches(docs.sparkSession)
     key = docs.schema["row_key"].dataType.simpleString()
     made = kept(docs.mapInArrow(_lines(least, rare), f"row_key {key}, lines array<bigint>, words array<int>, anchors array<bigint>").dropDuplicates(["row_key"]), "lines")
     runs = made.select("row_key", F.explode("anchors").alias("run"))

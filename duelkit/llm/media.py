@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import parts
 
 RATE = 8000
 BLOCK = 64
@@ -78,7 +78,7 @@ def landmarks(samples: np.ndarray) -> np.ndarray:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, "media"):
         rows: list[list] = [[], [], [], []]
         for media in batch["media"]:
             if not media.is_valid:
@@ -98,7 +98,6 @@ def read_wav(df: DataFrame, media: str = "media") -> DataFrame:
     """Replaces ``media`` by what is read from it: ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (of the last 64
     bytes) and ``landmarks`` (see :func:`landmarks`). A null file gives nulls; other columns stay, one row per row;
     input columns of these four names are replaced."""
-    small_batches(df.sparkSession)
     made = ["payload_bytes", "payload_sha256", "tail_crc32", "landmarks"]
     df = df.withColumnRenamed(media, "media").drop(*made)
     rest = df.drop("media").schema

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches
+from .common import parts
 
 #: Words whose ids a worker remembers; beyond it, it starts anew.
 CACHE_WORDS = 800_000
@@ -106,13 +106,12 @@ def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str =
     """
     if most & (most - 1):
         raise ValueError("most must be a power of two")
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _CACHES:
             _CACHES[path] = _Ids(path)
         ids = _CACHES[path]
-        for batch in batches:
+        for batch in parts(batches, "t"):
             out: list[list[int]] = [[] for _ in range(8)]
             for key, doc, data in zip(batch["k"].to_pylist(), batch["d"].to_pylist(), token_bytes(batch["t"].to_pylist(), ids, end), strict=True):
                 n, at = len(data) // 4, 0

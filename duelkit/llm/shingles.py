@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches
+from .common import kept, parts
 from .tokens import chunks, grams, mix, sets, utf8, words
 
 SHINGLE = 5
@@ -45,7 +45,7 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, "text"):
         flat, offsets = utf8(batch["text"])
         for a, b in chunks(offsets):
             values, at = shingle_sets(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -69,7 +69,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, "text"):
         flat, offsets = utf8(batch["text"])
         for a, b in chunks(offsets):
             values, at = shingle_sets(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -170,7 +170,6 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", do
 
     Rows that share an id are one node. Null ids are nodes of their own only if their text differs from all others.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = kept(rows.mapInArrow(_signed, "doc_id long, n_shingles long, key1 long, key2 long, bands array<bigint>"), "signed")
     key = ["key1", "key2", "n_shingles"]
