@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -67,7 +68,10 @@ class _Ids(dict):
             self.update((c, data[cut[k] : cut[k + 1]]) for k, c in enumerate(part))
 
 
-_CACHES: dict[str, _Ids] = {}
+@lru_cache(maxsize=1)
+def _ids(path: str) -> _Ids:
+    """One for each worker, whatever the number of its tasks."""
+    return _Ids(path)
 
 
 def split(text: str | None) -> list[str]:
@@ -83,11 +87,10 @@ def split(text: str | None) -> list[str]:
 def token_bytes(texts: list[str | None], ids: _Ids, end: int) -> Iterator[bytes]:
     """For each text its ids and then ``end``, four bytes each."""
     last = np.array([end], "<u4").tobytes()
-    for i in range(0, len(texts), 32):
-        chunks = [split(t) for t in texts[i : i + 32]]
-        ids.learn(set().union(*chunks))
-        for own in chunks:
-            yield b"".join(map(ids.__getitem__, own)) + last
+    chunks = [split(t) for t in texts]
+    ids.learn(set().union(*chunks))
+    for own in chunks:
+        yield b"".join(map(ids.__getitem__, own)) + last
 
 
 def pieces(n: int, most: int) -> list[int]:
@@ -108,9 +111,7 @@ def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str =
         raise ValueError("most must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _CACHES:
-            _CACHES[path] = _Ids(path)
-        ids = _CACHES[path]
+        ids = _ids(path)
         for batch in parts(batches, "t"):
             out: list[list[int]] = [[] for _ in range(8)]
             for key, doc, data in zip(batch["k"].to_pylist(), batch["d"].to_pylist(), token_bytes(batch["t"].to_pylist(), ids, end), strict=True):
