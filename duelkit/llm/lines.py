@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, parts
+from .common import kept, let, parts
 from .tokens import chunks, mix, sets, spans, utf8
 
 #: Words that a common block must have if many documents share it. Chance does not repeat so many, and boilerplate lines
@@ -21,8 +22,10 @@ MIN_WORDS = 20
 RARE_WORDS, RARE_DOCS = 5, 10
 #: Kinds of anchors, in the two low bits of their hashes.
 LONG, RARE, WHOLE = 0, 1, 2
-#: So many of the most frequent short runs, which link nothing, are kept out of the join by a broadcast.
+#: So many of the most frequent runs are looked up by a broadcast, so that none of them is a crowded key of a join.
 FREQUENT = 1000
+#: Rows that share runs with one earlier row, for each copy of that row's lines; more are dealt to several copies.
+FAN = 1000
 
 
 def _split(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,20 +128,24 @@ def common_blocks(old: list[int], old_runs: list[int], new: list[int], new_runs:
 
     Patience diff on the runs that both have: the n-th open copy of a run in one stands for its n-th copy in the other,
     so anchors are unique; a longest rising subsequence of them is kept and each anchor grows up and down over equal
-    lines. The rest is aligned again until no common run is left, so moved and repeated blocks go too."""
+    lines. The rest is aligned again, so moved and repeated blocks go too; once a pass leaves most of its runs open (few old
+    copies, many new ones), each that is left grows from its first old copy in turn. Time is n log n in lines."""
     places: dict[int, list[int]] = {}
     for i, r in enumerate(old_runs):
         if r:
             places.setdefault(r, []).append(i)
+    total = [0, *accumulate(words)]
+    ends = [bisect_left(total, t + least, i + 1) for i, t in enumerate(total[:-1])]  # of the run that starts at a line
+    is_open = lambda i: i not in gone and gone.isdisjoint(range(i, ends[i]))
+
+    def grow(i: int, j: int) -> None:
+        lo, hi, shift = i, ends[i], j - i
+        while lo > 0 and lo - 1 + shift >= 0 and lo - 1 not in gone and new[lo - 1] == old[lo - 1 + shift]:
+            lo -= 1
+        while hi < len(new) and hi + shift < len(old) and hi not in gone and new[hi] == old[hi + shift]:
+            hi += 1
+        gone.update(range(lo, hi))
 
-    def length(i: int) -> int:
-        n = j = 0
-        while n < least:
-            n += words[i + j]
-            j += 1
-        return j
-
-    is_open = lambda i: i not in gone and gone.isdisjoint(range(i, i + length(i)))
     starts = [i for i, r in enumerate(new_runs) if r in places and is_open(i)]
     while starts:
         seen: dict[int, int] = {}
@@ -149,14 +156,14 @@ def common_blocks(old: list[int], old_runs: list[int], new: list[int], new_runs:
                 here.append(i)
                 there.append(places[new_runs[i]][k])
         for p in rising(there):
-            i, j = here[p], there[p]
-            lo, hi, shift = i, i + length(i), j - i
-            while lo > 0 and lo - 1 + shift >= 0 and lo - 1 not in gone and new[lo - 1] == old[lo - 1 + shift]:
-                lo -= 1
-            while hi < len(new) and hi + shift < len(old) and hi not in gone and new[hi] == old[hi + shift]:
-                hi += 1
-            gone.update(range(lo, hi))
-        starts = [i for i in starts if is_open(i)]
+            grow(here[p], there[p])
+        left = [i for i in starts if is_open(i)]
+        if 2 * len(left) > len(starts):
+            for i in left:
+                if is_open(i):
+                    grow(i, places[new_runs[i]][0])
+            return
+        starts = left
 
 
 def _cut(old: tuple[list[int], ...], new: tuple[list[int], ...], words: list[int], marks: list[int], least: int, rare: int) -> list[int]:
@@ -168,7 +175,8 @@ def _cut(old: tuple[list[int], ...], new: tuple[list[int], ...], words: list[int
     if known:
         common_blocks(old[0], [r if r in known else 0 for r in old[2]], new[0], [r if r in known else 0 for r in new[2]], words, rare, gone)
     if any(r & 3 == WHOLE for r in known):
-        gone.update(i for i, x in enumerate(new[0]) if x in old[0])
+        lines = set(old[0])
+        gone.update(i for i, x in enumerate(new[0]) if x in lines)
     return sorted(gone)
 
 
@@ -208,24 +216,35 @@ def deleted_lines(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE_WORD
     runs = made.select("row_key", F.explode("anchors").alias("run"))
     kind = F.col("run").bitwiseAND(F.lit(3))
     held = runs.groupBy("run").agg(F.min("row_key").alias("owner"), F.max("row_key").alias("last"), F.count("*").alias("n")).where("owner < last")
-    # the short runs' holders: a product, as a filter by kind would be pushed below the counts, which then were made twice
-    frequent = held.select("run", (F.col("n") * (kind == RARE).cast("long")).alias("n")).where(F.col("n") > most).orderBy(F.desc("n"), "run").limit(FREQUENT)
-    first = held.where((kind != RARE) | (F.col("n") <= most)).select("run", "owner")
-    pairs = runs.join(F.broadcast(frequent), "run", "left_anti").join(first, "run").where("row_key > owner").groupBy("row_key", "owner").agg(F.collect_list(F.when(kind != LONG, F.col("run"))).alias("marks"))
+    # a row for each run that several hold: its first holder, and whether it links (short runs only if rare)
+    links = kept(held.select("run", "owner", "n", ((kind != RARE) | (F.col("n") <= most)).alias("links")), "runs")
+    frequent = kept(links.orderBy(F.desc("n"), "run").limit(FREQUENT), "frequent")
+    told = runs.join(F.broadcast(frequent), "run", "left")
+    rest = told.where("owner is null").select("row_key", "run").join(links.where("links").join(F.broadcast(frequent.select("run")), "run", "left_anti").select("run", "owner", "n"), "run")
+    found = told.where("links").select("run", "row_key", "owner", "n").unionByName(rest.select("run", "row_key", "owner", "n")).where("row_key > owner")
+    pairs = found.groupBy("row_key", "owner").agg(F.collect_list(F.when(kind != LONG, F.col("run"))).alias("marks"), F.max("n").alias("n"))
+    # an old row's lines go to as many copies as its most frequent run asks for; a pair picks one of them
+    copies = F.ceil(F.col("n") / FAN).cast("long")
+    pairs = pairs.withColumn("copy", F.pmod(F.xxhash64("row_key"), copies)).drop("n")
+    owners = links.where("links").groupBy("owner").agg(F.max("n").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n")
     sides = made.select("row_key", "lines", "words")
-    old = sides.select(F.col("row_key").alias("owner"), F.col("lines").alias("o_lines"), F.col("words").alias("o_words"))
-    both = pairs.join(sides, "row_key").join(old, "owner")
+    old = sides.select(F.col("row_key").alias("owner"), F.col("lines").alias("o_lines"), F.col("words").alias("o_words")).join(owners, "owner")
+    both = pairs.join(sides, "row_key").join(old, ["owner", "copy"])
     return both.mapInArrow(_aligned(least, rare), f"row_key {key}, cut array<int>").groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut")).where("size(cut) > 0")
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs``, with ``text`` rid of its deleted lines, ``n_lines`` and ``lines_cut`` (numbers of
-    the deleted lines). "Later" means a larger id; rows of one id, or without one, follow by a hash of the text. Null
+    the deleted lines). "Later" means a larger id; rows of one id follow by a hash of the text, rows without an id come first
+    (nulls sort first). Rows that are equal in id and text are one row here: all keep, or all lose, the same lines. Null
     text stays null; a text that loses all lines becomes empty. Columns of the two names are replaced."""
-    docs = docs.drop("n_lines", "lines_cut", "row_key")
+    docs = docs.drop("n_lines", "lines_cut", "row_key", "cut")
     keyed = docs.withColumn("row_key", F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h")))
     cuts = deleted_lines(keyed.select("row_key", F.col(text).alias("text")), least)
     joined = keyed.join(cuts, "row_key", "left")
     lines = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("cut", i)), "\n")
+    # the lines between two deleted ones, then those after the last: as many slices as deleted lines and one more
+    start = lambda k: F.coalesce(F.get("cut", k - 1), F.lit(-1)) + 2
+    gap = lambda a, k: F.coalesce(F.get("cut", k), F.size(a)) + 1 - start(k)
+    left = let(lines, lambda a: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("cut")), lambda k: F.slice(a, start(k), gap(a, k)))), "\n"))
     return joined.withColumns({text: F.when(F.col("cut").isNull(), F.col(text)).otherwise(left), "n_lines": F.coalesce(F.size(lines), F.lit(0)), "lines_cut": F.coalesce("cut", F.array().cast("array<int>"))}).drop("row_key", "cut")
