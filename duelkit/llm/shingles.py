@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, parts
 from .tokens import chunks, grams, mix, sets, utf8, words
 
 SHINGLE = 5
-#: 30 bands of 4 coordinates: a pair of similarity 0.85 meets in no band once in 4e9 times, one of 0.8 once in 2e7.
+#: 30 bands of 4 coordinates: a pair of similarity 0.85 meets in no band once in 4e9 times, one of 0.8 once in 7e6.
 BANDS, ROWS = 30, 4
+#: Documents of a bucket, and of one class of sizes in it, that one task compares with others; larger ones are split.
+CROWD = 500
 _U32 = np.uint32
 
 
@@ -63,8 +66,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + rows[:, :, r])
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].slice(a, b - a), pa.array(size, pa.int64()), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)))],
-                names=["doc_id", "n_shingles", "key1", "key2", "bands"],
+                [batch["doc_id"].slice(a, b - a), batch["doc"].slice(a, b - a), pa.array(size, pa.int64()), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)))],
+                names=["doc_id", "doc", "n_shingles", "key1", "key2", "bands"],
             )
 
 
@@ -122,7 +125,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open(told: DataFrame) -> DataFrame:
     """Rows (band, doc, n, comp, ...) of the buckets that hold several components."""
-    several = told.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    several = kept(told.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), "open")
     return told.join(several, "band")
 
 
@@ -135,7 +138,7 @@ def _bounded(active: DataFrame, texts: DataFrame, threshold: int, rounds: int =
         active = kept(active.select("band", "doc", "n", "comp"), "active")
         docs = active.select("doc", "comp").distinct()
         own = texts.join(docs, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text").mapInArrow(_shingled, "doc long, shingle long").join(docs, "doc")
-        held = own.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
+        held = kept(own.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle"), "shared")
         common = own.join(held, "shingle").groupBy("doc").agg(F.count("*").alias("common"))
         alone = F.col("n") - F.coalesce("common", F.lit(0))
         active = _open(active.join(common, "doc", "left").withColumn("alone", alone).where(F.expr(f"100 * (n - alone) >= {threshold} * n")))
@@ -144,15 +147,24 @@ def _bounded(active: DataFrame, texts: DataFrame, threshold: int, rounds: int =
 
 def _across(active: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and that the bounds allow; each pair once, from the
-    first bucket that it shares."""
+    first bucket that it shares.
+
+    Texts of a bucket are dealt by classes of sizes: a link is possible within a class and with the next one only. A
+    class of more than ``CROWD`` texts is split, and each part meets copies of the others, so no task holds a whole one."""
     bands = active.groupBy("doc").agg(F.collect_list("band").alias("bands"))  # BANDS at most
-    one = active.join(bands, "doc")
-    two = one.select(*[F.col(c).alias(c + "2") for c in ("band", "doc", "n", "comp", "alone", "bands")])
+    width = max(math.log(100 / threshold), 1e-3) + 1e-9
+    one = active.withColumn("class", F.floor(F.log("n") / width).cast("int"))
+    crowds = kept(one.groupBy("band", "class").agg(F.ceil(F.count("*") / CROWD).cast("long").alias("parts")).where("parts > 1"), "crowds")
+    one = one.join(bands, "doc")
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    two = one.withColumn("class", near).select("band", "class", *[F.col(c).alias(c + "2") for c in ("doc", "n", "comp", "alone", "bands")])
+    count = F.coalesce("parts", F.lit(1))
+    one = one.join(crowds, ["band", "class"], "left").withColumn("part", F.pmod(F.xxhash64("doc"), count)).drop("parts")
+    two = two.join(crowds, ["band", "class"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts")
     most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))
     allowed = (F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & (100 * most >= threshold * (F.col("n") + F.col("n2") - most))
     first = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
-    met = one.join(two, (F.col("band") == F.col("band2")) & allowed & first)
-    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
+    return one.join(two, ["band", "class", "part"]).where(allowed & first).select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -168,22 +180,27 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", do
     3. Buckets that still hold several components are compared across components. Shingles that no other such document
        holds bound the overlap from above, exactly, which leaves few pairs; they are verified in the same way.
 
-    Rows that share an id are one node. Null ids are nodes of their own only if their text differs from all others.
+    What is linked are texts, told apart by 64 bits of hash (two of 10^9 texts meet with a chance of 3 %), and sets, equal if
+    128 bits of hash and their sizes are. So rows that share an id, repeated rows and rows without an id are all linked by their texts.
+    ``component_id`` is the least id of any row of the component, and null if no row of it has one; then ``kept`` is one of its
+    rows. Rows without an id are not kept beside rows that have one. ``text_key`` is the text's hash (null text: null), by
+    which rows of one id can be told apart. Other columns are not read. An empty table gives none.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = kept(rows.mapInArrow(_signed, "doc_id long, n_shingles long, key1 long, key2 long, bands array<bigint>"), "signed")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("doc"))
+    signed = kept(rows.mapInArrow(_signed, "doc_id long, doc long, n_shingles long, key1 long, key2 long, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()), "signed")
     key = ["key1", "key2", "n_shingles"]
-    first = kept(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "sets")
-    member = signed.select("doc_id", *key).join(first, key, "left")
-    nodes = signed.join(first.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    several = nodes.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    live = kept(nodes.join(several, "band").dropDuplicates(["band", "doc"]), "buckets")
+    first = kept(signed.where("n_shingles > 0").groupBy(*key).agg(F.min_by("doc", "row").alias("rep"), F.min("doc_id").alias("least_id"), F.min("row").alias("least_row")), "sets")
+    member = signed.select("doc_id", "doc", "row", *key).join(first.select(*key, "rep"), key, "left")
+    nodes = signed.join(first.select(F.col("least_row").alias("row")), "row", "left_semi").select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    # counts and hubs of buckets are written first: joins with a crowded bucket can then be split
+    several = kept(nodes.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "several")
+    live = kept(nodes.join(several, "band"), "buckets")
     weight = live.groupBy("doc").agg(F.sum("size").alias("weight"))
-    hub = live.join(weight, "doc").groupBy("band").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("hub"))
+    hub = kept(live.join(weight, "doc").groupBy("band").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("hub")), "hubs")
     near_size = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * threshold
     sizes = live.select(F.col("doc").alias("hub"), F.col("n").alias("n2")).distinct()
     star = live.join(hub, "band").where("doc <> hub").select("doc", "hub", "n").distinct().join(sizes, "hub").where(near_size).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    texts = kept(rows.withColumnRenamed("doc_id", "doc").join(live.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    texts = kept(rows.select("doc", "text").join(live.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
     links = kept(verify(star, texts, threshold), "links")
     comp = components(links)
 
@@ -193,6 +210,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", do
         more = kept(verify(_across(active, threshold), texts, threshold), "links")
         if more.limit(1).count():
             comp = components(links.unionByName(more))
-    out = member.join(comp.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
-    component = F.coalesce("comp", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    label = first.join(comp.select(F.col("doc").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    least = label.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min("least_row").alias("least_row"))
+    out = member.join(label.join(least.withColumnRenamed("least_row", "first_row"), "comp").select("rep", "component_id", "first_row", F.lit(True).alias("linked")), "rep", "left")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
+    stays = F.when(F.col("linked").isNull(), True).when(F.col("component_id").isNull(), F.col("row") == F.col("first_row")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), stays.alias("kept"), F.col("doc").alias("text_key"))
+
+
+def text_key(text: str) -> Column:
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
