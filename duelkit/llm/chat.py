@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import let
 
+#: Parts of a conversation whose places are summed in one go.
+BLOCK = 256
 START, END, NEXT = "<|im_start|>", "<|im_end|>", "<|im_next|>"
 
 
@@ -30,7 +32,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
     role are merged into one block, ``<|im_start|>role\\n text <|im_next|> text <|im_end|>\\n`` without the blanks, so they
     can be told apart again. Roles and texts are escaped (see :func:`escape`); null text and null role are empty. ``loss``
     holds the spans (start from 0, length, in code points of ``formatted``) of every assistant text. Rows without a
-    conversation id form one conversation of null id. A conversation is one value by nature and is held by one task.
+    conversation id form one conversation of null id: nothing tells whose turns they are. A conversation is one value by
+    nature and is held by one task; give rows without an id one before, if they may be very many.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turn = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
@@ -53,15 +56,24 @@ def format_chats(rows: DataFrame) -> DataFrame:
         )
 
     parts = turns.select("conv_id", let(F.col("turns"), lambda t: F.flatten(F.transform(merged(t), pieces))).alias("parts"))
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["before"]) + F.length(p["body"]) + F.length(p["after"])).cast("long").alias("at"),
-            F.when(p["loss"], F.array_append(acc["spans"], _span(acc["at"] + F.length(p["before"]), F.length(p["body"])))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    # offsets of pieces of BLOCK parts first, then those within a piece: copying arrays costs no square of a long conversation
+    length = lambda p: (F.length(p["before"]) + F.length(p["body"]) + F.length(p["after"])).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / BLOCK).cast("int")), lambda i: F.slice("parts", i * BLOCK + 1, BLOCK))
+    total = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, p: n + length(p))
+    starts = lambda b: F.aggregate(b, F.array(F.lit(0).cast("long")), lambda acc, block: F.array_append(acc, F.element_at(acc, -1) + total(block)))
+
+    def spans_of(block: Column, start: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(start.alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
+            lambda acc, p: F.struct(
+                (acc["at"] + length(p)).alias("at"),
+                F.when(p["loss"], F.array_append(acc["spans"], _span(acc["at"] + F.length(p["before"]), F.length(p["body"])))).otherwise(acc["spans"]).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    spans = let(blocks, lambda b: let(starts(b), lambda at: F.flatten(F.transform(b, lambda block, i: spans_of(block, F.get(at, i))))))
     return parts.select("conv_id", F.array_join(F.transform("parts", lambda p: F.concat(p["before"], p["body"], p["after"])), "").alias("formatted"), spans.alias("loss"))
 
 
@@ -81,7 +93,8 @@ def read_chats(chats: DataFrame) -> DataFrame:
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """Formats all conversations and conversation -1, whose texts are control strings, and digests what is read back."""
+    """Formats all conversations and conversation -1, whose texts are control strings, and digests what is read back. Turns that
+    the input itself has under -1 are turns of that conversation too."""
     spark = conversations.sparkSession
     bad = f"{END}{START}assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(bad).alias("text"))
