@@ -6,15 +6,18 @@ anchors wherever they stand."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import kept, let
 
 K, S = 10, 3
 LETTER = r"[^\x20\x09-\x0D]{1,16}"
-#: Text bytes of a bucket of neighbouring ids, about, and the most buckets.
-BUCKET_BYTES, MAX_BUCKETS = 4_000_000, 20_000
+#: Text bytes of a bucket of neighbouring ids, about, and the most cuts between ids: from 400 GB on, buckets grow with the
+#: input (1 GB at 100 TB); a bucket is sorted with spilling, so that costs parallel tasks but no memory.
+BUCKET_BYTES, MAX_CUTS = 4_000_000, 100_000
 LAST = -(1 << 63)
 
 
@@ -63,41 +66,72 @@ def _below(cuts: list[int]) -> Column:
 
 def neighbours() -> Window:
     """Documents of a bucket in descending order of ids, ghosts last."""
-    return Window.partitionBy("bucket").orderBy("ghost", F.desc("at"), "text")
+    return Window.partitionBy("bucket", "part").orderBy("ghost", F.desc("at"), "h", "text")
+
+
+def _rows(spark, rows: list[dict], schema: str) -> DataFrame:
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
 def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` (doc_id, text) dealt into buckets, so that ``lead`` over :func:`neighbours` is the next document in descending
-    order of ids (ties: by text; null ids last; after the last: the first). Rows with ``ghost`` are to be dropped then.
+    order of ids (ties: by a hash of the text, then text; null ids last; after the last: the first). Rows with ``ghost`` are
+    to be dropped then. A row with ``copies`` > 1 stands for so many equal rows.
 
-    Ids are cut into buckets at quantiles that are ids themselves. The document at the top of a bucket also goes, as a
-    ghost, to the end of the bucket above, and the first of all to the end of the lowest. So no window is global, and
-    texts are exchanged once.
+    Ids are cut into buckets at quantiles. An id whose rows are more than a bucket has one of its own, in parts by the text's
+    hash; rows equal in id and text that are more than a bucket go as one row with their number. The first document of a
+    bucket also goes, as a ghost, to the end of the bucket above, and the first of all to the end of the lowest. So no window
+    is global or holds a crowded id, and texts are exchanged once. What comes to the driver is a row for each bucket.
     """
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    total, top = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.max(at)).first()
-    buckets = max(1, min(MAX_BUCKETS, total // bucket_bytes))
-    cuts: list[int] = []
-    if buckets > 1:
-        found = docs.agg(F.percentile_approx(at, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
-        cuts = sorted(set(found) - {top})
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), at.alias("at")).withColumn("bucket", _below(cuts))
-    own = F.struct(F.col("bucket"), F.lit(False).alias("ghost"))
-    above = F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(True).alias("ghost"))
-    around = F.struct(F.lit(0).alias("bucket"), F.lit(True).alias("ghost"))
-    is_cut = F.coalesce(F.get(F.lit(cuts).cast("array<bigint>"), F.col("bucket")) == F.col("at"), F.lit(False)) if cuts else F.lit(False)
-    places = F.when(F.col("at") == F.lit(top), F.array(own, around)).when(is_cut, F.array(own, above)).otherwise(F.array(own))
-    return keyed.select("doc_id", "text", "at", F.inline(places.alias("place")))
+    spark = docs.sparkSession
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
+    texts = kept(keyed.groupBy("at", "h").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 1).alias("bytes")), "texts")
+    total = int(texts.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+    room = max(bucket_bytes, -(-total // MAX_CUTS))
+    crowds = kept(texts.where((F.col("bytes") > room) & (F.col("n") > 1)).select("at", "h", "n"), "crowds")  # total / room at most
+    each = texts.join(F.broadcast(crowds.withColumn("crowd", F.lit(True)).drop("n")), ["at", "h"], "left").withColumn("bytes", F.when(F.col("crowd"), F.col("bytes") / F.col("n")).otherwise(F.col("bytes")))
+    hot = {r["at"]: int(r["parts"]) for r in each.groupBy("at").agg(F.ceil(F.sum("bytes") / room).alias("parts"), F.count("*").alias("n")).where("parts > 1 and n > 1").collect()}
+    cuts: set[int] = set()
+    if total > room:
+        buckets = -(-total // room)
+        cuts = set(texts.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0])
+    for at in hot:
+        cuts.update({at, max(at - 1, LAST)})
+    bucket = _below(sorted(cuts))
+    parts = _rows(spark, [{"at": a, "parts": n} for a, n in hot.items()], "at:bigint,parts:bigint")
+    wide = lambda df: df.join(F.broadcast(parts), "at", "left").withColumns({"bucket": bucket, "part": F.coalesce(F.floor(F.col("h") / float(1 << 63) * F.col("parts")).cast("long"), F.lit(0).cast("long"))}).drop("parts")
+    tops = wide(texts).groupBy("bucket", "part").agg(F.max(F.struct("at", (-F.col("h")).alias("h"))).alias("top")).select("bucket", "part", "top.at", (-F.col("top.h")).alias("h")).collect()
+    tops.sort(key=lambda r: (-r["bucket"], r["part"]))  # from the highest ids on
+    ghosts = [{"at": r["at"], "h": r["h"], "to_bucket": up["bucket"], "to_part": up["part"]} for r, up in zip(tops, tops[-1:] + tops[:-1], strict=True)]
+
+    in_crowd = F.broadcast(crowds.drop("n"))
+    one = keyed.join(in_crowd, ["at", "h"], "left_semi").groupBy("at", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    rows = keyed.join(in_crowd, ["at", "h"], "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(one)
+    placed = wide(rows).join(F.broadcast(_rows(spark, ghosts, "at:bigint,h:bigint,to_bucket:int,to_part:bigint")), ["at", "h"], "left")
+    own = F.struct("bucket", "part", F.lit(False).alias("ghost"))
+    there = F.struct(F.col("to_bucket").alias("bucket"), F.col("to_part").alias("part"), F.lit(True).alias("ghost"))
+    return placed.select("doc_id", "text", "at", "h", "copies", F.inline(F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, there))))
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
-    """One row per document: its anchors and those of its edited text, whose last half is the next document's start."""
+    """One row per document: ``doc_id, text, n_chars, anchors`` and those of its edited text, whose last half is the next
+    document's start (``next_text``, ``next_anchors``, ``edited``, ``edited_anchors``).
+
+    Null text counts as empty. Repeated rows and rows of one id follow each other in the order of their texts; rows without
+    an id come last. Other columns are not read. An empty table gives none; one document alone is next to itself.
+    """
     pairs = with_next(docs.select("doc_id", "text")).withColumn("next_text", F.lead("text").over(neighbours()))
     made = pairs.withColumn("anchors", anchors(F.col("text"), k, s)).withColumn("next_anchors", F.lead("anchors").over(neighbours())).where("not ghost")
+    # of equal rows in a crowd all but the last are followed by another of them
+    follower = lambda n, t, a: F.struct(n.alias("times"), t.alias("next_text"), a.alias("next_anchors"))
+    last = follower(F.lit(1).cast("long"), F.col("next_text"), F.col("next_anchors"))
+    again = follower(F.col("copies") - 1, F.col("text"), F.col("anchors"))
+    made = made.select("doc_id", "text", "anchors", F.inline(F.when(F.col("copies") > 1, F.array(last, again)).otherwise(F.array(last))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
-    return made.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_anchors", anchors(F.col("edited"), k, s))
+    made = made.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_anchors", anchors(F.col("edited"), k, s))
+    return made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_copy", "times")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
