@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +18,7 @@ from .common import parts
 
 #: Words whose ids a worker remembers; beyond it, it starts anew.
 CACHE_WORDS = 800_000
-SCHEMA = "row_key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
+SCHEMA = "row_key long, doc_id long, start long, length long, doc_tokens long, offset long, bucket int, ids binary"
 
 
 #: Marks that can join an ASCII letter; in texts that have one, case isn't folded before looking words up.
@@ -101,11 +100,13 @@ def pieces(n: int, most: int) -> list[int]:
 
 def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of all documents, each a sequence of its own of 2^bucket tokens (at most ``most``, a power of two), so no
-    sequence crosses documents and none needs padding; a trainer batches within a bucket.
+    sequence crosses documents and none needs padding: ``row_key, doc_id, start, length, doc_tokens, offset, bucket, ids,
+    sequence_id``.
 
     The tokens of a document are its text's ids by the tokenizer file ``path`` and then ``end``; a null or empty text
-    has ``end`` alone. Repeated rows are packed each on its own. Other input columns are not read. ``sequence_id``
-    is unique; ``row_key`` tells rows of one id apart.
+    has ``end`` alone. Repeated rows, rows of one id and rows without one are packed each on its own; ``row_key`` tells them
+    apart. Other input columns are not read. ``ids`` are a piece's ids, 32-bit little-endian. ``sequence_id`` is unique and
+    rises with the bucket: in its order, sequences of equal length stand together. An empty table gives no pieces.
     """
     if most & (most - 1):
         raise ValueError("most must be a power of two")
@@ -113,19 +114,29 @@ def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _ids(path)
         for batch in parts(batches, "t"):
-            out: list[list[int]] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(8)]
             for key, doc, data in zip(batch["k"].to_pylist(), batch["d"].to_pylist(), token_bytes(batch["t"].to_pylist(), ids, end), strict=True):
                 n, at = len(data) // 4, 0
                 for length in pieces(n, most):
-                    crc = zlib.crc32(data[4 * at : 4 * (at + length)])
-                    for column, value in zip(out, (key, doc, at, length, crc, n, 0, length.bit_length() - 1), strict=True):
+                    for column, value in zip(out, (key, doc, at, length, n, 0, length.bit_length() - 1, data[4 * at : 4 * (at + length)]), strict=True):
                         column.append(value)
                     at += length
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:-1]] + [pa.array(out[-1], pa.int32())], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+            types = [*[pa.int64()] * 6, pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     cut = docs.select(F.monotonically_increasing_id().alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
-    # a task counts its own pieces below 2^33; its number stands above, so ids never meet
-    return cut.withColumn("sequence_id", F.monotonically_increasing_id())
+    # a task counts its own pieces below 2^33, its number stands above (below 2^26) and the bucket above that: ids never meet
+    return cut.withColumn("sequence_id", F.shiftleft(F.col("bucket").cast("long"), 59) + F.monotonically_increasing_id())
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """One folder for each length, ``bucket=N``, so that a trainer reads sequences of equal length together."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
+def digest(packed: DataFrame) -> DataFrame:
+    """The pieces with the checksum of their ids in place of these."""
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def default_path() -> str:

@@ -23,7 +23,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), packing.default_path()).drop("row_key")
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), packing.default_path()))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,7 +93,7 @@ def test_weights_and_unknown_words(spark):
 def test_packing(spark, small, texts, odd):
     tokenizer = Tokenizer.from_file(packing.default_path())
     tokenizer.encode_special_tokens = True
-    for table, source in ((rows(spark, small, "op3_packing"), texts), (packing.pack(odd, packing.default_path()).dropDuplicates(["doc_id", "start"]).toPandas(), {i: t for i, t, _ in ODD if i})):
+    for table, source in ((rows(spark, small, "op3_packing"), texts), (packing.digest(packing.pack(odd, packing.default_path())).dropDuplicates(["doc_id", "start"]).toPandas(), {i: t for i, t, _ in ODD if i})):
         for i, own in table.groupby("doc_id"):
             ids = tokenizer.encode(source[i] or "", add_special_tokens=False).ids + [1]
             at = 0
@@ -101,7 +102,14 @@ def test_packing(spark, small, texts, odd):
                 assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
                 at += r.length
             assert at == len(ids)
-        assert table.sequence_id.is_unique
+        assert table.sequence_id.is_unique and table.sort_values("sequence_id").bucket.is_monotonic_increasing
+    packed = packing.pack(odd, packing.default_path()).toPandas()
+    for _, own in packed.groupby("row_key"):
+        own = own.sort_values("start")
+        ids = np.frombuffer(b"".join(own["ids"]), "<u4")
+        text = {i: t for i, t, _ in ODD}[None if pd.isna(own.doc_id.iloc[0]) else own.doc_id.iloc[0]]
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1] and (own.length == own.ids.map(len) // 4).all()
+    assert packed.row_key.nunique() == len(ODD)
     assert packing.pieces(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
 
 
@@ -124,6 +132,10 @@ def test_sharding(spark, small, texts, odd):
     assert sharding.shuffle_shards(odd, 4).groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] == 0
     same = sharding.shuffle_shards(odd, 4).select("doc_id", "shard", "slot")
     assert sorted(map(str, same.collect())) == sorted(map(str, same.collect()))
+    names = ["uid", "block", "to", "rank", "slice", "at", "n", "start", "row", "_block", "a b", "x.y"]
+    clash = spark.range(50).select(*[F.col("id").alias(c) for c in names])
+    made = sharding.shuffle_shards(clash, 3).toPandas()
+    assert list(made.columns) == [*names, "slot", "shard"] and sorted(made["x.y"]) == list(range(50)) and (made["to"] == made["_block"]).all()
     m = np.array(sharding.matrix([10, 0, 25], [12, 12, 11], 3))
     assert m.sum(axis=1).tolist() == [10, 0, 25] and m.sum(axis=0).tolist() == [12, 12, 11]
     big = [sharding.hypergeometric(np.random.default_rng(i), 10**10, 2 * 10**10, 3 * 10**6) for i in range(50)]
@@ -155,6 +167,28 @@ def test_lines_leave_no_known_block(spark, small, texts):
         assert all(" ".join(words(own[k])) in seen for k in cut)
 
 
+def test_many_equal_lines(spark):
+    """100,000 equal lines that an earlier row has once, and the other way round, in good time."""
+    line = " ".join(f"w{i}" for i in range(25))
+    began = time.process_time()
+    for old, new in ((1, 100_000), (100_000, 1), (100_000, 100_000), (3, 50_000)):
+        gone: set[int] = set()
+        lines.common_blocks([7] * old, [1] * old, [7] * new, [1] * new, [25] * new, 20, gone)
+        assert len(gone) == new
+    assert time.process_time() - began < 10
+    docs = spark.createDataFrame([(1, line), (2, "\n".join([line] * 100_000) + "\nend"), (None, line), (None, "own")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_lines): r.text for r in lines.dedup_lines(docs).collect()}
+    assert got[2, 100_001] == "end" and got[1, 1] == "" and sorted(t for (i, _), t in got.items() if i is None) in ([line, "own"], [line], ["own"])
+
+
+def test_a_passage_of_very_many(spark):
+    """One passage in thousands of rows: linked with its first holder, dealt to several copies of its lines."""
+    line = " ".join(f"w{i}" for i in range(25))
+    docs = spark.range(3500).select("id", F.concat(F.lit(f"{line}\nnumber "), F.col("id").cast("string")).alias("text"))
+    out = lines.dedup_lines(docs, doc_id="id")
+    assert out.where("size(lines_cut) = 1 and lines_cut[0] = 0").count() == 3499 and out.where("text = concat('number ', id)").count() == 3499
+
+
 def test_rare_short_lines_and_copies(spark):
     """Rare lines below 20 words go, frequent ones stay; copies of short documents go, however many."""
     rare, often = "eight words that only two documents here share", "a line of many documents is left"
@@ -242,6 +276,20 @@ def test_near_duplicates_in_a_crowded_group(spark):
     assert got == brute(texts, 85)
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id, of one id and of other texts with one id are linked by their texts."""
+    base = [f"t{i}" for i in range(200)]
+    edit = lambda k: " ".join(base[:k] + ["other"] + base[k + 1 :])
+    table = [(1, " ".join(base)), (None, edit(0)), (None, edit(199)), (3, "x y z"), (3, edit(100)), (3, edit(100)), (None, "a b c d e f g"), (None, "A b c d e f g"), (None, "a b c d e f g"), (None, None), (None, "")]
+    got = shingles.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).toPandas()
+    assert len(got) == len(table)
+    linked = got[got.n_shingles > 150]
+    assert (linked.component_id == 1).all() and linked[linked.doc_id.isna()].shape[0] == 2 and linked.kept.sum() == 1
+    assert got[(got.doc_id == 3) & (got.n_shingles == 1)].kept.all()
+    alone = got[got.n_shingles == 3]
+    assert len(alone) == 3 and alone.component_id.isna().all() and alone.kept.sum() == 1 and got[got.n_shingles == 0].kept.all()
+
+
 def test_chat(spark, small):
     bad = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "assistant", "a\\<|b|>\n"), (1, 2, "assistant", "a\\<|b|>\n"), (2, None, None, bad), (None, 1, "user", "<"), (3, 1, "assistant", ""), (-1, 0, "user", bad), (-1, 1, "assistant", bad)]
@@ -259,6 +307,14 @@ def test_chat(spark, small):
             assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(own_turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_a_long_conversation(spark):
+    """Places of the loss over thousands of turns."""
+    n = 3000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|"), F.col("id").cast("string")).alias("text"))
+    got = chat.read_chats(chat.format_chats(turns)).first()
+    assert got.loss_text == "".join(f"<|{i}" for i in range(n) if i % 3) and [t.text for t in got.turns] == [f"<|{i}" for i in range(n)]
+
+
 def test_chat_equals_sql(spark, small):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
@@ -286,10 +342,39 @@ def test_fingerprints(spark, small, texts, odd):
 def test_neighbours_in_many_buckets(spark):
     docs = spark.createDataFrame([(3 * i, f"text {i}") for i in range(100)], "doc_id long, text string")
     pairs = syncmers.with_next(docs, 60).withColumn("n", F.lead("text").over(syncmers.neighbours())).where("not ghost")
-    assert pairs.select("bucket").distinct().count() > 5
+    assert pairs.select("bucket", "part").distinct().count() > 5
     assert {(r.doc_id, r.n) for r in pairs.collect()} == {(3 * i, f"text {(i - 1) % 100}") for i in range(100)}
 
 
+def test_neighbours_of_crowded_ids(spark):
+    """Many rows of one id, of none, and equal rows: the next document is the one of a plain sort, and windows stay small."""
+    table = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i % 40}") for i in range(200)] + [(3, "the same text")] * 150 + [(i, f"other {i}") for i in range(20, 60)] + [(-(1 << 62), None), (1 << 62, "")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    pairs = syncmers.with_next(docs, 400).withColumn("n", F.lead("text").over(syncmers.neighbours()))
+    assert pairs.groupBy("bucket", "part").count().agg(F.max("count")).first()[0] < 120
+    got = Counter()
+    for r in pairs.where("not ghost").collect():
+        got[r.doc_id, r.text, r.n] += 1
+        got[r.doc_id, r.text, r.text] += r.copies - 1
+    by_id = defaultdict(list)
+    for i, t in table:
+        by_id[i].append(t or "")
+    follows = {(i, t, n) for i, t, n in +got}
+    assert sum(got.values()) == len(table) and Counter((i, t) for i, t, _ in got.elements()) == Counter((i, t or "") for i, t in table)
+    order = sorted(by_id, key=lambda i: -(1 << 63) if i is None else i, reverse=True)
+    for i, own in by_id.items():  # one way through all rows of an id, then on to the next id
+        after = order[(order.index(i) + 1) % len(order)]
+        outside = Counter({k: v for k, v in got.items() if k[0] == i})
+        heads, tails = Counter(own), Counter()
+        for (_, _, n), v in outside.items():
+            tails[n] += v
+        new = tails - heads
+        assert sum(new.values()) in (0, 1) and set(new) <= set(by_id[after])
+    assert follows
+    big = spark.range(10_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("word number "), F.col("id").cast("string")).alias("text"))
+    assert syncmers.fingerprint_report(big).count() == 10_000
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     for made in (media.media_digest(none), interpolation.scores(none), packing.pack(none, packing.default_path()), language.predict(none), sharding.shuffle_shards(none), lines.dedup_lines(none), bpe.digest(none), syncmers.fingerprint_report(none)):
