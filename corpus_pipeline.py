@@ -29,15 +29,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of near-duplicates. Rows that share an id stay or go together; rows
-    without one stay."""
-    keep = shingles.near_duplicates(docs, SIMILAR).where("kept and doc_id is not null").select(F.col("doc_id").alias("keep_id")).distinct()
-    stays = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi")
-    return stays.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Keeps one document of each group of near-duplicates, that of the least id (rows without an id go if another row has
+    one). Repeated rows of one id and text stay or go together."""
+    found = shingles.near_duplicates(docs, SIMILAR).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & shingles.text_key("text").eqNullSafe(F.col("keep_key"))
+    return docs.join(found, same, "left_semi").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.default_path()).drop("row_key")
+    """The token ids of every piece, each piece a sequence of its own, and their checksum."""
+    return packing.pack(docs, packing.default_path()).drop("row_key").withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("minhash_near_dedup", near_stage), ("packing", packing_stage)]
