@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import col
+from .values import col, let
 
 
 @lru_cache(maxsize=1)
@@ -33,20 +33,25 @@ def clean_name(c: Column | str) -> Column:
 
 def player_key_first_last(c: Column | str) -> Column:
     """``First Rest Of`` -> ``f rest of``; one word stays whole."""
-    words = F.split(clean_name(c), " ")
-    return F.when(F.size(words) < 2, words[0]).otherwise(F.concat(F.substring(words[0], 1, 1), F.lit(" "), F.array_join(F.slice(words, 2, F.size(words) - 1), " ")))
+
+    def key(words: Column) -> Column:
+        return F.when(F.size(words) < 2, words[0]).otherwise(F.concat(F.substring(words[0], 1, 1), F.lit(" "), F.array_join(F.slice(words, 2, F.size(words) - 1), " ")))
+
+    return let(F.split(clean_name(c), " "), key)
 
 
 def player_key_last_initial(c: Column | str) -> Column:
     """``Rest Of F.`` -> ``f rest of``: a last word of up to three letters is initials; else as first-last (one word: its
-    initial and a blank)."""
-    clean = clean_name(c)
-    words = F.split(clean, " ")
-    last = F.element_at(words, -1)
-    initials = (F.size(words) > 1) & (F.length(last) <= 3) & last.rlike("^[a-z]+$")
-    swapped = F.concat(F.substring(last, 1, 1), F.lit(" "), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " "))
-    plain = F.concat(F.substring(words[0], 1, 1), F.lit(" "), F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " "))
-    return F.when(clean == "", "").when(initials, swapped).otherwise(plain)
+    initial and a blank; an empty name stays empty)."""
+
+    def key(words: Column) -> Column:
+        last = F.element_at(words, -1)
+        initials = (F.size(words) > 1) & (F.length(last) <= 3) & last.rlike("^[a-z]+$")
+        swapped = F.concat(F.substring(last, 1, 1), F.lit(" "), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " "))
+        plain = F.concat(F.substring(words[0], 1, 1), F.lit(" "), F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " "))
+        return F.when((F.size(words) == 1) & (words[0] == ""), "").when(initials, swapped).otherwise(plain)
+
+    return let(F.split(clean_name(c), " "), key)
 
 
 def matchup(a: Column | str, b: Column | str) -> Column:
@@ -55,18 +60,15 @@ def matchup(a: Column | str, b: Column | str) -> Column:
 
 
 def extract_year(c: Column | str) -> Column:
-    """The year of a date given as text: ISO or leading digits, ``d/m/yy(yy)`` (two digits pivot at 70), a spreadsheet's
-    day number; null outside 1990 to 2035."""
+    """The year of a date given as text: four leading digits, ``d/m/yy(yy)`` with ``/``, ``-`` or ``.`` at its end (two digits
+    pivot at 70), a spreadsheet's day number; null outside 1990 to 2035."""
     text = F.trim(col(c).cast("string"))
     digits = F.regexp_replace(text, r"\.0+$", "")
     number = digits.try_cast("bigint")
-    short = F.nullif(F.regexp_extract(text, r"^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})$", 1), F.lit("")).try_cast("int")
-    year = (
-        F.when(digits.rlike("^[0-9]{6,}$"), F.substring(digits, 1, 4).try_cast("int"))
-        .when(digits.rlike("^[0-9]{5}$"), F.year(F.date_add(F.lit("1899-12-30").cast("date"), number.cast("int"))))
-        .when(text.rlike("^[0-9]{4}"), F.substring(text, 1, 4).try_cast("int"))
-        .when(short >= 100, short)
-        .when(short >= 70, short + 1900)
-        .otherwise(short + 2000)
+    last = F.nullif(F.regexp_extract(text, r"[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.]([0-9]{2,4})$", 1), F.lit("")).try_cast("int")
+    known = lambda y: F.when(y.between(1990, 2035), y)
+    return F.coalesce(
+        F.when(digits.rlike("^[0-9]{5}$"), known(F.year(F.date_add(F.lit("1899-12-30").cast("date"), number.cast("int"))))),
+        F.when(~digits.rlike("^[0-9]{5}$") & text.rlike("^[0-9]{4}"), known(F.substring(text, 1, 4).try_cast("int"))),
+        known(F.when(last >= 100, last).when(last >= 70, last + 1900).otherwise(last + 2000)),
     )
-    return F.when(year.between(1990, 2035), year)

@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for a row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_surface(c: Column | str) -> Column:
     """Trimmed; the four known surfaces in their usual spelling; blank and null: ``Unknown``."""
     text = F.trim(F.coalesce(col(c), F.lit("")))
@@ -79,7 +84,7 @@ def dynamic_k(played: Column | str) -> Column:
 
 def classify_tier(level: Column | str, draw: Column | str) -> Column:
     """The tier of an event; level A is split by the draw (48 and more: ATP 500)."""
-    code = F.trim(F.coalesce(col(level), F.lit("")))
+    code = F.upper(F.trim(F.coalesce(col(level), F.lit(""))))
     out = F.when(code == "A", F.when(F.coalesce(to_number(draw), F.lit(0.0)) >= 48, "ATP 500").otherwise("ATP 250"))
     for name, tier in TIERS.items():
         out = out.when(code == name, tier)
@@ -87,10 +92,12 @@ def classify_tier(level: Column | str, draw: Column | str) -> Column:
 
 
 def deterministic_bit(*seed: Column | str) -> Column:
-    """The first hexadecimal digit of the md5 of the values joined by ``_``, modulo 2."""
-    digit = F.substring(F.md5(F.concat_ws("_", *[col(c).cast("string") for c in seed]).cast("binary")), 1, 1)
+    """The first hexadecimal digit of the md5 of the values (null: empty) joined by ``_``, modulo 2."""
+    text = F.concat_ws("_", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in seed])
+    digit = F.substring(F.md5(text.cast("binary")), 1, 1)
     return (F.conv(digit, 16, 10).cast("int") % 2).cast("int")
 
 
 def faces_lefty(opponent_hand: Column | str) -> Column:
-    return F.when(col(opponent_hand) == "L", 1).when(col(opponent_hand) == "R", 0)
+    hand = F.upper(F.trim(col(opponent_hand)))
+    return F.when(hand == "L", 1).when(hand == "R", 0)

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 #: Books whose W/L odds form pairs, by exact name.
 BOOKS = ["B365", "PS", "EX", "Max", "Avg"]
-NOT_FEATURES = ["tourney_id", "tourney_name", "tourney_date", "match_num", "score", "source_file", "seq", "minutes", "round", "tourney_level", "surface", "surface_norm", "target_player1_won", "player1_elo_win_prob"]
+#: Columns that are never features; beside odds and names. And the order columns of this library.
+NOT_FEATURES = ["target_player1_won", "tourney_date", "tourney_id", "match_num", "dataset_split", "minutes", "l_1stIn", "w_1stIn", "l_svpt", "w_svpt", "player1_elo_win_prob"]
+ORDER_COLUMNS = ["seq", "row_no"]
 
 
 def pairs(columns: list[str]) -> list[tuple[str, str, str]]:
     """(winner's column, loser's column, name) of all columns that both sides have."""
     have = set(columns)
     found = [(f"{w}_{c[len(w) + 1:]}", f"{l}_{c[len(w) + 1:]}", c[len(w) + 1 :]) for w, l in (("winner", "loser"), ("w", "l")) for c in columns if c.startswith(f"{w}_") and f"{l}_{c[len(w) + 1:]}" in have]
-    return found + [(f"{b}W", f"{b}L", b) for b in BOOKS if {f"{b}W", f"{b}L"} <= have]
+    return found + [(f"{b}W", f"{b}L", b.lower()) for b in BOOKS if {f"{b}W", f"{b}L"} <= have]
 
 
 def drop_raw_stats(df: DataFrame) -> DataFrame:
@@ -45,8 +47,9 @@ def symmetrize(df: DataFrame, seed: list[str]) -> DataFrame:
 
 def context_flags(df: DataFrame) -> DataFrame:
     tier = classify_tier("tourney_level", "draw_size")
+    level = F.upper(F.trim(F.coalesce("tourney_level", F.lit(""))))
     return df.withColumns({
-        "tourney_tier": tier, "is_grand_slam": (tier == "Grand Slam").cast("int"), "is_masters_1000": (tier == "Masters 1000").cast("int"),
+        "tourney_tier": tier, "is_grand_slam": (level == "G").cast("int"), "is_masters_1000": (level == "M").cast("int"),
         "player1_faces_lefty": faces_lefty("player2_hand"), "player2_faces_lefty": faces_lefty("player1_hand"),
     } | {f"surface_{s}": (F.coalesce("surface_norm", F.lit("")) == s).cast("int") for s in SURFACES})
 
@@ -58,10 +61,10 @@ def temporal_split(df: DataFrame, validation: str, test: str, date: str = "tourn
 
 
 def select_features(df: DataFrame, must: list[str] | None = None) -> DataFrame:
-    """Numeric columns that aren't metadata, odds or names; raises if one of ``must`` is lost."""
-    odds = {f"player{i}_{b}" for i in (1, 2) for b in BOOKS} | {f"{b}{s}" for b in BOOKS for s in "WL"}
+    """Numeric columns that aren't listed, odds or names (ids are text, so no features); raises if one of ``must`` is lost."""
+    odds = {f"player{i}_{b.lower()}" for i in (1, 2) for b in BOOKS}
     numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
-    out = [c for c, t in df.dtypes if t in numeric and c not in NOT_FEATURES and c not in odds and not c.endswith(("_id", "_name"))]
+    out = [c for c, t in df.dtypes if t in numeric and c not in NOT_FEATURES + ORDER_COLUMNS and c not in odds and c not in ("player1_name", "player2_name")]
     if lost := set(must or []) - set(out):
         raise ValueError(f"lost features: {sorted(lost)}")
     return df.select(*out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from duelkit.functions.values import safe_ratio
+from duelkit.operators.ordering import unique_order
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,19 +68,24 @@ def rolling(pm: DataFrame, order: list[str], digits: int = 4) -> DataFrame:
     return _carried(pm, after, order).withColumn("r10_n", F.coalesce("r10_n", F.lit(0)))
 
 
-def streak(pm: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``streak``: the signed length of the run of equal results up to the last valid contest; 0 without one."""
+def streak(pm: DataFrame, order: list[str], day: str = "day") -> DataFrame:
+    """Adds ``streak``: the signed length of the run of equal results up to the last valid contest; 0 without one. Contests
+    without ``day`` don't count, if there is such a column."""
+    whole = pm
+    if day in pm.columns:
+        pm = pm.withColumns({"_valid": F.col("valid"), "valid": F.col("valid") & F.col(day).isNotNull()})
     same = _windows(order)[0]
     run = Window.partitionBy("player_id", "valid", "won").orderBy(*order)
     pm = pm.withColumn("_island", F.row_number().over(same) - F.row_number().over(run))
     length = F.row_number().over(Window.partitionBy("player_id", "valid", "won", "_island").orderBy(*order))
     pm = pm.withColumn("_length", F.when(F.col("won") == 1, length).otherwise(-length))
-    return _carried(pm, {"streak": F.col("_length")}, order).withColumn("streak", F.coalesce("streak", F.lit(0))).drop("_island", "_length")
+    out = _carried(pm, {"streak": F.col("_length")}, order).withColumn("streak", F.coalesce("streak", F.lit(0))).drop("_island", "_length")
+    return out.withColumn("valid", F.col("_valid")).drop("_valid").select(*whole.columns, "streak") if "_valid" in out.columns else out
 
 
-def opponent_quality(pm: DataFrame, order: list[str], own: str = "elo", other: str = "o_elo") -> DataFrame:
-    """Adds, over the last ten valid contests: mean rating of beaten opponents, share of wins against higher-rated ones
-    and share of losses against lower-rated ones; each needs three such contests."""
+def opponent_quality(pm: DataFrame, order: list[str], own: str = "elo", other: str = "o_elo", digits: tuple[int, int, int] = (2, 4, 4)) -> DataFrame:
+    """Adds, over the last ten valid contests: mean rating of beaten opponents, the share of wins (with both ratings) that were
+    over higher-rated ones, and the share of losses (with both ratings) to lower-rated ones; each needs three such contests."""
     ten = _windows(order)[1]
     both = F.col(own).isNotNull() & F.col(other).isNotNull()
     up, down = F.col(other) > F.col(own), F.col(other) < F.col(own)
@@ -90,9 +96,9 @@ def opponent_quality(pm: DataFrame, order: list[str], own: str = "elo", other: s
 
     won = F.col("won") == 1
     return _carried(pm, {
-        "r10_avg_opp_elo_beaten": mean(F.col(other).cast("double"), won & F.col(other).isNotNull(), 2),
-        "r10_upset_win_pct": mean(won.cast("double"), both & up, 4),
-        "r10_bad_loss_pct": mean((~won).cast("double"), both & down, 4),
+        "r10_avg_opp_elo_beaten": mean(F.col(other).cast("double"), won & F.col(other).isNotNull(), digits[0]),
+        "r10_upset_win_pct": mean(up.cast("double"), both & won, digits[1]),
+        "r10_bad_loss_pct": mean(down.cast("double"), both & ~won, digits[2]),
     }, order)
 
 
@@ -134,16 +140,17 @@ def exponential(pm: DataFrame, order: list[str], day: str = "day", own: str | No
     ``ema_long_n`` (of the first metric), ``delta_form_*``; with ratings also ``quality_ema`` over wins
     (rounded to ``edge_digits``), and its count.
 
-    A linear recurrence in contest order, folded for each player by NumPy over all metrics at once."""
-    types = dict(pm.dtypes)
+    A linear recurrence in contest order, folded for each player by NumPy over all metrics at once. Rows of equal ``order``
+    follow each other in an order of their own."""
+    pm, row = unique_order(pm, [*order, "side"], "_row")
     rated = own is not None and other is not None
-    rows = pm.select("player_id", *order, "side", "valid", "won", F.col(day).cast("double").alias("_day"), *METRICS, *([(F.col(other) - F.col(own)).cast("double").alias("_edge")] if rated else []))
+    rows = pm.select("player_id", row, "valid", "won", F.col(day).cast("double").alias("_day"), *METRICS, *([(F.col(other) - F.col(own)).cast("double").alias("_edge")] if rated else []))
     added = [*[f"ema_{m}" for m in METRICS], *[f"ema_long_{m}" for m in METRICS], *[f"delta_form_{m}" for m in METRICS], *(["quality_ema"] if rated else [])]
     numbers = ["ema_n", "ema_long_n", *(["quality_ema_n"] if rated else [])]
 
     def run(player: pd.DataFrame) -> pd.DataFrame:
-        player = player.sort_values(order, kind="stable", ignore_index=True)
-        out = player[["player_id", *order, "side"]].copy()
+        player = player.sort_values(row, ignore_index=True)
+        out = player[[row]].copy()
         days, use = player["_day"].to_numpy(float), player["valid"].to_numpy(bool) & player["_day"].notna().to_numpy()
         values = player[METRICS].to_numpy(float)
         rounded = []
@@ -157,10 +164,9 @@ def exponential(pm: DataFrame, order: list[str], day: str = "day", own: str | No
             edge = player[["_edge"]].to_numpy(float)
             state, seen = _decayed(edge, days, use & (player["won"] == 1).to_numpy() & ~np.isnan(edge[:, 0]), QUALITY_DAYS)
             out["quality_ema"], out["quality_ema_n"] = np.where(seen[:, 0] >= LEAST, np.round(state[:, 0], edge_digits), np.nan), seen[:, 0]
-        return out[["player_id", *order, "side", *added, *numbers]]
+        return out[[row, *added, *numbers]]
 
-    keys = ", ".join(f"`{c}` {types[c]}" for c in ["player_id", *order, "side"])
-    schema = ", ".join([keys, *[f"`{c}` double" for c in added], *[f"`{c}` long" for c in numbers]])
+    schema = ", ".join([f"`{row}` long", *[f"`{c}` double" for c in added], *[f"`{c}` long" for c in numbers]])
     made = rows.groupBy("player_id").applyInPandas(run, schema)
     clean = made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in added})
-    return pm.join(clean, ["player_id", *order, "side"], "left")
+    return pm.join(clean, row, "left").drop(row)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from duelkit.functions import names, values
-from duelkit.operators import backtest, bets, dataset, fatigue, form, h2h, odds, ordering, profile, ratings
+from duelkit.operators import backtest, bets, clean, dataset, fatigue, form, h2h, odds, ordering, profile, ratings
 from duelkit.plans.fixture import MATCHES, ORDER, PM, matches, player_matches
 from duelkit.sources import tables
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +39,7 @@ def _day(c: str) -> str:
 @register("SELECT match_num, tourney_date, surface_norm, winner_id, loser_id, minutes, PSW FROM m")
 def read_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contests written as CSV, read back as text and typed."""
-    path = f"{tables.kept(spark.range(1), 'folder').inputFiles()[0].rsplit('/', 1)[0]}-csv-{uuid.uuid4().hex}"
+    path = tables.shared_path(spark, "csv")
     tables.write_table(matches(spark, sf_dir), path, "csv", by_year=False)
     back = tables.read_matches(spark, [path])
     return back.select(*[F.col(c).cast(t).alias(c) for c, t in (("match_num", "long"), ("tourney_date", "date"), ("surface_norm", "string"), ("winner_id", "long"), ("loser_id", "long"), ("minutes", "long"), ("PSW", "double"))])
@@ -86,6 +85,53 @@ def elo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.elo_stats(matches(spark, sf_dir))
 
 
+RAW = f""", raw AS (SELECT match_num AS row_no, year(tourney_date) || '.csv' AS source_file, CASE match_num % 29 WHEN 0 THEN NULL WHEN 1 THEN 'abc' WHEN 2 THEN CAST(tourney_date AS VARCHAR) WHEN 3 THEN '20230230' ELSE strftime(tourney_date, '%Y%m%d') END AS day,
+  CASE match_num % 31 WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE match_num % 50 END AS num, tourney_date, surface_norm, winner_id, match_num FROM m),
+k AS (SELECT *, CASE WHEN length(day) = 10 THEN day WHEN match_num % 29 > 3 THEN CAST(tourney_date AS VARCHAR) ELSE '0000-00-00' END AS date_key FROM raw)
+SELECT row_no, row_number() OVER (ORDER BY date_key, coalesce(num, -1), source_file, row_no) - 1 AS seq, CASE WHEN match_num % 29 > 3 OR match_num % 29 = 2 THEN tourney_date END AS tourney_date,
+  CASE WHEN match_num % 7 = 0 THEN 'Unknown' ELSE surface_norm END AS surface_norm, CASE WHEN match_num % 41 <> 0 THEN CAST(winner_id AS VARCHAR) END AS winner_id, num AS match_num FROM k"""
+
+
+def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contests as files have them: text, with bad and missing dates, repeated and missing numbers, missing ids."""
+    m, n = matches(spark, sf_dir), F.col("match_num")
+    day = F.when(n % 29 == 0, "").when(n % 29 == 1, "abc").when(n % 29 == 2, F.col("tourney_date").cast("string")).when(n % 29 == 3, "20230230").otherwise(F.date_format("tourney_date", "yyyyMMdd"))
+    num = F.when(n % 31 == 0, "x").when(n % 31 == 1, "-1").otherwise(F.concat((n % 50).cast("string"), F.when(n % 2 == 0, ".0").otherwise("")))
+    ids = {f"{s}_id": F.when(F.lit(s == "winner") & (n % 41 == 0), "").otherwise(F.concat(F.col(f"{s}_id").cast("string"), F.when(n % 3 == 0, ".0").otherwise(""))) for s in ("winner", "loser")}
+    surface = F.when(n % 7 == 0, " ").otherwise(F.concat(F.lit(" "), F.upper("surface_norm")))
+    return m.withColumns({"row_no": n, "source_file": F.concat(F.year("tourney_date").cast("string"), F.lit(".csv")), "surface": surface, "tourney_date": day, "match_num": num} | ids).drop("surface_norm")
+
+
+@register(RAW)
+def clean_and_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows cleaned, typed and numbered in their total order."""
+    return clean.with_seq(clean.clean_matches(raw_matches(spark, sf_dir))).select("row_no", "seq", "tourney_date", "surface_norm", "winner_id", F.col("match_num").cast("long").alias("match_num"))
+
+
+@register("SELECT count(*) AS n_matches, count(*) FILTER (w_svpt IS NULL OR l_svpt IS NULL) AS no_serve_stats, 0 AS no_service_games, count(*) FILTER (winner_rank IS NULL OR loser_rank IS NULL) AS no_rating, count(*) FILTER (minutes IS NULL) AS no_minutes, count(*) FILTER (score = 'W/O') AS no_sets FROM m")
+def missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.missing_inputs(matches(spark, sf_dir).withColumns({f"{s}_elo_pre": F.col(f"{s}_rank").cast("double") for s in ("winner", "loser")}))
+
+
+@register("SELECT count(*) AS n_rows, 0 AS missing_id, count(*) FILTER (PSW IS NULL OR PSL IS NULL) AS missing_odds, count(*) FILTER (PSW IS NOT NULL AND PSL IS NOT NULL) AS kept FROM m")
+def modelable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.modelable_counts(matches(spark, sf_dir))
+
+
+@register("SELECT tourney_level, count(*) AS n FROM m GROUP BY 1")
+def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.level_counts(matches(spark, sf_dir))
+
+
+@register("SELECT 'matches' AS side, count(*) AS n, count(*) FILTER (match_num % 9 = 0) AS no_year FROM m UNION ALL SELECT 'odds', count(*), count(*) FILTER (match_num % 13 = 0) FROM m")
+def unreadable_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matches(spark, sf_dir)
+    bad = lambda n, text: F.when(F.col("match_num") % n != 0, F.date_format("tourney_date", text)).otherwise("soon")
+    left = m.select(bad(9, "yyyy-MM-dd").alias("tourney_date"), *[F.concat(F.lit("Ann Player"), f"{s}_id").alias(f"{s}_name") for s in ("winner", "loser")])
+    right = m.select(bad(13, "dd.MM.yyyy").alias("Date"), *[F.concat(F.lit("Player"), f"{s}_id", F.lit(" A.")).alias(s.title()) for s in ("winner", "loser")])
+    return profile.unreadable_years(odds.match_keys(left), odds.odds_keys(right))
+
+
 # --- scalar functions
 
 SETS = "len(list_filter(string_split_regex(regexp_replace(score, 'RET|DEF', ' ', 'g'), '\\s+'), lambda t: regexp_full_match(t, '[0-9]+-[0-9]+(\\([0-9]+\\))?')))"
@@ -182,7 +228,7 @@ def _mean10(value: str, among: str, digits: int) -> str:
     return f"CASE WHEN count({v}) {TEN} >= 3 THEN round(avg({v}) {TEN}, {digits}) END"
 
 
-@register(METRICS_CTE + _carry({"beaten": _mean10("CAST(o_elo AS DOUBLE)", "won = 1 AND o_elo IS NOT NULL", 2), "upset": _mean10("CAST(won AS DOUBLE)", "o_elo > elo", 4), "bad": _mean10("1.0 - won", "o_elo < elo", 4)})
+@register(METRICS_CTE + _carry({"beaten": _mean10("CAST(o_elo AS DOUBLE)", "won = 1 AND o_elo IS NOT NULL", 2), "upset": _mean10("CAST(o_elo > elo AS DOUBLE)", "won = 1 AND elo IS NOT NULL AND o_elo IS NOT NULL", 4), "bad": _mean10("CAST(o_elo < elo AS DOUBLE)", "won = 0 AND elo IS NOT NULL AND o_elo IS NOT NULL", 4)})
     + f" SELECT {SIDE}, round(_s_beaten.v, 1) AS beaten, round(_s_upset.v, 3) AS upset, round(_s_bad.v, 3) AS bad FROM b", pm=True)
 def opponent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = form.opponent_quality(_metrics(spark, sf_dir), ORDER)
@@ -278,6 +324,11 @@ def h2h_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.h2h_summary(_h2h(spark, sf_dir))
 
 
+@register(H2H + " SELECT h2h_count, count(*) AS n FROM h GROUP BY 1 ORDER BY n DESC, h2h_count LIMIT 6")
+def h2h_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.h2h_counts(_h2h(spark, sf_dir))
+
+
 @register("SELECT match_num, row_number() OVER (ORDER BY tourney_date, match_num) - 1 AS seq FROM m")
 def chronological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.chronological_order(matches(spark, sf_dir), *ORDER).select(KEY, "seq")
@@ -329,15 +380,31 @@ def elo_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.top(ratings.final_ratings(matches(spark, sf_dir), ORDER))
 
 
-@register()
+QUALITY = ELO + """, o AS (SELECT match_num, coalesce(round(a[2], 2), round(a[1], 2)) AS we, coalesce(round(b[2], 2), round(b[1], 2)) AS le FROM rated JOIN e USING (step)),
+pe AS (SELECT pm.* REPLACE (CASE side WHEN 'w' THEN we ELSE le END AS elo, CASE side WHEN 'w' THEN le ELSE we END AS o_elo) FROM pm JOIN o USING (match_num))""" + METRICS_CTE.replace(" FROM pm)", " FROM pe)")
+QUALITY += f", dated AS (SELECT *, {_day('tourney_date')} AS day, o_elo - elo AS edge FROM v)" + _averaged("q", "valid AND won = 1 AND edge IS NOT NULL", "edge", (45,))
+QUALITY += f", ql AS (SELECT {SIDE}, last_value(CASE WHEN q.k IS NOT NULL THEN {{'k': q.k, 'a': q.e45}} END IGNORE NULLS) {PRIOR} AS t FROM v LEFT JOIN q USING (match_num, side))"
+QUALITY += _carry({"beaten": _mean10("o_elo", "won = 1", 6), "upset": _mean10("CAST(o_elo > elo AS DOUBLE)", "won = 1", 6), "bad": _mean10("CAST(o_elo < elo AS DOUBLE)", "won = 0", 6)})
+
+
+@register(QUALITY + f" SELECT {SIDE}, _s_beaten.v AS r10_avg_opp_elo_beaten, _s_upset.v AS r10_upset_win_pct, _s_bad.v AS r10_bad_loss_pct, CASE WHEN t.k >= 3 THEN round(t.a, 5) END AS quality_ema, coalesce(t.k, 0) AS quality_ema_n FROM b JOIN ql USING ({SIDE})", raw=True)
 def elo_quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opponents' quality by ratings before the contest: last-ten means and the average over wins."""
+    out = form.exponential(form.opponent_quality(_elo_sides(spark, sf_dir), ORDER, digits=(6, 6, 6)), ORDER, own="elo", other="o_elo", edge_digits=5)
+    return out.select(KEY, "side", "player_id", "r10_avg_opp_elo_beaten", "r10_upset_win_pct", "r10_bad_loss_pct", "quality_ema", "quality_ema_n")
+
+
+def _elo_sides(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     m = _rated(spark, sf_dir).withColumns({"_w": ratings.elo_for_quality("winner"), "_l": ratings.elo_for_quality("loser")})
-    pm = form.serve_return_metrics(ordering.sides(m, [*ORDER, "_w", "_l"])).withColumn("day", F.datediff("tourney_date", F.lit("1970-01-01").cast("date")))
+    pm = form.serve_return_metrics(ordering.sides(m, [*ORDER, "_w", "_l", *keep])).withColumn("day", F.datediff("tourney_date", F.lit("1970-01-01").cast("date")))
     own = F.col("side") == "w"
-    pm = pm.withColumns({"elo": F.when(own, F.col("_w")).otherwise(F.col("_l")), "o_elo": F.when(own, F.col("_l")).otherwise(F.col("_w"))}).drop("_w", "_l")
-    out = form.exponential(form.opponent_quality(pm, ORDER), ORDER, own="elo", other="o_elo")
-    return out.select(KEY, "side", "player_id", "r10_avg_opp_elo_beaten", "r10_upset_win_pct", "r10_bad_loss_pct", "quality_ema", "quality_ema_n")
+    return pm.withColumns({"elo": F.when(own, F.col("_w")).otherwise(F.col("_l")), "o_elo": F.when(own, F.col("_l")).otherwise(F.col("_w"))}).drop("_w", "_l")
+
+
+@register()
+def elo_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall ratings in pools: contests of each level only count for each other, and are folded by tasks of their own."""
+    return ratings.elo(matches(spark, sf_dir), ORDER, pool="tourney_level").select(KEY, "tourney_level", "winner_elo_pre", "loser_elo_pre", "elo_prob_winner")
 
 
 # --- odds
@@ -346,7 +413,7 @@ def elo_quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT match_num, 'Player' || winner_id || ' A.' AS Winner, PSW, PSL FROM m")
 def read_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odds written as CSV and read back."""
-    path = f"{tables.kept(spark.range(1), 'folder').inputFiles()[0].rsplit('/', 1)[0]}-csv-{uuid.uuid4().hex}"
+    path = tables.shared_path(spark, "csv")
     m = matches(spark, sf_dir)
     rows = m.select(F.col("match_num").alias("Date"), F.concat(F.lit("Player"), "winner_id", F.lit(" A.")).alias("Winner"), F.concat(F.lit("Player"), "loser_id", F.lit(" A.")).alias("Loser"), "PSW", "PSL")
     tables.write_table(rows, path, "csv", by_year=False)
@@ -406,6 +473,33 @@ def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.temporal_split(_model(spark, sf_dir), "1996-01-01", "1997-01-01").select(KEY, "split")
 
 
+_SHOWN = ["r10_n", "r10_hold_pct", "momentum_hold_pct", "streak", "ema_n", "ema_hold_pct", "delta_form_hold_pct", "rest_days", "matches_last_30d", "minutes_last_30d", "fatigue_ema_sets"]
+_FORM_SQL = "SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[n]})" + (f" USING ({SIDE})" if i else "") for i, n in enumerate(("rolling10", "momentum", "streak", "exponential_form", "rest_days", "load_30_days"))) + f" JOIN (SELECT {SIDE}, sets AS fatigue_ema_sets FROM ({ORACLE_SQL['fatigue_ema']})) USING ({SIDE})"
+FEATURE_SQL = f""", f AS ({_FORM_SQL}), w AS (SELECT * FROM f WHERE side = 'w'), l AS (SELECT * FROM f WHERE side = 'l'), z AS (SELECT *, {BIT} AS bit FROM m WHERE PSW IS NOT NULL AND PSL IS NOT NULL)
+SELECT z.match_num, 1 - bit AS target_player1_won, {", ".join(_p(f"w.{c}", f"l.{c}", c) for c in _SHOWN)}, {", ".join(_p(f"r.winner_{c}", f"r.loser_{c}", c) for c in ("elo_pre", "surface_elo_pre", "clutch_elo_pre"))},
+  round(1 / (1 + pow(10, (player2_elo_pre - player1_elo_pre) / 400)), 4) AS player1_elo_win_prob, h2h_count, h2h_player1_diff
+FROM z JOIN w USING (match_num) JOIN l USING (match_num) JOIN ({ORACLE_SQL["elo_ratings"]}) r USING (match_num) JOIN ({ORACLE_SQL["head_to_head"]}) g USING (match_num)"""
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole modelling table: ratings, form, workload and head-to-head records of both players, before the contest."""
+    keep = ("surface_norm", "score", "minutes", *[f"{s}_{c}_pre" for s in ("winner", "loser") for c in ("elo", "surface_elo", "surface_env_elo", "clutch_elo")])
+    pm = tables.kept(_elo_sides(spark, sf_dir, keep[:3]).withColumn("sets", values.count_sets("score")), "sides")
+    known = set(pm.columns)
+    pm = form.exponential(form.opponent_quality(form.streak(form.rolling(pm, ORDER, 8), ORDER), ORDER), ORDER, own="elo", other="o_elo", digits=8)
+    pm = fatigue.fatigue_ema(fatigue.load_30_days(fatigue.rest_days(pm, ORDER), ORDER), ORDER)
+    m = h2h.head_to_head(_rated(spark, sf_dir), h2h.h2h_order(F.col("tourney_date").cast("string"), F.col("match_num")))
+    whole = ordering.attach_sides(m, pm, [c for c in pm.columns if c not in known], ORDER)
+    return h2h.player1_view(dataset.context_flags(dataset.symmetrize(dataset.filter_modelable(dataset.drop_raw_stats(whole)), SEED)))
+
+
+@register(FEATURE_SQL)
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modelling table with players' features back on the contests (some of its columns shown)."""
+    shown = [f"player{i}_{c}" for c in (*_SHOWN, "elo_pre", "surface_elo_pre", "clutch_elo_pre") for i in (1, 2)]
+    return _features(spark, sf_dir).select(KEY, "target_player1_won", *shown, "player1_elo_win_prob", "h2h_count", "h2h_player1_diff")
+
+
 FEATURES = ["draw_size", "player1_rank", "player2_rank", "player1_SvGms", "player2_SvGms", "is_grand_slam", "surface_Clay"]
 
 
@@ -423,17 +517,26 @@ def walk_forward_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.walk_forward_origins(_model(spark, sf_dir), CUTOFFS)
 
 
-BLOCKS = """, s AS (SELECT row_number() OVER (ORDER BY tourney_date, match_num) - 1 AS seq, count(*) OVER () AS n FROM d),
-b AS (SELECT i AS block, 500 + v + i * 1500 AS test, v, n FROM (SELECT DISTINCT CAST(floor(180 * (n / 365 / 5)) AS BIGINT) AS v, n FROM s), range(0, 1000000) t(i) WHERE 500 + v + i * 1500 <= n - 90)
-SELECT block, CASE WHEN seq < test - v THEN 'train' WHEN seq < test THEN 'validation' ELSE 'test' END AS part, count(*) AS n, min(seq) AS first, max(seq) AS last
-FROM s JOIN b ON seq >= test - v - 500 AND seq < test + 90 GROUP BY 1, 2"""
+BLOCKS = """, s AS (SELECT row_number() OVER (ORDER BY tourney_date, match_num) - 1 AS seq, tourney_date, count(*) OVER () AS n FROM d),
+f AS (SELECT min(seq) AS first, any_value(n) AS n, CAST(floor(180 * (any_value(n) / 365 / 5)) AS BIGINT) AS v FROM s WHERE tourney_date >= DATE '1995-01-01'),
+b AS (SELECT model, i AS block, first + i * 1500 AS test, least(first + i * 1500 + 90, n) AS stop, greatest(0, first + i * 1500 - v) AS validation, 10000 + 10 * shift AS rows
+  FROM f, range(0, 1000000) t(i), (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS model, unnest([0, -20, 20, -50, 50, -90, 90]) AS shift) WHERE first + i * 1500 < n)
+SELECT model, block, CASE WHEN seq < validation THEN 'train' WHEN seq < test THEN 'validation' ELSE 'test' END AS part, count(*) AS n, min(seq) AS first, max(seq) AS last
+FROM s JOIN b ON seq >= greatest(0, validation - rows) AND seq < stop GROUP BY 1, 2, 3"""
 
 
 @register(MODEL + BLOCKS)
 def row_block_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each block and part, by row number in date order."""
-    m = ordering.chronological_order(_model(spark, sf_dir), *ORDER)
-    return backtest.block_rows(m, m.count(), train_rows=500).groupBy("block", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    """Rows of each model, block and part, by row number in date order; blocks start at the first row of 1995."""
+    m = tables.kept(ordering.chronological_order(_model(spark, sf_dir), *ORDER).select("seq", "tourney_date"), "ordered")
+    n, first = m.agg(F.count("*"), F.min(F.when(F.col("tourney_date") >= F.lit("1995-01-01").cast("date"), F.col("seq")))).first()
+    if first is None:
+        first = n
+    parts = None
+    for model, offset in enumerate(backtest.OFFSETS, 1):
+        rows = backtest.block_rows(m, n, first, offset=offset).groupBy("block", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")).withColumn("model", F.lit(model))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
 
 
 @register(MODEL + f", e AS (SELECT year(tourney_date) AS origin, {PROB} AS p, target_player1_won AS y FROM d) SELECT origin, count(*) AS n, round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(-avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier FROM e GROUP BY 1")
@@ -450,24 +553,15 @@ def elo_quality_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.classification_metrics(df, ["year"])
 
 
-def _gains(spark: SparkSession, sf_dir: str, cutoffs: list[str], rounds: int = 50) -> DataFrame:
+def _summary(spark: SparkSession, sf_dir: str, cutoffs: list[str], rounds: int = 50) -> DataFrame:
     df = tables.kept(_model(spark, sf_dir, _rated(spark, sf_dir)), "model")
-    d = F.col("tourney_date").cast("date")
-    scored = spark.createDataFrame([], "origin string, model string, prob double, target_player1_won int")
-    for origin in sorted(r["origin"] for r in backtest.walk_forward_origins(df, cutoffs).collect()):
-        first = F.lit(origin).cast("date")
-        train, test = df.where(d < first), df.where(d.between(first, F.lit(backtest.END).cast("date")))
-        full, _ = backtest.train_score(train, test, [*FEATURES, "player1_elo_pre", "player2_elo_pre"], rounds=rounds)
-        runs = {"full": full, "elo": backtest.logistic_score(train, test, backtest.elo_features()), "rank": backtest.logistic_score(train, test, backtest.rank_features(False))}
-        for name, run in runs.items():
-            scored = scored.unionByName(run.select(F.lit(origin).alias("origin"), F.lit(name).alias("model"), "prob", "target_player1_won"))
-    return backtest.walkforward_summary(backtest.classification_metrics(scored, ["origin", "model"]), "elo")
+    return backtest.walk_forward(df, cutoffs, [*FEATURES, "player1_elo_pre", "player2_elo_pre"], rounds)
 
 
 @register()
 def walk_forward_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees against the Elo and rank baselines at every accepted origin: gains over Elo."""
-    return _gains(spark, sf_dir, CUTOFFS)
+    """Boosted trees against the Elo and rank baselines at every accepted origin: rows, metrics and gains."""
+    return _summary(spark, sf_dir, CUTOFFS)
 
 
 @register()
@@ -480,13 +574,13 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def bootstrap_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean gain in accuracy of boosted trees over Elo, from the gains of every accepted origin."""
-    gains = tables.kept(_gains(spark, sf_dir, CUTOFFS).where("model = 'full'"), "gains")
-    return backtest_interval(gains.withColumn("gain", F.col("accuracy_gain")))
-
-
-def backtest_interval(years: DataFrame) -> DataFrame:
-    return bets.bootstrap_mean(years, "gain").select(F.col("roi_mean").alias("mean_gain"), F.col("roi_low").alias("low"), F.col("roi_high").alias("high"))
+    """Intervals of the mean gains in accuracy and log-loss over the origins: boosted trees over Elo and rank, Elo over rank."""
+    summary = tables.kept(_summary(spark, sf_dir, CUTOFFS), "summary")
+    out = None
+    for c in [c for c in summary.columns if "_gain_" in c]:
+        made = bets.bootstrap_mean(summary.select("origin", c), c).select(F.lit(c).alias("gain"), F.col("roi_mean").alias("mean_gain"), F.col("roi_low").alias("low"), F.col("roi_high").alias("high"))
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 # --- bets
@@ -506,11 +600,21 @@ def choose_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bets(spark, sf_dir)
 
 
-@register(BETS + " SELECT match_idx, CASE WHEN bet_won = 1 THEN 1 ELSE 0 END AS win_majority, round(confidence + 0.0565685424948, 6) AS confidence, stake, bet_won FROM bets")
+#: Seven models that disagree: model i's probability is moved by (i - 4) times this.
+SHIFT = 0.03
+VOTES = MODEL + f""", i AS (SELECT *, round(greatest(0.01, least(0.99, {PROB} + (model - 4) * {SHIFT})), 6) AS prob, (1 / player1_PS) / (1 / player1_PS + 1 / player2_PS) AS m1, (1 / player2_PS) / (1 / player1_PS + 1 / player2_PS) AS m2 FROM d, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS model)),
+c AS (SELECT match_num, model, CAST(prob > 0.5 AS INT) AS one, CASE WHEN prob > 0.5 THEN prob ELSE 1 - prob END AS q, CASE WHEN prob > 0.5 THEN m1 ELSE m2 END AS mk, CASE WHEN prob > 0.5 THEN player1_PS ELSE player2_PS END AS odds, CAST((prob > 0.5) = (target_player1_won = 1) AS INT) AS won FROM i)
+SELECT match_num AS match_idx, CAST(sum(one) >= 4 AS INT) AS win_majority, round(avg(q / mk), 6) AS confidence, round(avg(q - mk), 6) AS edge_abs, round(avg(CASE WHEN q * odds - 1 > 0 THEN 1.0 ELSE 0.0 END), 6) AS stake,
+  max(odds) FILTER (model = 1) AS PSW, max(won) FILTER (model = 1) AS bet_won FROM c GROUP BY 1"""
+
+
+@register(VOTES)
 def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven models that differ in confidence only, by even steps around the fourth."""
-    models = _bets(spark, sf_dir).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("confidence", F.col("confidence") + F.col("model") * 0.0141421356237)
-    return bets.ensemble_vote(models).select("match_idx", "win_majority", F.round("confidence", 6).alias("confidence"), "stake", "bet_won")
+    """The vote of seven models whose probabilities differ by even steps, so that some choose other sides."""
+    prob = F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), _prob() + (F.col("model") - 4) * SHIFT)), 6)
+    models = _model(spark, sf_dir).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("prob", prob)
+    votes = bets.ensemble_vote(bets.choose_side(bets.novig_probs(models)).withColumn("match_idx", F.col("match_num")))
+    return votes.select("match_idx", "win_majority", F.round("confidence", 6).alias("confidence"), F.round("edge_abs", 6).alias("edge_abs"), F.round("stake", 6).alias("stake"), "PSW", "bet_won")
 
 
 _STAKED, _FLAT = "round(100 * (sum(stake * PSW * bet_won) - sum(stake)) / nullif(sum(stake), 0), 6)", "round(100 * (sum(PSW * bet_won) - count(*)) / count(*), 6)"
@@ -522,7 +626,7 @@ def roi_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(BETS + f""", g AS (SELECT b.*, s AS sort_column, cap, row_number() OVER (PARTITION BY s, cap ORDER BY CASE s WHEN 'confidence' THEN confidence ELSE edge_abs END DESC, match_idx) AS r, count(*) OVER (PARTITION BY s, cap) AS n
-  FROM bets b, (SELECT unnest(['confidence', 'edge_abs']) AS s), (SELECT unnest([2.0, 3.0, 100.0])::DOUBLE AS cap) WHERE PSW > 0 AND PSW <= cap)
+  FROM bets b, (SELECT unnest(['confidence', 'edge_abs']) AS s), (SELECT unnest([2.0, 2.5, 3.0])::DOUBLE AS cap) WHERE PSW > 0 AND PSW <= cap)
   SELECT sort_column, cap, percent, count(*) AS n_bets, {_STAKED} AS roi FROM g, (SELECT unnest([10, 20, 30, 40, 50]) AS percent) WHERE r <= n * percent // 100 GROUP BY 1, 2, 3 HAVING count(*) >= 200""")
 def strategy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bets.strategy_table(_bets(spark, sf_dir))
@@ -542,7 +646,7 @@ def frozen_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     if best is None:
         return spark.createDataFrame([], "roi_mean double, roi_low double, roi_high double, roi double, p_value double, verdict string")
     chosen = tables.kept(bets.apply_strategy(rows.where("part = 'holdout'"), best["sort_column"], best["cap"], best["percent"]), "chosen")
-    return bets.verdict(bets.bootstrap_roi(chosen).crossJoin(bets.permutation_pvalue(chosen)))
+    return bets.evaluate(chosen)
 
 
 @register(BETS + f" , q AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, match_idx) AS r, count(*) OVER () AS n FROM bets) SELECT CAST(ceil(10.0 * r / n) - 1 AS INT) AS decile, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, {_FLAT} AS roi FROM q GROUP BY 1")
@@ -557,7 +661,14 @@ def ab_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def best_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bets.select_best_percentage(bets.ab_split(_bets(spark, sf_dir)).where("half = 'A'"))
+    """The share of bets by confidence that has the best lower bound of the flat return in the first half."""
+    return bets.select_best_percentage(bets.ab_split(bets.valid_bets(_bets(spark, sf_dir))).where("half = 'A'").drop("half"))
+
+
+@register()
+def ab_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That share, frozen and applied to the second half: interval, return, p-value, verdict."""
+    return bets.ab_holdout(bets.valid_bets(_bets(spark, sf_dir)))
 
 
 @register(BETS + ", q AS (SELECT *, greatest(0, least(1, confidence / PSW)) AS p FROM bets), k AS (SELECT quantile_cont(p, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS edges FROM q) SELECT greatest(0, len(list_filter(list_distinct(edges), lambda e: e < p)) - 1) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(bet_won), 6) AS observed FROM q, k GROUP BY 1")

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns of a side and of its serve.
 SIDE = ["id", "seed", "entry", "name", "hand", "ht", "ioc", "age", "rank", "rank_points"]
 SERVE = ["ace", "df", "svpt", "1stIn", "1stWon", "2ndWon", "SvGms", "bpSaved", "bpFaced"]
 SERVE_COLUMNS = [f"{s}_{c}" for s in "wl" for c in SERVE]
@@ -17,8 +18,17 @@ MATCH_COLUMNS = [
     "tourney_id", "tourney_name", "surface", "surface_norm", "draw_size", "tourney_level", "indoor", "tourney_date", "match_num",
     *[f"winner_{c}" for c in SIDE], *[f"loser_{c}" for c in SIDE], "score", "best_of", "round", "minutes", *SERVE_COLUMNS, "source_file",
 ]
-#: Columns that a usable file must have.
-EXPECTED_COLUMNS = [c for c in MATCH_COLUMNS if c not in ("surface_norm", "source_file", "indoor") and not c.endswith(("_seed", "_entry", "_ht", "_ioc", "_rank_points", "_ace", "_df"))]
+#: The columns that a usable file must have.
+EXPECTED_COLUMNS = [
+    "tourney_id", "tourney_name", "surface", "tourney_level", "tourney_date", "match_num",
+    "winner_id", "winner_name", "winner_rank", "loser_id", "loser_name", "loser_rank",
+    "score", "best_of", "round", "minutes",
+    "w_ace", "w_df", "w_svpt", "w_1stIn", "w_1stWon", "w_2ndWon", "w_SvGms", "w_bpSaved", "w_bpFaced",
+    "l_ace", "l_df", "l_svpt", "l_1stIn", "l_1stWon", "l_2ndWon", "l_SvGms", "l_bpSaved", "l_bpFaced",
+]
+#: Names of the files of events that still run.
+ONGOING, CHALLENGER_ONGOING = "ongoing_tourneys.csv", "challenger_ongoing_tourneys.csv"
+#: Odds columns by book and side.
 ODDS = [f"{book}{side}" for book in ("B365", "PS", "EX", "Max", "Avg") for side in "WL"]
 DOUBLES = {*SERVE_COLUMNS, "minutes", *[f"{s}_{c}" for s in ("winner", "loser") for c in ("ht", "age", "rank_points")]}
 INTS = {"draw_size", "match_num", "best_of", *[f"{s}_{c}" for s in ("winner", "loser") for c in ("seed", "rank")]}
@@ -33,23 +43,41 @@ def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 
-def select_source_files(years: list[int], challenger: bool = False, qualifying: bool = False, current: bool = False) -> list[str]:
-    """Names of the files of a run: one for each year and tier, and the running events' file on demand."""
-    tiers = ["", *["_challenger"] * challenger, *["_qualifying"] * qualifying]
-    return [f"{y}{t}.csv" for y in sorted(set(years)) for t in tiers] + ["ongoing_tourneys.csv"] * current
+def select_source_files(years: list[int], challenger: bool = False, qualifying: bool = False, ongoing: bool = True) -> list[str]:
+    """Names of the files of a run: one for each year and tier, and those of events that still run."""
+    found = [ONGOING] * ongoing + [f"{y}.csv" for y in sorted(set(years))]
+    if challenger:
+        found += [CHALLENGER_ONGOING] * ongoing + [f"{y}_challenger.csv" for y in sorted(set(years))]
+    return found + [f"{y}_atp_quali.csv" for y in sorted(set(years))] * qualifying
 
 
-def read_matches(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
-    """All files by column name as text columns, with ``source_file`` and ``row_no`` (rising within a file).
+def main_tour_files(paths: list[str], ongoing: bool = True) -> list[str]:
+    """Of the paths those whose names are years (``2023.csv``) and, unless declined, that of running events; sorted."""
+    name = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
+    return sorted(p for p in paths if name(p).rsplit(".", 1)[0].isdigit() or (ongoing and name(p) == ONGOING))
+
 
-    Files may lack columns (null then) and have others (kept after the canonical ones). Blank text becomes null."""
-    parts = [_read(spark, p, fmt) for p in paths]
+def read_matches(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
+    """All files by column name as text columns, with ``source_file``, ``row_no`` (rising within a file) and
+    ``source_columns`` (the file's own columns).
+
+    Files may lack columns (null then) and have others (kept after the canonical ones). Blank text becomes null. Files of
+    one header are read together."""
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        columns = (spark.read.csv(path, header=True) if fmt == "csv" else spark.read.parquet(path)).columns
+        headers.setdefault(tuple(columns), []).append(path)
+    parts = []
+    for columns, own in headers.items():
+        fields = ", ".join(f"`{c}` string" for c in columns)
+        part = spark.read.csv(own, header=True, schema=fields) if fmt == "csv" else spark.read.parquet(*own)
+        parts.append(part.withColumns({"source_file": F.col("_metadata.file_name"), "source_columns": F.lit(list(columns)).cast("array<string>")}))
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     missing = {c: F.lit(None).cast("string") for c in MATCH_COLUMNS if c not in df.columns}
     df = df.withColumns(missing) if missing else df
-    rest = [c for c in df.columns if c not in MATCH_COLUMNS]
+    rest = [c for c in df.columns if c not in MATCH_COLUMNS and c != "source_columns"]
     blank = [F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in [*MATCH_COLUMNS, *rest]]
-    return df.select(*blank).withColumn("row_no", F.monotonically_increasing_id())
+    return df.select(*blank, "source_columns").withColumn("row_no", F.monotonically_increasing_id())
 
 
 def read_odds(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
@@ -67,13 +95,27 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", by_year: bool =
         df.write.mode("overwrite").format(fmt).option("header", True).save(path)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once into the folder that all executors share (``spark.checkpoint.dir``) and read again."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a
+    temporary folder of its own; on a cluster that would be a disk which other machines can't see, so it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: computed once, and safe when executors are lost.
+
+    The results of the operators are lazy and read such tables, so the folder's owner clears it, not the operator."""
+    path = shared_path(df.sparkSession, name)
+    df.write.options(**options or {}).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
