@@ -1,24 +1,22 @@
-"""What the operators share: reading tables, tables kept in the shared folder, Arrow batches."""
+"""What the operators share: tables kept in the shared folder, parts of Arrow batches, hashes of ids."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from duelkit.functions.values import let
+from duelkit.sources.tables import kept, table
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+__all__ = ["crc_of_id", "kept", "let", "parts", "table"]
+
 #: Rows and text bytes that a Python worker handles at once; one longer text is handled alone.
 PART_ROWS, PART_BYTES = 1000, 4_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in parts of bounded size, whatever the session's own bounds of a batch are."""
     for batch in batches:
@@ -33,33 +31,7 @@ def parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
             yield batch.slice(start)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a
-    temporary folder of its own; on a cluster that would be a disk which other machines can't see, so it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def kept(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: computed once, and safe when executors are lost.
-
-    The results of the operators are lazy and read such tables, so the folder's owner clears it, not the operator."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options or {}).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_of_id(doc_id: Column | str) -> Column:
     """crc32 of an id's decimal text (null id: of the empty text)."""
     text = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
     return F.crc32(text.cast("binary"))
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once for a row, however often ``body`` uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)

@@ -18,6 +18,7 @@ SHINGLE = 5
 BANDS, ROWS = 30, 4
 #: Documents of a bucket, and of one class of sizes in it, that one task compares with others; larger ones are split.
 CROWD = 500
+NO_ID = (1 << 63) - 1
 _U32 = np.uint32
 
 
@@ -124,7 +125,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(told: DataFrame) -> DataFrame:
-    """Rows (band, doc, n, comp, ...) of the buckets that hold several components."""
+    """Rows (band, doc, n, comp, ...) of the buckets that hold several components; ``told`` is a written table. What is joined is
+    written first, so that a crowded bucket's side of the join can be split."""
     several = kept(told.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), "open")
     return told.join(several, "band")
 
@@ -138,10 +140,10 @@ def _bounded(active: DataFrame, texts: DataFrame, threshold: int, rounds: int =
         active = kept(active.select("band", "doc", "n", "comp"), "active")
         docs = active.select("doc", "comp").distinct()
         own = texts.join(docs, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text").mapInArrow(_shingled, "doc long, shingle long").join(docs, "doc")
-        held = kept(own.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle"), "shared")
+        held = own.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
         common = own.join(held, "shingle").groupBy("doc").agg(F.count("*").alias("common"))
         alone = F.col("n") - F.coalesce("common", F.lit(0))
-        active = _open(active.join(common, "doc", "left").withColumn("alone", alone).where(F.expr(f"100 * (n - alone) >= {threshold} * n")))
+        active = _open(kept(active.join(common, "doc", "left").withColumn("alone", alone).where(F.expr(f"100 * (n - alone) >= {threshold} * n")), "left"))
     return kept(active, "active")
 
 
@@ -189,9 +191,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", do
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("doc"))
     signed = kept(rows.mapInArrow(_signed, "doc_id long, doc long, n_shingles long, key1 long, key2 long, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()), "signed")
     key = ["key1", "key2", "n_shingles"]
-    first = kept(signed.where("n_shingles > 0").groupBy(*key).agg(F.min_by("doc", "row").alias("rep"), F.min("doc_id").alias("least_id"), F.min("row").alias("least_row")), "sets")
+    rid = F.coalesce("doc_id", F.lit(NO_ID))
+    first = kept(signed.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct(rid.alias("rid"), "doc", "row")).alias("r"), F.min("doc_id").alias("least_id"), F.min("row").alias("least_row")).select(*key, F.col("r.doc").alias("rep"), "r.rid", F.col("r.row").alias("rep_row"), "least_id", "least_row"), "sets")
     member = signed.select("doc_id", "doc", "row", *key).join(first.select(*key, "rep"), key, "left")
-    nodes = signed.join(first.select(F.col("least_row").alias("row")), "row", "left_semi").select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    nodes = signed.join(first.select(F.col("rep_row").alias("row")), "row", "left_semi").select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     # counts and hubs of buckets are written first: joins with a crowded bucket can then be split
     several = kept(nodes.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "several")
     live = kept(nodes.join(several, "band"), "buckets")
@@ -200,11 +203,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", do
     near_size = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * threshold
     sizes = live.select(F.col("doc").alias("hub"), F.col("n").alias("n2")).distinct()
     star = live.join(hub, "band").where("doc <> hub").select("doc", "hub", "n").distinct().join(sizes, "hub").where(near_size).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    texts = kept(rows.select("doc", "text").join(live.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    # by id and text, as copies of one text may be very many
+    wanted = live.select("doc").distinct().join(first.select(F.col("rep").alias("doc"), "rid"), "doc")
+    texts = kept(rows.select(rid.alias("rid"), "doc", "text").join(wanted, ["rid", "doc"], "left_semi").dropDuplicates(["rid", "doc"]).select("doc", "text"), "texts")
     links = kept(verify(star, texts, threshold), "links")
     comp = components(links)
 
-    told = live.join(comp, "doc", "left").select("band", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
+    told = kept(live.join(comp, "doc", "left").select("band", "doc", "n", F.coalesce("comp", "doc").alias("comp")), "told")
     active = _bounded(_open(told), texts, threshold)
     if active.limit(1).count():
         more = kept(verify(_across(active, threshold), texts, threshold), "links")
