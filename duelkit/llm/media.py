@@ -106,10 +106,11 @@ def read_wav(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: the text through :func:`encode_wav` and :func:`read_wav`, with the landmarks digested."""
+    """One row per document: the text through :func:`encode_wav` and :func:`read_wav`; ``feature`` digests the landmarks, which
+    follow as they are. Repeated rows and rows without an id are rows of their own."""
     stored = encode_wav(docs.select("doc_id", "text")).select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     n = F.size("landmarks")
     return read_wav(stored).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        F.concat_ws(":", n, F.lower(F.lpad(F.hex(F.xxhash64("landmarks")), 16, "0"))).alias("feature"), n.alias("n_landmarks"),
+        F.concat_ws(":", n, F.lower(F.lpad(F.hex(F.xxhash64("landmarks")), 16, "0"))).alias("feature"), n.alias("n_landmarks"), "landmarks",
     )
