@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -17,6 +18,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from duelkit.llm import bpe, chat, interpolation, language, lines, media, packing, sharding, shingles, syncmers
 from duelkit.llm.queries import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
@@ -67,6 +69,88 @@ def test_media_hears_the_tail():
         assert one.shape == two.shape and len(one) == 1 + max(0, -(-(size - media.FRAME) // media.HOP)) and not np.allclose(one[-1], two[-1]), size
 
 
+def test_landmarks_equal_loops():
+    """Frames, peaks and pairs by plain loops."""
+    rng = np.random.default_rng(4)
+    text = np.frombuffer(" ".join(f"w{i * 7919 % 997}" for i in range(900)).encode(), np.uint8)
+    for samples in (np.zeros(64, np.uint8), rng.integers(0, 256, 1000, dtype=np.uint8), text):
+        x = [(int(v) - 128) / 128 for v in samples]
+        x += [0.0] * (media.FRAME - len(x) if len(x) < media.FRAME else -(len(x) - media.FRAME) % media.HOP)
+        window = [0.5 - 0.5 * math.cos(2 * math.pi * i / (media.FRAME - 1)) for i in range(media.FRAME)]
+        tops = []
+        for start in range(0, len(x) - media.FRAME + 1, media.HOP):
+            power = np.abs(np.fft.rfft([x[start + i] * window[i] for i in range(media.FRAME)])) ** 2
+            row = []
+            for low, high in media.BANDS:
+                best = max(range(low, high), key=lambda b: (round(float(power[b]), 9), -b))
+                row.append((round(math.log1p(power[best]), 4), best))
+            tops.append(row)
+        peaks = []
+        for t in range(len(tops)):
+            for band in range(len(media.BANDS)):
+                here = tops[t][band][0]
+                before, after = (tops[t - 1][band][0] if t else -1), (tops[t + 1][band][0] if t + 1 < len(tops) else -1)
+                if here > before and here >= after and here > 0.001:
+                    peaks.append((t, tops[t][band][1]))
+        peaks.sort()
+        codes = sorted(t << 32 | f << 16 | g << 8 | (u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 1 + media.FAN] if u - t <= media.REACH)
+        got = media.landmarks(samples).tolist()
+        # float32 spectra differ from these in the last digits, which may move a peak in a tie of four digits
+        assert len(set(got) ^ set(codes)) <= 0.02 * max(1, len(codes)), (len(got), len(codes))
+    assert codes
+
+
+def test_scores_equal_loops(spark, texts):
+    """Counts, buckets, weights and scores by plain loops."""
+    use = {i: {2: 2, 3: 1}.get(zlib.crc32(str(i).encode()) % 7, 0) for i in texts}
+    fit, train, two_fit, two_train = Counter(), Counter(), Counter(), Counter()
+    for i, t in texts.items():
+        w = words(t, True)
+        pairs = list(zip([None, *w], w))
+        if use[i] < 2:
+            train.update(w)
+            two_train.update(pairs)
+        if use[i] == 0:
+            fit.update(w)
+            two_fit.update(pairs)
+    kinds = len(train)
+    bucket = lambda c: min(int(math.log2(c)) + 1, interpolation.BUCKETS - 1) if c else 0
+    grid = lambda p: min(max(interpolation.GRID - 1 + round(20 * math.log10(p)), 1), interpolation.GRID - 1) if p else 0
+    value = lambda g: 10 ** ((g - interpolation.GRID + 1) / 20) if g else 0.0
+    held = defaultdict(Counter)
+    for i, t in texts.items():
+        if use[i] == 1:
+            w = words(t, True)
+            for v, x in zip([None, *w], w):
+                held[bucket(fit[v])][grid(two_fit[v, x] / fit[v] if fit[v] else 0), grid(fit[x] / sum(fit.values()))] += 1
+    weights = {}
+    for b in range(interpolation.BUCKETS):
+        a = [1 / 3] * 3
+        for _ in range(interpolation.STEPS):
+            got = [0.1] * 3
+            for (g2, g1), n in held[b].items():
+                parts = [a[0] * value(g2), a[1] * value(g1), a[2] / (kinds + 1)]
+                for k in range(3):
+                    got[k] += n * parts[k] / sum(parts)
+            a = [g / sum(got) for g in got]
+        weights[b] = a
+    a, b, c = weights[0]
+    weights[0] = [0.0, b + a * b / (b + c), c + a * c / (b + c)]
+    total = sum(train.values())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block, part in ((interpolation.BLOCK_BYTES, interpolation.SLICE_BYTES), (20_000, 3_000)):
+        scored = interpolation.score(docs.join(spark.createDataFrame(list(use.items()), "doc_id long, use int"), "doc_id"), block, part).collect()
+        assert len(scored) == len(texts)
+        for r in scored:
+            w, want = words(texts[r.doc_id], True), 0.0
+            for v, x in zip([None, *w], w):
+                p = weights[bucket(train[v])]
+                want += math.log10((p[0] * two_train[v, x] / train[v] if train[v] else 0) + p[1] * train[x] / total + p[2] / (kinds + 1))
+            assert r.score == pytest.approx(want, rel=1e-6, abs=1e-4) and r.n_known == sum(train[x] > 0 for x in w)
+    numbers = np.array([0, 1, 255, 256, 70_000, 1 << 40], np.uint64)
+    assert interpolation.unpacked(interpolation.packed(numbers)).tolist() == numbers.tolist() and len(interpolation.packed(numbers[:3])) == 4
+
+
 def test_scoring(spark, small, texts, odd):
     count = Counter()
     for i, t in texts.items():
@@ -122,6 +206,59 @@ def test_language(spark, small, odd):
     assert language.predict(odd.where("lang is null")).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_language(rows):
+    """A classifier from (text, lang) by plain counts: words first, then the longest known n-grams."""
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        for w in language.WORD.findall(text.lower()):
+            counts[lang, 0][w] += 1
+    for lang in {k for k, _ in counts}:
+        for w, n in counts[lang, 0].items():
+            for size in range(1, language.LONGEST + 1):
+                for g in language.grams(w, size):
+                    counts[lang, size][g] += n
+    langs = sorted({k for k, _ in counts})
+    known = [{u for lang in langs for u, n in counts[lang, size].items() if n >= language.LEAST_COUNT} for size in range(language.LONGEST + 1)]
+
+    def units(w, size):
+        return [g for g in language.grams(w, size) if g in known[size]]
+
+    def value(lang, size, u):
+        n = counts[lang, size][u]
+        return math.log(((n if n >= language.LEAST_COUNT else 0) + 0.5) / (sum(counts[lang, size].values()) + 0.5 * max(1, len(known[size]))))
+
+    def classify(text):
+        total = dict.fromkeys(langs, 0.0)
+        if not any(map(str.isalpha, text or "")):
+            return "und", 0.0
+        for w in language.WORD.findall(text.lower()):
+            size = next((n for n in range(language.LONGEST, 0, -1) if units(w, n)), None)
+            for lang in langs:
+                if w in known[0]:
+                    total[lang] += value(lang, 0, w)
+                elif size:
+                    total[lang] += sum(value(lang, size, g) for g in units(w, size)) / len(units(w, size))
+        best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        return best, 1 / sum(math.exp(max(v - total[best], -700)) for v in total.values())
+
+    return classify
+
+
+def test_language_equals_loops(spark, small):
+    docs = pd.read_parquet(f"{small}/documents.parquet")
+    train = docs[[zlib.crc32(str(i).encode()) % 3 != 1 for i in docs.doc_id]].dropna(subset=["lang", "text"])
+    classify = plain_language(list(train[["text", "lang"]].itertuples(index=False)))
+    some = docs[docs.text.str.len() <= 3000].head(60)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op4_language_id"](spark, small).collect()}
+    for r in some.itertuples():
+        lang, score = classify(r.text)
+        assert got[r.doc_id] == (lang, pytest.approx(score, abs=1e-3))
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i % 300:03}")
+    many = spark.createDataFrame([(i, f"wort{name(i)} ding{name(i)} und{name(i)}", name(i)) for i in range(2400)], "doc_id long, text string, lang string")
+    told = language.predict(many).where("held_out").join(many.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (told.lang_pred == told.lang).mean() > 0.9  # of 300 languages none is left out
+
+
 def test_sharding(spark, small, texts, odd):
     out = rows(spark, small, "op5_sharding")
     for _, own in out.groupby("shard"):
@@ -339,6 +476,33 @@ def test_fingerprints(spark, small, texts, odd):
     assert set(a) <= set(b) and all(b[h] - p == 4 for h, p in a.items() if list(a).count(h) == 1)
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chained(values):
+    """The engine's 64-bit hash of several numbers: each seeds the next."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(struct.pack("<q", v), seed=seed).intdigest()
+    return signed(seed)
+
+
+def test_anchors_equal_loops(spark, texts):
+    """Closed syncmers by plain loops over letters, inner substrings and windows."""
+    some = {**dict(list(texts.items())[:60]), -1: "short text", -2: "", -3: "a b " * 40, -4: "x" * 400}
+    got = {r.i: [(x["pos"], x["hash"]) for x in r.a] for r in spark.createDataFrame(list(some.items()), "i long, t string").select("i", syncmers.anchors(F.col("t")).alias("a")).collect()}
+    k, s = syncmers.K, syncmers.S
+    for i, t in some.items():
+        h = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", t)]
+        want = [(1, chained(h))] if 0 < len(h) < k else []
+        for at in range(len(h) - k + 1):
+            inner = [chained(h[at + j : at + j + s]) for j in range(k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                want.append((at + 1, chained(h[at : at + k])))
+        assert got[i] == want, i
+
+
 def test_neighbours_in_many_buckets(spark):
     docs = spark.createDataFrame([(3 * i, f"text {i}") for i in range(100)], "doc_id long, text string")
     pairs = syncmers.with_next(docs, 60).withColumn("n", F.lead("text").over(syncmers.neighbours())).where("not ghost")
@@ -392,3 +556,25 @@ def test_pipeline_stages(spark, small, odd):
     assert corpus_pipeline.near_stage(spark, table, small).where("doc_id is null").count() == 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table, small).count() >= 0
+
+
+def test_pipeline_run(spark, small, texts):
+    """The whole run: languages by the plain classifier, groups by brute force, ids by the tokenizer, on what stages before kept."""
+    docs = pd.read_parquet(f"{small}/documents.parquet")
+    train = docs[[zlib.crc32(str(i).encode()) % 3 != 1 for i in docs.doc_id]].dropna(subset=["lang", "text"])
+    classify = plain_language(list(train[["text", "lang"]].itertuples(index=False)))
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    kept = {r.doc_id: r for r in corpus_pipeline.language_stage(spark, table, small).collect()}
+    for r in docs[docs.text.str.len() < 1500].itertuples():
+        lang, score = classify(r.text)
+        assert (r.doc_id in kept) == (lang != "und" and score >= corpus_pipeline.LEAST_SCORE) and (r.doc_id not in kept or (kept[r.doc_id].text, kept[r.doc_id].lang) == (r.text, lang))
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, table.where(F.col("doc_id").isin(list(kept))), small).collect()}
+    groups = brute(left, corpus_pipeline.SIMILAR)
+    want = {i: t for i, t in left.items() if groups[i][1] == i}
+    tokenizer = Tokenizer.from_file(packing.default_path())
+    tokenizer.encode_special_tokens = True
+    got = corpus_pipeline.run(spark, small).toPandas()
+    assert set(got.doc_id) == set(want)
+    for i, own in got.sort_values("start").groupby("doc_id"):
+        assert np.frombuffer(b"".join(own["ids"]), "<u4").tolist() == tokenizer.encode(want[i], add_special_tokens=False).ids + [1]
+        assert all(zlib.crc32(x) == c for x, c in zip(own["ids"], own.ids_crc32, strict=True))
