@@ -155,14 +155,14 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(r"""WITH n AS (SELECT doc_id, regexp_extract(text, '^(\S+\s+\S+)', 1) AS name FROM documents),
+@register(r"""WITH n AS (SELECT doc_id, text AS name FROM documents),
 c AS (SELECT doc_id, trim(regexp_replace(replace(replace(lower(regexp_replace(strip_accents(name), '[^\x00-\x7F]', '', 'g')), '-', ' '), '.', ''), '\s+', ' ', 'g')) AS clean FROM n),
 w AS (SELECT doc_id, clean, string_split(clean, ' ') AS w FROM c)
 SELECT doc_id, clean, CASE WHEN len(w) < 2 THEN w[1] ELSE substr(w[1], 1, 1) || ' ' || array_to_string(w[2:], ' ') END AS first_last,
   CASE WHEN clean = '' THEN '' WHEN len(w) > 1 AND length(w[-1]) <= 3 AND regexp_full_match(w[-1], '[a-z]+') THEN substr(w[-1], 1, 1) || ' ' || array_to_string(w[:-2], ' ') ELSE substr(w[1], 1, 1) || ' ' || array_to_string(w[2:], ' ') END AS last_initial FROM w""", raw=True)
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.regexp_extract("text", r"^(\S+\s+\S+)", 1)
-    return tables.table(spark, sf_dir, "documents").select("doc_id", names.clean_name(name).alias("clean"), names.player_key_first_last(name).alias("first_last"), names.player_key_last_initial(name).alias("last_initial"))
+    """Whole texts as names."""
+    return tables.table(spark, sf_dir, "documents").select("doc_id", names.clean_name("text").alias("clean"), names.player_key_first_last("text").alias("first_last"), names.player_key_last_initial("text").alias("last_initial"))
 
 
 @register("SELECT match_num, year(tourney_date) AS year, least(winner_id, loser_id) || '__vs__' || greatest(winner_id, loser_id) AS pair FROM m")
@@ -600,9 +600,9 @@ def choose_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bets(spark, sf_dir)
 
 
-#: Seven models that disagree: model i's probability is moved by (i - 4) times this.
-SHIFT = 0.03
-VOTES = MODEL + f""", i AS (SELECT *, round(greatest(0.01, least(0.99, {PROB} + (model - 4) * {SHIFT})), 6) AS prob, (1 / player1_PS) / (1 / player1_PS + 1 / player2_PS) AS m1, (1 / player2_PS) / (1 / player1_PS + 1 / player2_PS) AS m2 FROM d, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS model)),
+#: Seven models that disagree: model i's probability is moved by i times this less 0.1 (no mean is a decimal tie so).
+SHIFT = 0.0282842712475
+VOTES = MODEL + f""", i AS (SELECT *, greatest(0.01::DOUBLE, least(0.99::DOUBLE, {PROB} + model * {SHIFT}::DOUBLE - 0.1::DOUBLE)) AS prob, (1 / player1_PS) / (1 / player1_PS + 1 / player2_PS) AS m1, (1 / player2_PS) / (1 / player1_PS + 1 / player2_PS) AS m2 FROM d, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS model)),
 c AS (SELECT match_num, model, CAST(prob > 0.5 AS INT) AS one, CASE WHEN prob > 0.5 THEN prob ELSE 1 - prob END AS q, CASE WHEN prob > 0.5 THEN m1 ELSE m2 END AS mk, CASE WHEN prob > 0.5 THEN player1_PS ELSE player2_PS END AS odds, CAST((prob > 0.5) = (target_player1_won = 1) AS INT) AS won FROM i)
 SELECT match_num AS match_idx, CAST(sum(one) >= 4 AS INT) AS win_majority, round(avg(q / mk), 6) AS confidence, round(avg(q - mk), 6) AS edge_abs, round(avg(CASE WHEN q * odds - 1 > 0 THEN 1.0 ELSE 0.0 END), 6) AS stake,
   max(odds) FILTER (model = 1) AS PSW, max(won) FILTER (model = 1) AS bet_won FROM c GROUP BY 1"""
@@ -611,7 +611,7 @@ SELECT match_num AS match_idx, CAST(sum(one) >= 4 AS INT) AS win_majority, round
 @register(VOTES)
 def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vote of seven models whose probabilities differ by even steps, so that some choose other sides."""
-    prob = F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), _prob() + (F.col("model") - 4) * SHIFT)), 6)
+    prob = F.greatest(F.lit(0.01), F.least(F.lit(0.99), _prob() + F.col("model") * SHIFT - 0.1))
     models = _model(spark, sf_dir).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("prob", prob)
     votes = bets.ensemble_vote(bets.choose_side(bets.novig_probs(models)).withColumn("match_idx", F.col("match_num")))
     return votes.select("match_idx", "win_majority", F.round("confidence", 6).alias("confidence"), F.round("edge_abs", 6).alias("edge_abs"), F.round("stake", 6).alias("stake"), "PSW", "bet_won")
