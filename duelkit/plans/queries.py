@@ -361,7 +361,7 @@ rated(step, slots, a, b) AS (
     FROM (SELECT e.*, slots, list_transform(ws, lambda i: slots[i]) AS a, list_transform(ls, lambda i: slots[i]) AS b FROM rated JOIN e ON e.step = rated.step + 1)))
 """
 ELO_LAST = """, z AS (SELECT slots FROM rated ORDER BY step DESC LIMIT 1)
-SELECT player_id, (SELECT count(*) FROM pm WHERE pm.player_id = player.player_id) AS played, """ + ", ".join(f"round(slots[{i} * total + p], 1) AS {c}" for i, c in ((0, "elo"), (1, "elo_hard"), (2, "elo_clay"), (3, "elo_grass"), (10, "elo_clutch"))) + " FROM player, z"
+SELECT player_id, (SELECT count(*) FROM pm WHERE pm.player_id = player.player_id) AS played, """ + ", ".join(f"round(slots[{i} * total + p], 1) AS {c}" for i, c in ((0, "elo"), (1, "elo_hard"), (2, "elo_clay"), (3, "elo_grass"), *((i, f"elo_{c}_{v}") for v, first in (("indoor", 4), ("outdoor", 7)) for i, c in enumerate(("hard", "clay", "grass"), first)), (10, "elo_clutch"))) + " FROM player, z"
 
 
 @register(ELO + "SELECT match_num, " + ", ".join(f"round({x}[{i}], 2) AS {s}_{c}_pre" for s, x in (("winner", "a"), ("loser", "b")) for i, c in enumerate(("elo", "surface_elo", "surface_env_elo", "clutch_elo"), 1)) + ", round(1 / (1 + pow(10, (b[1] - a[1]) / 400)), 4) AS elo_prob_winner FROM rated JOIN e USING (step)", raw=True)
