@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import parts
 
@@ -149,8 +150,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             n = [x.count(" ") + 1 if x else 0 for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())], names=[*names, "n_tokens", "ids", "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, n_tokens long, ids string, decoded binary")
+    return docs.mapInArrow(run, StructType([*docs.schema, *StructType.fromDDL("n_tokens long, ids string, decoded binary").fields]))
 
 
 def default_path() -> str:

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import crc_of_id, kept, parts
 
@@ -210,8 +211,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             got = [classify(t.as_py(), scorer) for t in batch[text]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema, *StructType.fromDDL("lang_pred string, score double").fields]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import parts
 
@@ -22,6 +23,7 @@ FRAME, HOP = 256, 128
 BANDS = ((2, 12), (12, 40), (40, 128))
 FAN, REACH = 2, 63
 
+MADE = ["payload_bytes", "payload_sha256", "tail_crc32", "landmarks"]
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, landmarks array<bigint>"
 
 
@@ -89,20 +91,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 payload = sound.readframes(sound.getnframes())
             for column, value in zip(rows, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), landmarks(np.frombuffer(payload, np.uint8))), strict=True):
                 column.append(value)
-        names = [n for n in batch.schema.names if n != "media"]
         made = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch[n] for n in names] + made, names=names + ["payload_bytes", "payload_sha256", "tail_crc32", "landmarks"])
+        yield pa.RecordBatch.from_arrays([batch["row"], *made], names=["row", *MADE])
 
 
 def read_wav(df: DataFrame, media: str = "media") -> DataFrame:
     """Replaces ``media`` by what is read from it: ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (of the last 64
     bytes) and ``landmarks`` (see :func:`landmarks`). A null file gives nulls; other columns stay, one row per row;
     input columns of these four names are replaced."""
-    made = ["payload_bytes", "payload_sha256", "tail_crc32", "landmarks"]
-    df = df.withColumnRenamed(media, "media").drop(*made)
-    rest = df.drop("media").schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [READ])
-    return df.mapInArrow(_read, schema)
+    rest = [c for c in df.columns if c not in (media, *MADE)]
+    # other columns stand in one struct, apart from those made here
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
+    packed = df.select(row.alias("row"), F.col(f"`{media}`").alias("media"))
+    read = packed.mapInArrow(_read, StructType([packed.schema["row"], *StructType.fromDDL(READ).fields]))
+    return read.select(*[F.col("row").getField(c).alias(c) for c in rest], *MADE)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -194,7 +194,8 @@ def test_packing(spark, small, texts, odd):
         text = {i: t for i, t, _ in ODD}[None if pd.isna(own.doc_id.iloc[0]) else own.doc_id.iloc[0]]
         assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1] and (own.length == own.ids.map(len) // 4).all()
     assert packed.row_key.nunique() == len(ODD)
-    assert packing.pieces(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
+    doc, length = packing.pieces(np.array([5000, 1, 2048, 0, 4095]), 2048)
+    assert [length[doc == i].tolist() for i in range(5)] == [[2048, 2048, 512, 256, 128, 8], [1], [2048], [], [2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]]
 
 
 def test_language(spark, small, odd):
@@ -539,6 +540,40 @@ def test_neighbours_of_crowded_ids(spark):
     assert syncmers.fingerprint_report(big).count() == 10_000
 
 
+def test_very_long_texts(spark):
+    """A text of 300,000 words, and one of a single word of 200,000 letters, whole through every operator."""
+    long = " ".join(f"w{i * 7919 % 50_021}" for i in range(300_000))
+    table = [(1, long, "en"), (2, long + " end", "en"), (3, "ab" * 100_000, "de"), (4, "a few words of no length", "en")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    by_id = lambda df: {r.doc_id: r for r in df.collect()}
+    assert [by_id(media.media_digest(docs))[i].n_bytes for i in (1, 3)] == [len(long), 200_000]
+    scored = by_id(interpolation.scores(docs))
+    assert [scored[i].n_tokens for i in (1, 2, 3, 4)] == [300_001, 300_002, 2, 7] and all(r.score < 0 for r in scored.values())
+    tokenizer = Tokenizer.from_file(packing.default_path())
+    assert {r.doc_tokens for r in packing.pack(docs, packing.default_path()).where("doc_id = 1").collect()} == {len(tokenizer.encode(long, add_special_tokens=False).ids) + 1}
+    assert by_id(language.predict(docs))[1].lang_pred in ("en", "de")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(bpe.default_path()), special_tokens={})
+    coded = by_id(bpe.digest(docs))
+    for i, t, _ in table:
+        ids = library.encode_ordinary(t)
+        assert (coded[i].n_tokens, coded[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    near = by_id(shingles.near_duplicates(docs))
+    assert near[2].component_id == 1 and near[1].n_shingles == 299_996 - (299_996 - len({tuple(w) for w in zip(*[long.split()[k:] for k in range(5)])}))
+    cut = by_id(lines.dedup_lines(docs))
+    assert cut[1].text == long and cut[2].text == table[1][1]
+    prints = by_id(syncmers.fingerprints(docs).select("doc_id", F.size("anchors").alias("n"), "n_chars"))
+    assert 300_000 / 10 < prints[1].n < 300_000 and prints[3].n_chars == 200_000
+
+
+def test_clashing_names(spark):
+    """Columns of the names that operators make or use inside stay, or are replaced where the docstring says so."""
+    made = media.encode_wav(spark.createDataFrame([(1, "text", 7, 8, 9)], "doc_id long, text string, row int, tail_crc32 int, `a b` int"), media="sound").withColumn("media", F.lit(5))
+    got = media.read_wav(made, "sound").first()
+    assert (got.row, got.media, got["a b"], got.payload_bytes) == (7, 5, 9, 64) and got.tail_crc32 == zlib.crc32(b"text" + bytes(60))
+    back = bpe.round_trip(spark.createDataFrame([(1, "some text", 3, 4)], "x int, text string, n_tokens int, word int"), bpe.default_path()).first()
+    assert (back.x, back.word, bytes(back.decoded)) == (1, 4, b"some text") and back.n_tokens == len(back.ids.split(" "))
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     for made in (media.media_digest(none), interpolation.scores(none), packing.pack(none, packing.default_path()), language.predict(none), sharding.shuffle_shards(none), lines.dedup_lines(none), bpe.digest(none), syncmers.fingerprint_report(none)):
