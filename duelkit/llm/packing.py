@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from .common import parts
 
-#: Words whose ids a worker remembers; beyond it, it starts anew.
+#: Words whose ids a worker remembers, those used last.
 CACHE_WORDS = 800_000
 SCHEMA = "row_key long, doc_id long, start long, length long, doc_tokens long, offset long, bucket int, ids binary"
 
@@ -41,11 +41,17 @@ class _Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in texts are ordinary text
+        self.old: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS // 2:
+            self.old = dict(self)
             self.clear()
         new = {c for c in chunks if c not in self}
+        if self.old:
+            known = new & self.old.keys()
+            self.update((c, self.old[c]) for c in known)
+            new -= known
         plain = {c for c in new if _PLAIN.fullmatch(c)}
         self._learn_mixed([*(new - plain), *(c for c in ".," if c not in self and c not in new)])
         tokenize = self.tokenizer.model.tokenize
@@ -83,19 +89,21 @@ def split(text: str | None) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def token_bytes(texts: list[str | None], ids: _Ids, end: int) -> Iterator[bytes]:
+def token_bytes(texts: list[str | None], ids: _Ids, end: int) -> list[bytes]:
     """For each text its ids and then ``end``, four bytes each."""
     last = np.array([end], "<u4").tobytes()
     chunks = [split(t) for t in texts]
     ids.learn(set().union(*chunks))
-    for own in chunks:
-        yield b"".join(map(ids.__getitem__, own)) + last
+    return [b"".join(map(ids.__getitem__, own)) + last for own in chunks]
 
 
-def pieces(n: int, most: int) -> list[int]:
-    """Lengths of the pieces of ``n`` tokens: as many of ``most`` as fit, then the binary digits of the rest, falling."""
-    whole, rest = divmod(n, most)
-    return [most] * whole + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
+def pieces(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, length) of all pieces of documents of so many tokens, in order: as many of ``most`` as fit, then the binary
+    digits of the rest, falling."""
+    digits = np.arange(most.bit_length() - 2, -1, -1)
+    times = np.column_stack([sizes // most, sizes[:, None] % most >> digits & 1])
+    kinds = np.append(most, 1 << digits)
+    return np.repeat(np.arange(len(sizes)), times.sum(axis=1)), np.repeat(np.tile(kinds, len(sizes)), times.ravel())
 
 
 def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -114,15 +122,17 @@ def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _ids(path)
         for batch in parts(batches, "t"):
-            out: list[list] = [[] for _ in range(8)]
-            for key, doc, data in zip(batch["k"].to_pylist(), batch["d"].to_pylist(), token_bytes(batch["t"].to_pylist(), ids, end), strict=True):
-                n, at = len(data) // 4, 0
-                for length in pieces(n, most):
-                    for column, value in zip(out, (key, doc, at, length, n, 0, length.bit_length() - 1, data[4 * at : 4 * (at + length)]), strict=True):
-                        column.append(value)
-                    at += length
-            types = [*[pa.int64()] * 6, pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+            coded = token_bytes(batch["t"].to_pylist(), ids, end)
+            sizes = np.array([len(x) // 4 for x in coded], np.int64)
+            doc, length = pieces(sizes, most)
+            after = np.cumsum(length)
+            start = after - length - (np.cumsum(sizes) - sizes)[doc]
+            # pieces stand one after the other in the ids of all documents, so they are cut by their places alone
+            places = pa.py_buffer(np.append(0, 4 * after).astype(np.int64))
+            own = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, places, pa.py_buffer(b"".join(coded))]).cast(pa.binary())
+            at = pa.array(doc)
+            columns = [batch["k"].take(at), batch["d"].take(at), *map(pa.array, (start, length, sizes[doc], np.zeros(len(doc), np.int64), np.log2(length).astype(np.int32))), own]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     cut = docs.select(F.monotonically_increasing_id().alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
     # a task counts its own pieces below 2^33, its number stands above (below 2^26) and the bucket above that: ids never meet
