@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +20,7 @@ from .common import parts
 
 #: Words whose ids a worker remembers, those used last.
 CACHE_WORDS = 800_000
-SCHEMA = "row_key long, doc_id long, start long, length long, doc_tokens long, offset long, bucket int, ids binary"
+SCHEMA = "row_key long, doc_id long, start long, length long, doc_tokens long, offset long, bucket int, ids_crc32 long"
 
 
 #: Marks that can join an ASCII letter; in texts that have one, case isn't folded before looking words up.
@@ -106,19 +108,22 @@ def pieces(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), times.sum(axis=1)), np.repeat(np.tile(kinds, len(sizes)), times.ravel())
 
 
-def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str = "text", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Pieces of all documents, each a sequence of its own of 2^bucket tokens (at most ``most``, a power of two), so no
-    sequence crosses documents and none needs padding: ``row_key, doc_id, start, length, doc_tokens, offset, bucket, ids,
-    sequence_id``.
+    sequence crosses documents and none needs padding: ``row_key, doc_id, start, length, doc_tokens, offset, bucket,
+    ids_crc32, ids, sequence_id``.
 
     The tokens of a document are its text's ids by the tokenizer file ``path`` and then ``end``; a null or empty text
     has ``end`` alone. Repeated rows, rows of one id and rows without one are packed each on its own; ``row_key`` tells them
-    apart. Other input columns are not read. ``ids`` are a piece's ids, 32-bit little-endian. ``sequence_id`` is unique and
+    apart. Other input columns are not read. ``ids`` are a piece's ids, 32-bit little-endian
+    (left out without ``with_ids``: a reader of checksums alone needn't fetch them), ``ids_crc32`` is their checksum. ``sequence_id`` is unique and
     rises with the bucket: in its order, sequences of equal length stand together. An empty table gives no pieces.
     """
     if most & (most - 1):
         raise ValueError("most must be a power of two")
 
+    schema = SCHEMA + ", ids binary" * with_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _ids(path)
         for batch in parts(batches, "t"):
@@ -128,13 +133,15 @@ def pack(docs: DataFrame, path: str, most: int = 2048, end: int = 1, text: str =
             after = np.cumsum(length)
             start = after - length - (np.cumsum(sizes) - sizes)[doc]
             # pieces stand one after the other in the ids of all documents, so they are cut by their places alone
-            places = pa.py_buffer(np.append(0, 4 * after).astype(np.int64))
-            own = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, places, pa.py_buffer(b"".join(coded))]).cast(pa.binary())
+            data, places = memoryview(b"".join(coded)), np.append(0, 4 * after).astype(np.int64)
+            crc = np.array([zlib.crc32(data[a:b]) for a, b in pairwise(places.tolist())], np.int64)
             at = pa.array(doc)
-            columns = [batch["k"].take(at), batch["d"].take(at), *map(pa.array, (start, length, sizes[doc], np.zeros(len(doc), np.int64), np.log2(length).astype(np.int32))), own]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+            columns = [batch["k"].take(at), batch["d"].take(at), *map(pa.array, (start, length, sizes[doc], np.zeros(len(doc), np.int64), np.log2(length).astype(np.int32), crc))]
+            if with_ids:
+                columns.append(pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(places), pa.py_buffer(data)]).cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in schema.split(", ")])
 
-    cut = docs.select(F.monotonically_increasing_id().alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
+    cut = docs.select(F.monotonically_increasing_id().alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, schema)
     # a task counts its own pieces below 2^33, its number stands above (below 2^26) and the bucket above that: ids never meet
     return cut.withColumn("sequence_id", F.shiftleft(F.col("bucket").cast("long"), 59) + F.monotonically_increasing_id())
 
@@ -144,10 +151,5 @@ def write_buckets(packed: DataFrame, path: str) -> None:
     packed.write.partitionBy("bucket").parquet(path)
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    """The pieces with the checksum of their ids in place of these."""
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
-
-
 def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")

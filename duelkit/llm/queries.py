@@ -23,7 +23,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), packing.default_path()))
+    return packing.pack(table(spark, sf_dir, "documents"), packing.default_path(), with_ids=False).drop("row_key")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
