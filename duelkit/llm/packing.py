@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -54,15 +53,17 @@ class _Ids(dict):
             known = new & self.old.keys()
             self.update((c, self.old[c]) for c in known)
             new -= known
-        plain = {c for c in new if _PLAIN.fullmatch(c)}
-        self._learn_mixed([*(new - plain), *(c for c in ".," if c not in self and c not in new)])
-        tokenize = self.tokenizer.model.tokenize
-        for chunk in plain:  # letters are one word for the model; a stop or comma is one of its own
-            word = chunk.rstrip(".,")
-            if word not in self:
-                self[word] = struct.pack(f"<{len(got)}I", *got) if (got := [t.id for t in tokenize(word.lower().encode().decode("latin-1").translate(_BYTES))]) else b""
-            if word != chunk:
-                self[chunk] = self[word] + self[chunk[-1]]
+        plain = [c for c in new if _PLAIN.fullmatch(c)]
+        self._learn_mixed([*new.difference(plain), *(c for c in ".," if c not in self and c not in new)])
+        # letters are one word for the model; a stop or comma is one of its own
+        words = [w for w in {c.rstrip(".,") for c in plain} if w not in self]
+        if words:
+            letters = "!".join(words).lower().encode().decode("latin-1").translate(_BYTES).split("!")
+            found = list(map(self.tokenizer.model.tokenize, letters))
+            data = np.array([t.id for got in found for t in got], "<u4").tobytes()
+            places = accumulate((4 * len(got) for got in found), initial=0)
+            self.update((w, data[i:j]) for w, (i, j) in zip(words, pairwise(places), strict=True))
+        self.update((c, self[c[:-1]] + self[c[-1]]) for c in plain if c[-1] in ".,")
 
     def _learn_mixed(self, new: list[str]) -> None:
         for i in range(0, len(new), 5000):
