@@ -66,12 +66,13 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         start = min(end, rows)
 
 
-def spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, first bytes and ends of all words in order, and the offsets of the rows in them. ``offsets`` starts at 0."""
+def spans(flat: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of all words in order, and the offsets of the rows in them. ``offsets`` starts at 0;
+    ``between`` tells for each byte whether it parts words."""
     if not len(flat):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[flat]
+    solid = ~between[flat]
     edge = np.zeros(len(flat) + 1, dtype=bool)  # a row ends before this byte
     edge[offsets] = True
     starts = np.flatnonzero(solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]])))
