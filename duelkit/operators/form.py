@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from duelkit.functions.values import safe_ratio
-from duelkit.operators.ordering import unique_order
+from duelkit.operators import scan
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +14,14 @@ LAST, LEAST, LEAST_MOMENTUM = 10, 3, 6
 
 
 def serve_return_metrics(pm: DataFrame) -> DataFrame:
-    """Adds ``valid`` (both sides have serve statistics) and the nine metrics, null on rows that aren't valid."""
+    """Adds ``told`` (the contest has a date's text, readable or not), ``valid`` (told, and both sides have serve statistics) and
+    the nine metrics, null on rows that aren't valid. The text is ``tourney_date_raw``, else ``tourney_date``; without either
+    column all are told. Contests that aren't told have no form features, and no others count them."""
+    date = next((c for c in ("tourney_date_raw", "tourney_date") if c in pm.columns), None)
+    told = F.coalesce(F.trim(F.col(date).cast("string")) != "", F.lit(False)) if date else F.lit(True)
     need = [F.col(f"{s}{c}").isNotNull() for s in ("", "o_") for c in ("svpt", "1stIn", "1stWon", "2ndWon")]
-    valid = need[0]
-    for n in need[1:]:
+    valid = told
+    for n in need:
         valid = valid & n
     own_won, other_won = F.col("1stWon") + F.col("2ndWon"), F.col("o_1stWon") + F.col("o_2ndWon")
     bp_saved, ret_pts = safe_ratio("bpSaved", "bpFaced"), safe_ratio(F.col("o_svpt") - other_won, "o_svpt")
@@ -35,7 +37,12 @@ def serve_return_metrics(pm: DataFrame) -> DataFrame:
         "dominance_ratio": safe_ratio(ret_pts, 1 - safe_ratio(own_won, "svpt")),
         "pressure_index": bp_saved + conv,
     }
-    return pm.withColumns({"valid": valid} | {k: F.when(valid, v) for k, v in made.items()})
+    return pm.withColumns({"told": told, "valid": valid} | {k: F.when(valid, v) for k, v in made.items()})
+
+
+def shown(pm: DataFrame, columns: list[str]) -> DataFrame:
+    """The features without those of contests that aren't told."""
+    return pm.withColumns({c: F.when(F.col("told"), F.col(c)) for c in columns}) if "told" in pm.columns else pm
 
 
 def _windows(order: list[str]) -> tuple[Window, Window, Window]:
@@ -65,22 +72,35 @@ def rolling(pm: DataFrame, order: list[str], digits: int = 4) -> DataFrame:
         half = F.floor(F.size(values) / 2).cast("int")
         late, early = F.slice(values, half + 1, F.size(values) - half), F.slice(values, 1, half)
         after[f"momentum_{m}"] = F.when(F.size(values) >= LEAST_MOMENTUM, F.round(mean(late) - mean(early), digits))
-    return _carried(pm, after, order).withColumn("r10_n", F.coalesce("r10_n", F.lit(0)))
+    return shown(_carried(pm, after, order).withColumn("r10_n", F.coalesce("r10_n", F.lit(0))), list(after))
 
 
 def streak(pm: DataFrame, order: list[str], day: str = "day") -> DataFrame:
+    """The contests of :func:`streak_from`."""
+    return streak_from(pm, order, day)[0]
+
+
+def streak_from(pm: DataFrame, order: list[str], day: str = "day", start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Adds ``streak``: the signed length of the run of equal results up to the last valid contest; 0 without one. Contests
-    without ``day`` don't count, if there is such a column."""
-    whole = pm
-    if day in pm.columns:
-        pm = pm.withColumns({"_valid": F.col("valid"), "valid": F.col("valid") & F.col(day).isNotNull()})
+    without ``day`` don't count, if there is such a column. Also returns each player's streak after the last contest
+    (``player_id, _streak``), from which new contests go on (``start``)."""
+    whole = pm.columns
+    counts = F.col("valid") & F.col(day).isNotNull() if day in whole else F.col("valid")
+    pm = pm.withColumns({"_valid": F.col("valid"), "valid": counts})
     same = _windows(order)[0]
     run = Window.partitionBy("player_id", "valid", "won").orderBy(*order)
-    pm = pm.withColumn("_island", F.row_number().over(same) - F.row_number().over(run))
+    pm = pm.withColumns({"_at": F.row_number().over(same), "_island": F.row_number().over(same) - F.row_number().over(run)})
     length = F.row_number().over(Window.partitionBy("player_id", "valid", "won", "_island").orderBy(*order))
+    if start is not None:  # the first run of equal results goes on from the stored one
+        pm = pm.join(start.select("player_id", F.col("_streak").alias("_stored")), "player_id", "left")
+        length = length + F.when((F.col("_island") == 0) & (F.signum("_stored") == 2 * F.col("won") - 1), F.abs("_stored")).otherwise(F.lit(0))
     pm = pm.withColumn("_length", F.when(F.col("won") == 1, length).otherwise(-length))
-    out = _carried(pm, {"streak": F.col("_length")}, order).withColumn("streak", F.coalesce("streak", F.lit(0))).drop("_island", "_length")
-    return out.withColumn("valid", F.col("_valid")).drop("_valid").select(*whole.columns, "streak") if "_valid" in out.columns else out
+    out = _carried(pm, {"streak": F.col("_length")}, order)
+    before = F.coalesce("_stored", F.lit(0)) if start is not None else F.lit(0)
+    out = out.withColumn("streak", F.coalesce("streak", before))
+    last = F.max_by(F.when(F.col("valid"), F.col("_length")).otherwise(F.col("streak")), F.struct(*order))
+    after = out.groupBy("player_id").agg(last.cast("long").alias("_streak"))
+    return shown(out.withColumn("valid", F.col("_valid")), ["streak"]).select(*whole, "streak"), after
 
 
 def opponent_quality(pm: DataFrame, order: list[str], own: str = "elo", other: str = "o_elo", digits: tuple[int, int, int] = (2, 4, 4)) -> DataFrame:
@@ -95,78 +115,70 @@ def opponent_quality(pm: DataFrame, order: list[str], own: str = "elo", other: s
         return F.when(F.count(v).over(ten) >= LEAST, F.round(F.avg(v).over(ten), digits))
 
     won = F.col("won") == 1
-    return _carried(pm, {
+    made = {
         "r10_avg_opp_elo_beaten": mean(F.col(other).cast("double"), won & F.col(other).isNotNull(), digits[0]),
         "r10_upset_win_pct": mean(up.cast("double"), both & won, digits[1]),
         "r10_bad_loss_pct": mean(down.cast("double"), both & ~won, digits[2]),
-    }, order)
+    }
+    return shown(_carried(pm, made, order), list(made))
 
 
 def hard_12_months(pm: DataFrame, day: str = "day", surface: str = "surface_norm", digits: int = 4) -> DataFrame:
     """Adds ``hard_12mo_n`` and ``hard_12mo_{metric}``: the mean over valid contests on hard courts of the 365 days before
-    (inclusive; the day itself not)."""
-    year = Window.partitionBy("player_id").orderBy(day).rangeBetween(-365, -1)
+    (inclusive; the day itself not). A contest without a day counts for none, and has 0 and nulls."""
+    dated = F.col(day).isNotNull()
+    year = Window.partitionBy("player_id", dated).orderBy(day).rangeBetween(-365, -1)
     hard = F.col("valid") & (F.col(surface) == "Hard")
-    made = {"hard_12mo_n": F.count(F.when(hard, 1)).over(year)}
+    made = {"hard_12mo_n": F.when(dated, F.count(F.when(hard, 1)).over(year)).otherwise(F.lit(0))}
     for m in METRICS:
         v = F.when(hard, F.col(m))
-        made[f"hard_12mo_{m}"] = F.when(F.count(v).over(year) >= LEAST, F.round(F.avg(v).over(year), digits))
-    return pm.withColumns(made)
-
-
-def _decayed(values: np.ndarray, days: np.ndarray, use: np.ndarray, half_life: float) -> tuple[np.ndarray, np.ndarray]:
-    """Before each row: the average so far and the number of its values, one column a metric. Rows that aren't used leave
-    all; a missing value leaves its average, but the date moves on. Equal days count half."""
-    n, m = values.shape
-    state, seen, last = np.full(m, np.nan), np.zeros(m, np.int64), None
-    out, counts = np.empty((n, m)), np.empty((n, m), np.int64)
-    for i in range(n):
-        out[i], counts[i] = state, seen
-        if not use[i]:
-            continue
-        gap = 0.0 if last is None else days[i] - last
-        weight = 0.5 if gap <= 0 else 1 - 0.5 ** (gap / half_life)
-        there = ~np.isnan(values[i])
-        first = there & (seen == 0)
-        go_on = there & (seen > 0)
-        state = np.where(first, values[i], np.where(go_on, state + weight * (values[i] - state), state))
-        seen = seen + there
-        last = days[i]
-    return out, counts
-
-
-def exponential(pm: DataFrame, order: list[str], day: str = "day", own: str | None = None, other: str | None = None, digits: int = 4, edge_digits: int = 2) -> DataFrame:
+        made[f"hard_12mo_{m}"] = F.when(dated & (F.count(v).over(year) >= LEAST), F.round(F.avg(v).over(year), digits))
+    return shown(pm.withColumns(made), list(made))
+
+
+def exponential(pm: DataFrame, order: list[str], day: str = "day", own: str | None = None, other: str | None = None, digits: int = 4, edge_digits: int = 2, start: DataFrame | None = None) -> DataFrame:
+    """The contests of :func:`exponential_from`."""
+    return exponential_from(pm, order, day, own, other, digits, edge_digits, start)[0]
+
+
+def exponential_from(pm: DataFrame, order: list[str], day: str = "day", own: str | None = None, other: str | None = None, digits: int = 4, edge_digits: int = 2, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Adds ``ema_*`` (45 days), ``ema_long_*`` (120 days; at least three values, rounded to ``digits``), their counts ``ema_n`` and
     ``ema_long_n`` (of the first metric), ``delta_form_*``; with ratings also ``quality_ema`` over wins
-    (rounded to ``edge_digits``), and its count.
+    (rounded to ``edge_digits``), and its count. Also returns the state after each player's last contest (a row a player), from
+    which new contests go on (``start``).
 
-    A linear recurrence in contest order, folded for each player by NumPy over all metrics at once. Rows of equal ``order``
-    follow each other in an order of their own."""
-    pm, row = unique_order(pm, [*order, "side"], "_row")
+    A new value weighs 1 - 2^-(days since the last used contest / half-life), one half on the same day, and the first one 1.
+    A used contest is valid and has a day; one without a value leaves that average, but the date moves on. The averages are
+    decaying sums (:mod:`duelkit.operators.scan`). Rows of equal ``order`` follow each other in an order of their own."""
     rated = own is not None and other is not None
-    rows = pm.select("player_id", row, "valid", "won", F.col(day).cast("double").alias("_day"), *METRICS, *([(F.col(other) - F.col(own)).cast("double").alias("_edge")] if rated else []))
-    added = [*[f"ema_{m}" for m in METRICS], *[f"ema_long_{m}" for m in METRICS], *[f"delta_form_{m}" for m in METRICS], *(["quality_ema"] if rated else [])]
-    numbers = ["ema_n", "ema_long_n", *(["quality_ema_n"] if rated else [])]
-
-    def run(player: pd.DataFrame) -> pd.DataFrame:
-        player = player.sort_values(row, ignore_index=True)
-        out = player[[row]].copy()
-        days, use = player["_day"].to_numpy(float), player["valid"].to_numpy(bool) & player["_day"].notna().to_numpy()
-        values = player[METRICS].to_numpy(float)
-        rounded = []
-        for prefix, half_life in (("ema", SHORT_DAYS), ("ema_long", LONG_DAYS)):
-            state, seen = _decayed(values, days, use, half_life)
-            rounded.append(np.where(seen >= LEAST, np.round(state, digits), np.nan))
-            out[[f"{prefix}_{m}" for m in METRICS]] = rounded[-1]
-            out[f"{prefix}_n"] = seen[:, 0]
-        out[[f"delta_form_{m}" for m in METRICS]] = np.round(rounded[0] - rounded[1], digits)
-        if rated:
-            edge = player[["_edge"]].to_numpy(float)
-            state, seen = _decayed(edge, days, use & (player["won"] == 1).to_numpy() & ~np.isnan(edge[:, 0]), QUALITY_DAYS)
-            out["quality_ema"], out["quality_ema_n"] = np.where(seen[:, 0] >= LEAST, np.round(state[:, 0], edge_digits), np.nan), seen[:, 0]
-        return out[[row, *added, *numbers]]
-
-    schema = ", ".join([f"`{row}` long", *[f"`{c}` double" for c in added], *[f"`{c}` long" for c in numbers]])
-    made = rows.groupBy("player_id").applyInPandas(run, schema)
-    clean = made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in added})
-    return pm.join(clean, row, "left").drop(row)
+    known = pm.columns
+    pm = scan.in_blocks(pm, order)
+    used = F.col("valid") & F.col(day).isNotNull()
+    edge = (F.col(other) - F.col(own)).cast("double") if rated else F.lit(None).cast("double")
+    better = used & (F.col("won") == 1) & edge.isNotNull()
+    counts = {f"_n_{m}": F.when(used & F.col(m).isNotNull(), 1).otherwise(0) for m in METRICS} | ({"_n_edge": F.when(better, 1).otherwise(0)} if rated else {})
+    lasts = {"_day": (used, F.col(day).cast("double"))} | ({"_day_edge": (better, F.col(day).cast("double"))} if rated else {})
+    pm = scan.carried_in(pm, counts, lasts, start)
+
+    def term(there: Column, value: Column, seen: str, since: str, half_life: float) -> tuple[Column, Column]:
+        gap = F.col(day) - F.col(since)
+        later = there & (F.col(seen) > 0)
+        d = F.when(later, F.when(gap > 0, scan.halvings(gap, half_life)).otherwise(1.0)).otherwise(0.0)
+        return d, F.when(later, value * (1 - F.pow(F.lit(2.0), -d))).when(there, value).otherwise(0.0)
+
+    terms = {f"_{p}_{m}": term(used & F.col(m).isNotNull(), F.col(m), f"_n_{m}", "_day", h) for p, h in (("ema", SHORT_DAYS), ("ema_long", LONG_DAYS)) for m in METRICS}
+    if rated:
+        terms["_edge"] = term(better, edge, "_n_edge", "_day_edge", QUALITY_DAYS)
+    pm, state = scan.scan(pm, terms, start)
+    totals = pm.groupBy("player_id").agg(F.max_by(F.struct(*[(F.col(k) + v).alias(k) for k, v in counts.items()], *[F.when(rows, v).otherwise(F.col(k)).alias(k) for k, (rows, v) in lasts.items()]), "_row").alias("s"))
+    state = state.join(totals.select("player_id", "s.*"), "player_id")
+    out = {}
+    for prefix in ("ema", "ema_long"):
+        out[f"{prefix}_n"] = F.col(f"_n_{METRICS[0]}").cast("long")
+        for m in METRICS:
+            out[f"{prefix}_{m}"] = F.when(F.col(f"_n_{m}") >= LEAST, F.round(f"_{prefix}_{m}", digits))
+    for m in METRICS:
+        out[f"delta_form_{m}"] = F.round(out[f"ema_{m}"] - out[f"ema_long_{m}"], digits)
+    if rated:
+        out |= {"quality_ema": F.when(F.col("_n_edge") >= LEAST, F.round("_edge", edge_digits)), "quality_ema_n": F.col("_n_edge").cast("long")}
+    return shown(pm.withColumns(out).select(*known, *out), list(out)), state

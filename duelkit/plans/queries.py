@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from duelkit.functions import names, values
-from duelkit.operators import backtest, bets, clean, dataset, fatigue, form, h2h, odds, ordering, profile, ratings
+from duelkit.operators import backtest, bets, clean, dataset, fatigue, form, h2h, history, odds, ordering, profile, ratings
 from duelkit.plans.fixture import MATCHES, ORDER, PM, matches, player_matches
 from duelkit.sources import tables
 from pyspark.sql import DataFrame, SparkSession
@@ -500,6 +500,61 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).select(KEY, "target_player1_won", *shown, "player1_elo_win_prob", "h2h_count", "h2h_player1_diff")
 
 
+LATER = "1995-06-01"
+_AGAIN = [*_SHOWN, "ema_long_hold_pct", "sets_last_30d", "minutes_last_30d_n"]
+
+
+@register(f", f AS ({_FORM_SQL}) SELECT {SIDE.replace('match_num', 'f.match_num')}, {', '.join(_AGAIN)} FROM f JOIN m USING (match_num) WHERE tourney_date >= DATE '{LATER}'")
+def features_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players' features of later contests, from what is stored of the earlier ones: the same as in one run."""
+    pm = tables.kept(form.serve_return_metrics(_loaded(spark, sf_dir)), "sides")
+    early = F.col("tourney_date") < F.lit(LATER).cast("date")
+    store = history.player_features(pm.where(early), ORDER, digits=8)[1]
+    return history.player_features(pm.where(~early), ORDER, store, digits=8)[0].select(KEY, "side", "player_id", *_AGAIN)
+
+
+@register(f", h AS ({ORACLE_SQL['head_to_head']}) SELECT h.match_num, h.h2h_count, h.h2h_smoothed_diff, h.h2h_surface_smoothed_diff FROM h JOIN m USING (match_num) WHERE tourney_date >= DATE '{LATER}'")
+def head_to_head_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of later contests, from stored pairs."""
+    m = tables.kept(matches(spark, sf_dir), "contests")
+    early = F.col("tourney_date") < F.lit(LATER).cast("date")
+    order = h2h.h2h_order(F.col("tourney_date").cast("string"), F.col("match_num"))
+    pairs = history.pair_features(m.where(early), order)[1]
+    return history.pair_features(m.where(~early), order, pairs)[0].select(KEY, "h2h_count", "h2h_smoothed_diff", "h2h_surface_smoothed_diff")
+
+
+_UP = "PARTITION BY player_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_LAST10 = "PARTITION BY player_id, valid ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW"
+_YEAR, _MONTH = (f"PARTITION BY player_id, day IS NOT NULL ORDER BY day RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING" for n in (365, 30))
+_TODAY = "PARTITION BY player_id, day ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_HOLD = METRIC_SQL["hold_pct"]
+UNDATED = RAW[: RAW.index("SELECT row_no, row_number()")] + f""", s AS (SELECT row_no AS match_num, row_number() OVER (ORDER BY date_key, coalesce(num, -1), source_file, row_no) - 1 AS seq, CASE WHEN match_num % 29 > 3 OR match_num % 29 = 2 THEN {_day('tourney_date')} END AS day, match_num % 29 <> 0 AS told FROM k),
+u AS (SELECT pm.*, seq, day, told, {VALID} AND told AS valid, nullif({SETS}, 0) AS sets, match_num % 7 <> 0 AND surface_norm = 'Hard' AS hard FROM pm JOIN s USING (match_num) WHERE NOT (side = 'w' AND match_num % 41 = 0)),
+v AS (SELECT *, CASE WHEN valid THEN {_HOLD} END AS hold, CASE WHEN valid AND won = 0 AND elo IS NOT NULL AND o_elo IS NOT NULL THEN CAST(o_elo < elo AS DOUBLE) END AS bad, day - first_value(day IGNORE NULLS) OVER (PARTITION BY player_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS since FROM u),
+a AS (SELECT *, {{'n': count(*) OVER ten, 'hold': CASE WHEN count(hold) OVER ten >= 3 THEN avg(hold) OVER ten END, 'bad': CASE WHEN count(bad) OVER ten >= 3 THEN avg(bad) OVER ten END, 'v': list(hold) FILTER (hold IS NOT NULL) OVER ten}} AS w FROM v WINDOW ten AS ({_LAST10})),
+b AS (SELECT *, last_value(CASE WHEN valid THEN w END IGNORE NULLS) OVER ({_UP}) AS x, count(CASE WHEN valid AND hard THEN 1 END) OVER ({_YEAR}) AS hard_n, CASE WHEN count(CASE WHEN valid AND hard THEN hold END) OVER ({_YEAR}) >= 3 THEN avg(CASE WHEN valid AND hard THEN hold END) OVER ({_YEAR}) END AS hard_hold,
+  coalesce(count(*) OVER ({_MONTH}), 0) + count(*) OVER ({_TODAY}) AS n30, coalesce(sum(coalesce(sets, 0)) OVER ({_MONTH}), 0) + coalesce(sum(coalesce(sets, 0)) OVER ({_TODAY}), 0) AS sets30,
+  day - last_value(day IGNORE NULLS) OVER ({_UP}) AS rest, sum(CASE WHEN day IS NOT NULL THEN coalesce(sets, 0) * exp(ln(2) / 14 * since) END) OVER ({_UP}) * exp(-ln(2) / 14 * since) AS load FROM a)
+SELECT match_num, side, CAST(player_id AS VARCHAR) AS player_id, CASE WHEN told THEN coalesce(x.n, 0) END AS r10_n, CASE WHEN told THEN round(x.hold, 8) END AS r10_hold, CASE WHEN told AND len(x.v) >= 6 THEN round(list_avg(x.v[len(x.v) // 2 + 1:]) - list_avg(x.v[:len(x.v) // 2]), 8) END AS momentum, CASE WHEN told THEN round(x.bad, 3) END AS bad,
+  CASE WHEN told THEN CASE WHEN day IS NULL THEN 0 ELSE hard_n END END AS hard_n, CASE WHEN told AND day IS NOT NULL THEN round(hard_hold, 8) END AS hard_hold, CASE WHEN told THEN CASE WHEN day IS NULL THEN 0 ELSE n30 END END AS n30, CASE WHEN told THEN CASE WHEN day IS NULL THEN 0 ELSE CAST(sets30 AS BIGINT) END END AS sets30,
+  CASE WHEN told THEN rest END AS rest, CASE WHEN told THEN CASE WHEN day IS NULL THEN 0 ELSE coalesce(round(load, 3), 0) END END AS load FROM b"""
+
+
+@register(UNDATED, pm=True)
+def undated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features where dates are missing or can't be read, ids are missing, and numbers repeat: a contest without a date's text has
+    none and counts for none; one with an unreadable date has no workload and counts among the last ten only."""
+    m = clean.with_seq(clean.clean_matches(raw_matches(spark, sf_dir)))
+    pm = ordering.sides(m, ["row_no", "seq", "tourney_date", "tourney_date_raw", "surface_norm", "score", "minutes", "winner_rank", "loser_rank"])
+    own = F.col("side") == "w"
+    rank = lambda a, b: F.when(own, F.col(f"{a}_rank")).otherwise(F.col(f"{b}_rank"))
+    pm = pm.withColumns({"day": F.datediff("tourney_date", F.lit("1970-01-01").cast("date")), "elo": rank("winner", "loser"), "o_elo": rank("loser", "winner"), "sets": values.count_sets("score")})
+    pm = form.hard_12_months(form.opponent_quality(form.rolling(form.serve_return_metrics(pm), ["seq"], 8), ["seq"], digits=(6, 6, 6)), digits=8)
+    pm = fatigue.fatigue_ema(fatigue.load_30_days(fatigue.rest_days(pm, ["seq"]), ["seq"]), ["seq"])
+    shown = {"r10_n": "r10_n", "r10_hold": "r10_hold_pct", "momentum": "momentum_hold_pct", "hard_n": "hard_12mo_n", "hard_hold": "hard_12mo_hold_pct", "n30": "matches_last_30d", "sets30": "sets_last_30d", "rest": "rest_days", "load": "fatigue_ema_sets"}
+    return pm.select(F.col("row_no").alias(KEY), "side", "player_id", F.round("r10_bad_loss_pct", 3).alias("bad"), *[F.col(c).alias(k) for k, c in shown.items()])
+
+
 FEATURES = ["draw_size", "player1_rank", "player2_rank", "player1_SvGms", "player2_SvGms", "is_grand_slam", "surface_Clay"]
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from duelkit.functions import names, values
-from duelkit.operators import backtest, bets, clean, dataset, fatigue, form, h2h, odds, ordering, profile, ratings
+from duelkit.operators import backtest, bets, clean, dataset, fatigue, form, graph, h2h, odds, ordering, profile, ratings
 from duelkit.plans import queries
 from duelkit.plans.fixture import ORDER, matches, player_matches
 from duelkit.plans.queries import ORACLE_SQL, QUERIES
@@ -296,16 +296,41 @@ def test_ratings_in_the_total_order(spark, small):
     assert sorted(map(str, rest.select(shown).collect())) == sorted(map(str, whole.where(F.col("seq") >= cut).select(shown).collect()))
     key = lambda df: sorted((r.ladder, r.player_id, round(r.rating, 6), r.played) for r in df.collect())
     assert key(after) == key(state)
-    pm = form.serve_return_metrics(ordering.sides(m, ["seq", "tourney_date"])).withColumn("day", F.datediff("tourney_date", F.lit("1970-01-01").cast("date")))
+    pm = form.serve_return_metrics(ordering.sides(m, ["seq", "tourney_date", "tourney_date_raw"])).withColumn("day", F.datediff("tourney_date", F.lit("1970-01-01").cast("date")))
     streaks = {(r.seq, r.side): r.streak for r in form.streak(pm, ["seq"]).collect()}
     run: dict = {}
     for r in pm.toPandas().sort_values("seq").itertuples():
-        assert streaks[r.seq, r.side] == run.get(r.player_id, 0)
+        assert streaks[r.seq, r.side] == (run.get(r.player_id, 0) if r.tourney_date_raw else None)  # without a date's text no features
         if r.valid and not math.isnan(r.day):
             last = run.get(r.player_id, 0)
             run[r.player_id] = (last + 1 if last > 0 else 1) if r.won else (last - 1 if last < 0 else -1)
 
 
+def test_levels_and_components(spark):
+    """Contests of players who aren't connected go to tasks of their own; a level's contests are rated in one step."""
+    rng = np.random.default_rng(4)
+    pairs = [(int(c * 10 + a), int(c * 10 + b)) for _ in range(60) for c in range(6) for a, b in [rng.choice(10 if c else 3, 2, replace=False)]]
+    df = spark.createDataFrame([(i, w, l, "Hard", "I", "6-0 6-0 6-0", 3) for i, (w, l) in enumerate(pairs)], "seq long, winner_id long, loser_id long, surface_norm string, indoor string, score string, best_of int")
+    comp = {r.node: r.comp for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert comp == {p: p // 10 * 10 for pair in pairs for p in pair}
+    entries = tables.kept(ratings.ladders(df), "entries")
+    dealt = ratings._dealt(entries, spark.createDataFrame([], ratings.STATE.format(id="long")), 64)[0].toPandas()
+    assert dealt.task.nunique() > 6 and (dealt.assign(c=dealt.winner_id // 10).groupby(["ladder", "c"]).task.nunique() == 1).all()
+    whole, state = ratings.fold(entries)
+    one = ratings.fold(entries, slice_rows=50, tasks=1)
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert key(whole) == key(one[0]) and key(state) == key(one[1])
+    steps = []
+    n = 400
+    w, l = np.arange(n) % 20, 20 + np.arange(n) % 20
+    unique, np.unique = np.unique, lambda *a, **k: steps.append(1) or unique(*a, **k)
+    try:
+        ratings._level_by_level(w, l, np.full(n, 32.0), np.full(n, 32.0), np.ones(n, bool), np.full(40, 1500.0))
+    finally:
+        np.unique = unique
+    assert len(steps) == n // 20  # 20 pairs in turn
+
+
 def test_ties_keep_each_row_apart(spark):
     """Contests of one date and number: a player's first contest shows none before, whichever comes first."""
     rows = [("2020-01-01", 1, "a", "b"), ("2020-01-01", 1, "c", "d"), (None, 1, "a", "c"), ("2020-01-01", 1, "a", "d")]
