@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from duelkit.functions.values import safe_ratio
 from duelkit.operators import scan
 from pyspark.sql import Column, DataFrame, Window
@@ -141,6 +143,26 @@ def exponential(pm: DataFrame, order: list[str], day: str = "day", own: str | No
     return exponential_from(pm, order, day, own, other, digits, edge_digits, start)[0]
 
 
+def _averaged(day: str, rated: bool) -> scan.Terms:
+    """Averages as decaying sums: a new value's share is what the others lose, and the first value has all of it."""
+
+    def one(there: np.ndarray, value: np.ndarray, seen: np.ndarray, gap: np.ndarray, half_life: float) -> tuple[np.ndarray, np.ndarray]:
+        later = there & (seen > 0)
+        d = np.where(later, np.where(gap > 0, gap / half_life, 1.0)[:, None], 0.0)
+        return d, np.where(there, np.where(later, value * (1 - np.exp2(-d)), value), 0.0)
+
+    def terms(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        days = scan.floats(rows, [day, "_day", *(["_day_edge"] if rated else [])])
+        value, seen = scan.floats(rows, METRICS), scan.floats(rows, [f"_n_{m}" for m in METRICS])
+        there = rows["_used"].to_numpy()[:, None] & ~np.isnan(value)
+        made = [one(there, value, seen, days[:, 0] - days[:, 1], h) for h in (SHORT_DAYS, LONG_DAYS)]
+        if rated:
+            made.append(one(rows["_better"].to_numpy()[:, None], scan.floats(rows, ["_gain"]), scan.floats(rows, ["_n_edge"]), days[:, 0] - days[:, 2], QUALITY_DAYS))
+        return tuple(np.concatenate(x, axis=1) for x in zip(*made, strict=True))
+
+    return terms
+
+
 def exponential_from(pm: DataFrame, order: list[str], day: str = "day", own: str | None = None, other: str | None = None, digits: int = 4, edge_digits: int = 2, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Adds ``ema_*`` (45 days), ``ema_long_*`` (120 days; at least three values, rounded to ``digits``), their counts ``ema_n`` and
     ``ema_long_n`` (of the first metric), ``delta_form_*``; with ratings also ``quality_ema`` over wins
@@ -160,16 +182,8 @@ def exponential_from(pm: DataFrame, order: list[str], day: str = "day", own: str
     lasts = {"_day": (used, F.col(day).cast("double"))} | ({"_day_edge": (better, F.col(day).cast("double"))} if rated else {})
     pm = scan.carried_in(pm, counts, lasts, start)
 
-    def term(there: Column, value: Column, seen: str, since: str, half_life: float) -> tuple[Column, Column]:
-        gap = F.col(day) - F.col(since)
-        later = there & (F.col(seen) > 0)
-        d = F.when(later, F.when(gap > 0, scan.halvings(gap, half_life)).otherwise(1.0)).otherwise(0.0)
-        return d, F.when(later, value * (1 - F.pow(F.lit(2.0), -d))).when(there, value).otherwise(0.0)
-
-    terms = {f"_{p}_{m}": term(used & F.col(m).isNotNull(), F.col(m), f"_n_{m}", "_day", h) for p, h in (("ema", SHORT_DAYS), ("ema_long", LONG_DAYS)) for m in METRICS}
-    if rated:
-        terms["_edge"] = term(better, edge, "_n_edge", "_day_edge", QUALITY_DAYS)
-    pm, state = scan.scan(pm, terms, start)
+    names = [*[f"_{p}_{m}" for p in ("ema", "ema_long") for m in METRICS], *(["_edge"] if rated else [])]
+    pm, state = scan.scan(pm.withColumns({"_used": used, "_better": better, "_gain": F.when(better, edge)}), names, _averaged(day, rated), start)
     totals = pm.groupBy("player_id").agg(F.max_by(F.struct(*[(F.col(k) + v).alias(k) for k, v in counts.items()], *[F.when(rows, v).otherwise(F.col(k)).alias(k) for k, (rows, v) in lasts.items()]), "_row").alias("s"))
     state = state.join(totals.select("player_id", "s.*"), "player_id")
     out = {}
