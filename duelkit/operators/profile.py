@@ -24,11 +24,15 @@ def _header(df: DataFrame) -> Column:
     return F.col("source_columns") if "source_columns" in df.columns else F.lit(df.columns).cast("array<string>")
 
 
-def check_files(df: DataFrame, expected: list[str], file: str = "source_file") -> DataFrame:
+def check_files(df: DataFrame, expected: list[str], file: str = "source_file", files: DataFrame | None = None) -> DataFrame:
     """Rows, columns and missing expected columns (absent from the header) of each file; ok if it has rows and all.
 
-    A file without a row has none here either."""
+    ``files`` are the names of all files, in the column ``file``: those without a row are reported then, as not ok and
+    without columns. Else a file without a row has none here either."""
     out = df.groupBy(file).agg(F.count("*").alias("n_rows"), F.first(_header(df)).alias("header"))
+    if files is not None:
+        named = files.select(file).distinct().join(out, file, "left")
+        out = named.select(file, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("header", F.array().cast("array<string>")).alias("header"))
     gone = F.array_except(F.lit(expected).cast("array<string>"), F.col("header"))
     return out.select(file, "n_rows", F.size("header").alias("n_columns"), F.array_join(gone, ",").alias("missing"), ((F.col("n_rows") > 0) & (F.size(gone) == 0)).alias("ok"))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from duelkit.functions import names, values
 from duelkit.operators import backtest, bets, clean, dataset, fatigue, form, h2h, history, odds, ordering, profile, ratings
+from duelkit.plans import fixture
 from duelkit.plans.fixture import MATCHES, ORDER, PM, matches, player_matches
 from duelkit.sources import tables
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,29 @@ def check_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.check_files(m, ["minutes", "score", "winner_id"], "year").select("year", "n_rows", "ok")
 
 
+@register("SELECT CAST(year(tourney_date) AS VARCHAR) AS year, count(*) AS n_rows, true AS ok FROM m GROUP BY 1 UNION ALL SELECT 'none', 0, false")
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly files, and one that has a header only, as listed and counted."""
+    path = tables.shared_path(spark, "csv")
+    m = matches(spark, sf_dir)
+    tables.write_table(m.repartition(F.year("tourney_date")), path, "csv")
+    tables.write_table(m.limit(0), f"{path}/year=none", "csv", by_year=False)
+    files = tables.list_files(spark, [path]).select(F.regexp_extract("path", "year=([^/]+)/", 1).alias("year"))
+    rows = tables.read_matches(spark, [path]).withColumn("year", F.substring("tourney_date", 1, 4))
+    return profile.check_files(rows, ["minutes", "score", "winner_id"], "year", files).select("year", "n_rows", "ok")
+
+
+@register("SELECT match_num, tourney_date, winner_id, CASE WHEN year(tourney_date) = 1995 THEN minutes + 1 ELSE minutes END AS minutes, CAST(year(tourney_date) AS INT) AS year FROM m")
+def rewrite_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by year of which one year is written again, twice: the others stay, and nothing is there twice."""
+    path = tables.shared_path(spark, "by-year")
+    m = tables.kept(matches(spark, sf_dir), "contests")
+    tables.write_table(m, path)
+    for _ in range(2):
+        tables.write_table(m.where("year(tourney_date) = 1995").withColumn("minutes", F.col("minutes") + 1), path, years_only=True)
+    return spark.read.parquet(path).select(KEY, "tourney_date", "winner_id", "minutes", "year")
+
+
 RATED = ["indoor", "minutes", "winner_rank", "w_svpt", "PSW"]
 
 
@@ -394,8 +418,8 @@ def elo_quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(KEY, "side", "player_id", "r10_avg_opp_elo_beaten", "r10_upset_win_pct", "r10_bad_loss_pct", "quality_ema", "quality_ema_n")
 
 
-def _elo_sides(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    m = _rated(spark, sf_dir).withColumns({"_w": ratings.elo_for_quality("winner"), "_l": ratings.elo_for_quality("loser")})
+def _elo_sides(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), rated: DataFrame | None = None) -> DataFrame:
+    m = (_rated(spark, sf_dir) if rated is None else rated).withColumns({"_w": ratings.elo_for_quality("winner"), "_l": ratings.elo_for_quality("loser")})
     pm = form.serve_return_metrics(ordering.sides(m, [*ORDER, "_w", "_l", *keep])).withColumn("day", F.datediff("tourney_date", F.lit("1970-01-01").cast("date")))
     own = F.col("side") == "w"
     return pm.withColumns({"elo": F.when(own, F.col("_w")).otherwise(F.col("_l")), "o_elo": F.when(own, F.col("_l")).otherwise(F.col("_w"))}).drop("_w", "_l")
@@ -481,14 +505,33 @@ SELECT z.match_num, 1 - bit AS target_player1_won, {", ".join(_p(f"w.{c}", f"l.{
 FROM z JOIN w USING (match_num) JOIN l USING (match_num) JOIN ({ORACLE_SQL["elo_ratings"]}) r USING (match_num) JOIN ({ORACLE_SQL["head_to_head"]}) g USING (match_num)"""
 
 
+#: Stages that several queries read, by application, folder and name: written once.
+_STAGES: dict[tuple[str, str, str], str] = {}
+
+
+def _stage(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        path = tables.shared_path(spark, name)
+        make().write.parquet(path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole modelling table: ratings, form, workload and head-to-head records of both players, before the contest."""
+    """The whole modelling table: ratings, form, workload and head-to-head records of both players, before the contest. A stage
+    that the queries of models share."""
+    return _stage(spark, sf_dir, "features", lambda: _feature_rows(spark, sf_dir))
+
+
+def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = tables.kept(_rated(spark, sf_dir), "rated")
     keep = ("surface_norm", "score", "minutes", *[f"{s}_{c}_pre" for s in ("winner", "loser") for c in ("elo", "surface_elo", "surface_env_elo", "clutch_elo")])
-    pm = tables.kept(_elo_sides(spark, sf_dir, keep[:3]).withColumn("sets", values.count_sets("score")), "sides")
+    pm = tables.kept(_elo_sides(spark, sf_dir, keep[:3], rated).withColumn("sets", values.count_sets("score")), "sides")
     known = set(pm.columns)
     pm = form.exponential(form.opponent_quality(form.streak(form.rolling(pm, ORDER, 8), ORDER), ORDER), ORDER, own="elo", other="o_elo", digits=8)
     pm = fatigue.fatigue_ema(fatigue.load_30_days(fatigue.rest_days(pm, ORDER), ORDER), ORDER)
-    m = h2h.head_to_head(_rated(spark, sf_dir), h2h.h2h_order(F.col("tourney_date").cast("string"), F.col("match_num")))
+    m = h2h.head_to_head(rated, h2h.h2h_order(F.col("tourney_date").cast("string"), F.col("match_num")))
     whole = ordering.attach_sides(m, pm, [c for c in pm.columns if c not in known], ORDER)
     return h2h.player1_view(dataset.context_flags(dataset.symmetrize(dataset.filter_modelable(dataset.drop_raw_stats(whole)), SEED)))
 
@@ -564,6 +607,14 @@ def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.agg(*[F.count(c).alias(c) for c in ("player1_rank", "player2_rank", "player1_SvGms")])
 
 
+@register("SELECT unnest(['draw_size', 'best_of', 'player1_rank', 'player2_rank', 'is_grand_slam', 'is_masters_1000', 'player1_faces_lefty', 'player2_faces_lefty', 'surface_Hard', 'surface_Clay', 'surface_Grass', 'surface_Carpet']) AS feature, count(*) AS n_rows FROM m WHERE PSW IS NOT NULL AND PSL IS NOT NULL")
+def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the columns that models may see, of the contests without players' features."""
+    df = dataset.drop_raw_stats(_model(spark, sf_dir).drop("player1_id", "player2_id"))
+    names = dataset.select_features(df.drop(*[f"player{i}_{c}" for c in fixture.STATS for i in (1, 2)])).columns
+    return df.agg(F.count("*").alias("n_rows")).select(F.explode(F.array(*map(F.lit, names))).alias("feature"), "n_rows")
+
+
 CUTOFFS = ["1993-01-01", "1995-01-01", "1997-01-01", "2015-01-01"]
 
 
@@ -608,29 +659,40 @@ def elo_quality_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.classification_metrics(df, ["year"])
 
 
-def _summary(spark: SparkSession, sf_dir: str, cutoffs: list[str], rounds: int = 50) -> DataFrame:
-    df = tables.kept(_model(spark, sf_dir, _rated(spark, sf_dir)), "model")
-    return backtest.walk_forward(df, cutoffs, [*FEATURES, "player1_elo_pre", "player2_elo_pre"], rounds)
+#: Winner-oriented records tell the outcome, and ids are names here: models see neither.
+LEAKS = ["player1_id", "player2_id", "h2h_smoothed_diff", "h2h_surface_smoothed_diff"]
+#: First day of contests for models, as the tables have it, and of the sliding test blocks: 10,000 rows come before it at sf 0.01.
+DATA_START, SLIDING_START = "1992-01-01", "1997-11-01"
+
+
+def _for_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    df = _features(spark, sf_dir)
+    return df, dataset.select_features(df.drop(*LEAKS), ["player1_elo_pre", "player1_ema_hold_pct", "h2h_player1_diff"]).columns
+
+
+def _summary(spark: SparkSession, sf_dir: str, cutoffs: list[str]) -> DataFrame:
+    """The walk-forward's summary, a stage that two queries share."""
+    df, features = _for_models(spark, sf_dir)
+    return _stage(spark, sf_dir, "summary-" + "-".join(cutoffs), lambda: backtest.walk_forward(df, cutoffs, features, DATA_START))
 
 
 @register()
 def walk_forward_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees against the Elo and rank baselines at every accepted origin: rows, metrics and gains."""
+    """Boosted trees of all selected features against the Elo and rank baselines at every accepted origin: rows, metrics, gains."""
     return _summary(spark, sf_dir, CUTOFFS)
 
 
 @register()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of the gain in boosted trees, and which features were never used."""
-    df = tables.kept(_model(spark, sf_dir), "model")
-    _, gains = backtest.train_score(df, df.limit(0), FEATURES)
-    return gains.join(backtest.never_used(gains).withColumn("never_used", F.lit(True)), "feature", "left").fillna(False, ["never_used"])
+    """Shares of the gain in the boosted trees of the latest accepted origin, and which features were never used."""
+    df, features = _for_models(spark, sf_dir)
+    return backtest.latest_importance(df, CUTOFFS, features, DATA_START)
 
 
 @register()
 def bootstrap_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the mean gains in accuracy and log-loss over the origins: boosted trees over Elo and rank, Elo over rank."""
-    summary = tables.kept(_summary(spark, sf_dir, CUTOFFS), "summary")
+    summary = _summary(spark, sf_dir, CUTOFFS)
     out = None
     for c in [c for c in summary.columns if "_gain_" in c]:
         made = bets.bootstrap_mean(summary.select("origin", c), c).select(F.lit(c).alias("gain"), F.col("roi_mean").alias("mean_gain"), F.col("roi_low").alias("low"), F.col("roi_high").alias("high"))
@@ -638,6 +700,21 @@ def bootstrap_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _votes(df: DataFrame, features: list[str], start: str, **settings) -> DataFrame:
+    """The votes of the seven sliding models over every block from ``start`` on, as bets."""
+    m = tables.kept(ordering.chronological_order(df.where(F.col("tourney_date") >= F.lit(DATA_START).cast("date")), *ORDER), "ordered")
+    n, first = m.agg(F.count("*"), F.min(F.when(F.col("tourney_date") >= F.lit(start).cast("date"), F.col("seq")))).first()
+    scored = backtest.sliding_models(m, n, n if first is None else first, backtest.boosted(features, **settings))
+    return bets.ensemble_vote(bets.choose_side(bets.novig_probs(scored)).withColumn("match_idx", F.col("seq")))
+
+
+@register()
+def sliding_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of seven models, trained anew before every block on windows that differ by some rows, on the contests of the block."""
+    df, features = _for_models(spark, sf_dir)
+    return _votes(df, features, SLIDING_START)
+
+
 # --- bets
 
 BETS = MODEL + f""", e AS (SELECT *, {PROB} AS prob, (1 / player1_PS) / (1 / player1_PS + 1 / player2_PS) AS m1, (1 / player2_PS) / (1 / player1_PS + 1 / player2_PS) AS m2 FROM d),

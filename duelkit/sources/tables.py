@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 from functools import reduce
@@ -9,14 +10,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns of a side and of its serve.
-SIDE = ["id", "seed", "entry", "name", "hand", "ht", "ioc", "age", "rank", "rank_points"]
+#: Columns of a player's serve.
 SERVE = ["ace", "df", "svpt", "1stIn", "1stWon", "2ndWon", "SvGms", "bpSaved", "bpFaced"]
 SERVE_COLUMNS = [f"{s}_{c}" for s in "wl" for c in SERVE]
-#: The canonical columns of a contest, in order.
+#: The canonical columns of a contest, in order.
 MATCH_COLUMNS = [
     "tourney_id", "tourney_name", "surface", "surface_norm", "draw_size", "tourney_level", "indoor", "tourney_date", "match_num",
-    *[f"winner_{c}" for c in SIDE], *[f"loser_{c}" for c in SIDE], "score", "best_of", "round", "minutes", *SERVE_COLUMNS, "source_file",
+    "winner_id", "winner_seed", "winner_entry", "winner_name", "winner_hand", "winner_ht", "winner_ioc", "winner_age", "winner_rank", "winner_rank_points",
+    "loser_id", "loser_seed", "loser_entry", "loser_name", "loser_hand", "loser_ht", "loser_ioc", "loser_age", "loser_rank", "loser_rank_points",
+    "score", "best_of", "round", "minutes",
+    "w_ace", "w_df", "w_svpt", "w_1stIn", "w_1stWon", "w_2ndWon", "w_SvGms", "w_bpSaved", "w_bpFaced",
+    "l_ace", "l_df", "l_svpt", "l_1stIn", "l_1stWon", "l_2ndWon", "l_SvGms", "l_bpSaved", "l_bpFaced", "source_file",
 ]
 #: The columns that a usable file must have.
 EXPECTED_COLUMNS = [
@@ -38,11 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    df = spark.read.csv(path, header=True) if fmt == "csv" else spark.read.parquet(path)
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
-
-
 def select_source_files(years: list[int], challenger: bool = False, qualifying: bool = False, ongoing: bool = True) -> list[str]:
     """Names of the files of a run: one for each year and tier, and those of events that still run."""
     found = [ONGOING] * ongoing + [f"{y}.csv" for y in sorted(set(years))]
@@ -57,22 +56,48 @@ def main_tour_files(paths: list[str], ongoing: bool = True) -> list[str]:
     return sorted(p for p in paths if name(p).rsplit(".", 1)[0].isdigit() or (ongoing and name(p) == ONGOING))
 
 
-def read_matches(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
-    """All files by column name as text columns, with ``source_file``, ``row_no`` (rising within a file) and
-    ``source_columns`` (the file's own columns).
+def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path`` of every file under the paths, as a relation: the listing that a read begins with, so nothing is read, and files
+    without a byte (which readers skip) are there."""
+    found = spark.read.option("recursiveFileLookup", True).text(paths).inputFiles()
+    return spark.createDataFrame([(path,) for path in sorted(found)], "path string")
+
 
-    Files may lack columns (null then) and have others (kept after the canonical ones). Blank text becomes null. Files of
-    one header are read together."""
-    headers: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        columns = (spark.read.csv(path, header=True) if fmt == "csv" else spark.read.parquet(path)).columns
-        headers.setdefault(tuple(columns), []).append(path)
+def headers(spark: SparkSession, paths: list[str], fmt: str = "csv") -> dict[tuple[str, ...], list[str]]:
+    """The files under the paths by their columns. For CSV that is each file's first line, found in one pass over all files;
+    other formats say their columns themselves. What comes to the driver is a row a file."""
+    if fmt != "csv":
+        own: dict[tuple[str, ...], list[str]] = {}
+        for path in paths:
+            own.setdefault(tuple(spark.read.format(fmt).load(path).columns), []).append(path)
+        return own
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("line"))
+    found: dict[str, list[str]] = {}
+    for r in lines.collect():
+        found.setdefault(r["line"].removeprefix("\ufeff"), []).append(r["path"])
+    return {tuple(next(csv.reader([line]), [])): sorted(files) for line, files in sorted(found.items())}
+
+
+def _read(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
+    """All files by column name, text columns for CSV: one read for each header, with ``source_file`` and ``source_columns``."""
     parts = []
-    for columns, own in headers.items():
+    for columns, files in headers(spark, paths, fmt).items():
         fields = ", ".join(f"`{c}` string" for c in columns)
-        part = spark.read.csv(own, header=True, schema=fields) if fmt == "csv" else spark.read.parquet(*own)
+        part = spark.read.csv(files, header=True, schema=fields) if fmt == "csv" else spark.read.format(fmt).load(files)
         parts.append(part.withColumns({"source_file": F.col("_metadata.file_name"), "source_columns": F.lit(list(columns)).cast("array<string>")}))
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if not parts:
+        return spark.createDataFrame([], "source_file string, source_columns array<string>")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_matches(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
+    """All files by column name as text columns, with ``source_file``, ``row_no`` (rising within a file) and
+    ``source_columns`` (the file's own columns).
+
+    Files may lack columns (null then) and have others (kept after the canonical ones). Blank text becomes null. Headers
+    are found in one pass, and files of one header are read together, so jobs grow with headers and not with files."""
+    df = _read(spark, paths, fmt)
     missing = {c: F.lit(None).cast("string") for c in MATCH_COLUMNS if c not in df.columns}
     df = df.withColumns(missing) if missing else df
     rest = [c for c in df.columns if c not in MATCH_COLUMNS and c != "source_columns"]
@@ -81,16 +106,19 @@ def read_matches(spark: SparkSession, paths: list[str], fmt: str = "csv") -> Dat
 
 
 def read_odds(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
-    """All odds files by column name: Date, Winner, Loser and those odds columns that any file has, as doubles."""
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_read(spark, p, fmt) for p in paths])
+    """All odds files by column name: Date, Winner, Loser and those odds columns that any file has, as doubles. Files of one
+    header are read together."""
+    df = _read(spark, paths, fmt)
     odds = [F.col(c).try_cast("double").alias(c) for c in ODDS if c in df.columns]
     return df.select("Date", "Winner", "Loser", *odds, "source_file").withColumn("row_no", F.monotonically_increasing_id())
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", by_year: bool = True) -> None:
-    """One table for a stage, by year of ``tourney_date`` where it has one."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", by_year: bool = True, years_only: bool = False) -> None:
+    """One table for a stage, by year of ``tourney_date`` where it has one. With ``years_only`` only the years that ``df`` has
+    are replaced and the others stay, so one year can be written again, and a rerun changes nothing."""
     if by_year and "tourney_date" in df.columns:
-        df.withColumn("year", F.year("tourney_date")).write.partitionBy("year").mode("overwrite").format(fmt).save(path)
+        mode = "dynamic" if years_only else "static"
+        df.withColumn("year", F.year("tourney_date")).write.partitionBy("year").mode("overwrite").option("partitionOverwriteMode", mode).option("header", True).format(fmt).save(path)
     else:
         df.write.mode("overwrite").format(fmt).option("header", True).save(path)
 

@@ -48,7 +48,7 @@ def test_query_equals_sql(spark, small, duck, name):
 
 def test_queries_without_sql():
     """Each of these has a test of its own below."""
-    assert set(QUERIES) - set(ORACLE_SQL) == {"walk_forward_models", "feature_importance", "bootstrap_gains", "select_strategy", "frozen_strategy", "best_percentage", "ab_holdout", "elo_by_level"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"walk_forward_models", "feature_importance", "bootstrap_gains", "select_strategy", "frozen_strategy", "best_percentage", "ab_holdout", "elo_by_level", "sliding_votes"}
 
 
 def test_elo_equals_loop(spark, small):
@@ -215,7 +215,13 @@ def test_symmetry(spark, small):
 
 def test_walk_forward_of_every_origin(spark):
     """Rows, metrics and gains of every accepted origin (few rounds here); one with too few rows has none."""
-    got = {r.origin: r.asDict() for r in queries._summary(spark, "/root/testdata/sf0.01", ["1993-01-01", "1997-01-01", "1998-01-01", "2015-01-01"], rounds=2).collect()}
+    df = tables.kept(queries._model(spark, "/root/testdata/sf0.01", queries._rated(spark, "/root/testdata/sf0.01")), "model")
+    few = [*queries.FEATURES, "player1_elo_pre", "player2_elo_pre"]
+    got = {r.origin: r.asDict() for r in backtest.walk_forward(df, ["1993-01-01", "1997-01-01", "1998-01-01", "2015-01-01"], few, queries.DATA_START, rounds=2).collect()}
+    gains = backtest.latest_importance(df, ["1993-01-01", "1997-01-01", "2015-01-01"], few, rounds=3).toPandas()
+    assert set(gains.feature) == set(few) and gains.gain.sum() == pytest.approx(1, abs=1e-6) and (gains.never_used == (gains.gain == 0)).all()
+    votes = queries._votes(df, few, "1998-01-01", rounds=4).toPandas()
+    assert len(votes) >= 90 and votes.match_idx.is_unique and votes.win_majority.isin([0, 1]).all() and votes.PSW.notna().all() and votes.confidence.nunique() > 10
     m = queries._model(spark, "/root/testdata/sf0.01").select("tourney_date").toPandas().tourney_date
     assert set(got) == {"1993-01-01", "1997-01-01", "1998-01-01"} - ({"1993-01-01"} if (m < dt.date(1993, 1, 1)).sum() < 500 else set())
     for origin, r in got.items():
@@ -227,9 +233,43 @@ def test_walk_forward_of_every_origin(spark):
     assert backtest.mean_gains(summary).first()["accuracy_gain_full_rank"] == pytest.approx(np.mean([r["accuracy_gain_full_rank"] for r in got.values()]), abs=1e-6)
 
 
-def test_feature_importance(spark, small):
-    got = QUERIES["feature_importance"](spark, small).toPandas()
-    assert set(got.feature) == set(queries.FEATURES) and got.gain.sum() == pytest.approx(1, abs=1e-6) and (got.never_used == (got.gain == 0)).all()
+def test_models_without_enough_rows(spark, small):
+    """At sf 0.001 no origin has enough rows: no rows come out; the feature table is a stage that the queries share."""
+    assert QUERIES["feature_importance"](spark, small).count() == 0 and QUERIES["walk_forward_models"](spark, small).count() == 0
+    stages = dict(queries._STAGES)
+    df, features = queries._for_models(spark, small)
+    assert stages == queries._STAGES and len(features) > 120 and not set(features) & {*queries.LEAKS, "player1_ps", "target_player1_won", "minutes"}
+
+
+def test_many_files_of_few_headers(spark, tmp_path):
+    """Jobs grow with headers, not with files; a header without rows and an empty file are listed."""
+    names = [["match_num", "winner_id"], ["winner_id", "match_num", "minutes"], ["match_num", "loser, id"]]
+    for i in range(60):
+        columns = names[i % 3]
+        (tmp_path / f"{1960 + i}.csv").write_text(",".join(f'"{c}"' if "," in c else c for c in columns) + "\n" + "".join(",".join(f"{c[0]}{i}{k}" for c in columns) + "\n" for k in range(i % 4)))
+    (tmp_path / "2030.csv").write_text("")
+    paths = sorted(map(str, tmp_path.glob("*.csv")))
+    tracker, group = spark.sparkContext.statusTracker(), "headers"
+    spark.sparkContext.setJobGroup(group, "headers")
+    got = tables.read_matches(spark, paths).toPandas()
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 12 and len(got) == sum(i % 4 for i in range(60))
+    own = got[got.source_file == "1962.csv"].iloc[0]
+    assert own["loser, id"] == "l20" and own.match_num == "m20" and own.winner_id is None and list(own.source_columns) == names[2]
+    files = tables.list_files(spark, [str(tmp_path)]).select(F.element_at(F.split("path", "/"), -1).alias("source_file"))
+    report = {r.source_file: r for r in profile.check_files(tables.read_matches(spark, paths), ["match_num", "winner_id"], files=files).collect()}
+    assert len(report) == 61 and [report[f"{1960 + i}.csv"].ok for i in range(4)] == [False, True, False, True] and not report["2030.csv"].ok and report["2030.csv"].n_rows == 0
+    assert report["1962.csv"].missing == "winner_id"
+
+
+def test_stopping():
+    assert backtest.stop_after([3, 2, 1, 2, 2, 2, 0], 3) == 6 and backtest.stop_after([3, 2, 1, 2, 2, 0.5, 2], 4) == 7 and backtest.stop_after([1], 10) == 1
+
+
+def test_fits_run_side_by_side(spark):
+    seen = []
+    assert backtest.concurrently(spark, [lambda i=i: seen.append(i) or spark.range(i).count() for i in range(9)], 3) == list(range(9)) and sorted(seen) == list(range(9))
 
 
 def test_bootstrap_gains(spark, small, monkeypatch):
@@ -431,7 +471,7 @@ def test_sliding_models(spark):
         seen.append(tuple(x.agg(F.min("seq"), F.max("seq")).first() for x in (train, validation, test)))
         return test.withColumn("prob", F.lit(0.5))
 
-    out = backtest.sliding_models(df, n, 2000, fit, offsets=[0, -20], train_rows=1000)
+    out = backtest.sliding_models(df, n, 2000, fit, offsets=[0, -20], train_rows=1000, workers=1)
     v = backtest.validation_rows(n)
     assert [(tuple(a), tuple(b), tuple(c)) for a, b, c in seen] == [((t - v - rows, t - v - 1), (t - v, t - 1), (t, min(t + 89, n - 1))) for rows in (1000, 800) for t in (2000, 3500)]
     assert out.groupBy("model", "block").count().where("count = 90").count() == 4
