@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, parts
@@ -18,6 +18,8 @@ SHINGLE = 5
 BANDS, ROWS = 30, 4
 #: Documents of a bucket, and of one class of sizes in it, that one task compares with others; larger ones are split.
 CROWD = 500
+#: Bits of a set's bitmap.
+BITS = 1024
 NO_ID = (1 << 63) - 1
 _U32 = np.uint32
 
@@ -72,13 +74,43 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set, for each of ``BITS`` classes of hashes the parity of their number, as words of 64 bits. Two sets' bitmaps
+    differ in no more bits than the sets differ in members."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    out = np.zeros((len(offsets) - 1, BITS // 64), np.uint64)
+    np.bitwise_xor.at(out, (row, (values >> np.uint64(6)).astype(np.int64) % (BITS // 64)), np.uint64(1) << (values & np.uint64(63)))
+    return out
+
+
+MAPS = [f"map{i:02}" for i in range(BITS // 64)]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> their sorted shingle hashes and bitmaps."""
     for batch in parts(batches, "text"):
         flat, offsets = utf8(batch["text"])
         for a, b in chunks(offsets):
             values, at = shingle_sets(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            ids = np.repeat(np.asarray(batch["doc_id"].slice(a, b - a)), np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values.view(np.int64))], names=["doc", "shingle"])
+            maps = bitmaps(values, at).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc"].slice(a, b - a), lists, *(pa.array(maps[:, i]) for i in range(maps.shape[1]))], names=["doc", "shingles", *MAPS])
+
+
+def _confirmed(threshold: int):
+    """Pairs with both sets -> the pairs that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for x, y in zip(batch["a_set"], batch["b_set"], strict=True):
+                one, two = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                got.append(100 * both >= threshold * (len(one) + len(two) - both))
+            keep = pa.array(got, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+
+    return run
 
 
 def _verified(threshold: int):
@@ -131,42 +163,63 @@ def _open(told: DataFrame) -> DataFrame:
     return told.join(several, "band")
 
 
-def _bounded(active: DataFrame, texts: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
-    """Adds ``alone``: how many of a document's shingles no document of another component holds, among those of ``active``.
-
-    A link to another component shares none of these. Documents with too many of them can't have one and go, exactly;
-    then the rest holds fewer shingles, so it is done again."""
-    for _ in range(rounds):
-        active = kept(active.select("band", "doc", "n", "comp"), "active")
-        docs = active.select("doc", "comp").distinct()
-        own = texts.join(docs, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text").mapInArrow(_shingled, "doc long, shingle long").join(docs, "doc")
-        held = own.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-        common = own.join(held, "shingle").groupBy("doc").agg(F.count("*").alias("common"))
-        alone = F.col("n") - F.coalesce("common", F.lit(0))
-        active = _open(kept(active.join(common, "doc", "left").withColumn("alone", alone).where(F.expr(f"100 * (n - alone) >= {threshold} * n")), "left"))
-    return kept(active, "active")
-
-
-def _across(active: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and that the bounds allow; each pair once, from the
-    first bucket that it shares.
-
-    Texts of a bucket are dealt by classes of sizes: a link is possible within a class and with the next one only. A
-    class of more than ``CROWD`` texts is split, and each part meets copies of the others, so no task holds a whole one."""
-    bands = active.groupBy("doc").agg(F.collect_list("band").alias("bands"))  # BANDS at most
+def _held(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc, kind, df, weight) of ``docs`` (doc, n, comp): how many of a document's shingles are of a kind. Shingles that exactly the
+    same documents hold are of one kind, as those of a common passage; shingles that only one component holds aren't here."""
+    own = sets.join(docs.select("doc", "comp"), "doc").select("doc", "comp", F.explode("shingles").alias("shingle"))
+    holders = [F.bit_xor(F.xxhash64("doc", F.lit(i))) for i in (1, 2)]
+    kinds = own.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[h.alias(f"h{i}") for i, h in enumerate(holders)]).where("lo < hi")
+    kinds = kinds.select("shingle", "df", F.struct("df", "h0", "h1").alias("kind"))
+    return own.join(kinds, "shingle").groupBy("doc", "kind", "df").agg(F.count("*").alias("weight"))
+
+
+def _needed(n: str, threshold: int) -> Column:
+    """The least overlap that a set of ``n`` shingles has with any set it is linked with."""
+    return F.ceil(F.col(n) * threshold / 100).cast("long")
+
+
+def _across(docs: DataFrame, sets: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
+    """Pairs (a, b) of ``docs`` (doc, n, comp) of different components that can be linked, exactly: no linked pair is missing.
+
+    1. A link shares none of the shingles that only one component holds. Documents with too many of these can't have one and
+       go; then fewer shingles are shared, so it is done again.
+    2. A prefix filter: of all shingles in one order, those of one component first, then rare kinds before frequent ones, two
+       linked documents share one among the first n - needed + 1 of each. Kinds stand for their shingles, so two texts meet
+       once for a passage, and not once for each of its shingles.
+    3. Documents that meet are compared by sizes and bitmaps: their sets differ in as many members at least as their bitmaps
+       in bits. What is left are links and few others.
+
+    Documents of a kind are dealt by classes of sizes: a link is possible within a class and with the next one only. A class
+    of more than ``CROWD`` is split, and each part meets copies of the others, so no task holds a whole one."""
+    for i in range(rounds):
+        held = kept(_held(docs, sets), "held")
+        shared = held.groupBy("doc").agg(F.sum("weight").alias("shared"))
+        docs = kept(docs.select("doc", "n", "comp").join(shared, "doc").where(F.col("shared") >= _needed("n", threshold)), "active")
+        if i + 1 == rounds:
+            held = held.join(docs, "doc")
+    before = Window.partitionBy("doc").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("n") - F.col("shared") + F.coalesce(F.sum("weight").over(before), F.lit(0))
+    first = held.withColumn("place", place).where(F.col("place") <= F.col("n") - _needed("n", threshold)).select("doc", "n", "comp", "kind")
     width = max(math.log(100 / threshold), 1e-3) + 1e-9
-    one = active.withColumn("class", F.floor(F.log("n") / width).cast("int"))
-    crowds = kept(one.groupBy("band", "class").agg(F.ceil(F.count("*") / CROWD).cast("long").alias("parts")).where("parts > 1"), "crowds")
-    one = one.join(bands, "doc")
+    one = kept(first.withColumn("class", F.floor(F.log("n") / width).cast("int")).join(sets.select("doc", *MAPS), "doc"), "prefixes")
+    crowds = kept(one.groupBy("kind", "class").agg(F.ceil(F.count("*") / CROWD).cast("long").alias("parts")).where("parts > 1"), "crowds")
     near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
-    two = one.withColumn("class", near).select("band", "class", *[F.col(c).alias(c + "2") for c in ("doc", "n", "comp", "alone", "bands")])
+    two = one.withColumn("class", near).select("kind", "class", *[F.col(c).alias(c + "2") for c in ("doc", "n", "comp", *MAPS)])
     count = F.coalesce("parts", F.lit(1))
-    one = one.join(crowds, ["band", "class"], "left").withColumn("part", F.pmod(F.xxhash64("doc"), count)).drop("parts")
-    two = two.join(crowds, ["band", "class"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts")
-    most = F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2"))
-    allowed = (F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & (100 * most >= threshold * (F.col("n") + F.col("n2") - most))
-    first = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
-    return one.join(two, ["band", "class", "part"]).where(allowed & first).select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
+    one = one.join(crowds, ["kind", "class"], "left").withColumn("part", F.pmod(F.xxhash64("doc"), count)).drop("parts")
+    two = two.join(crowds, ["kind", "class"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts")
+    apart = F.lit(0)
+    for m in MAPS:
+        apart = apart + F.bit_count(F.col(m).bitwiseXOR(F.col(m + "2")))
+    # overlap is half of n + n2 - difference at most
+    allowed = (F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & ((200 + 2 * threshold) * (F.col("n") + F.col("n2") - apart) >= 4 * threshold * (F.col("n") + F.col("n2")))
+    return one.join(two, ["kind", "class", "part"]).where(allowed).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that are linked, by their kept sets."""
+    side = lambda c: sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"{c}_set"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirmed(threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -179,8 +232,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", do
     1. Every text's circulant signature gives 30 band keys; equal sets collapse to their least id, so copies cost no pair.
     2. In each band bucket every document is compared with the bucket's most central one (largest sum of bucket sizes):
        pairs grow with documents, not with squares. Links are verified on full sets; components follow.
-    3. Buckets that still hold several components are compared across components. Shingles that no other such document
-       holds bound the overlap from above, exactly, which leaves few pairs; they are verified in the same way.
+    3. Documents of buckets that still hold several components are compared across components, by an exact prefix filter over
+       their shingles and by bitmaps (:func:`_across`), which leaves few pairs; they are verified on their sets, kept once.
 
     What is linked are texts, told apart by 64 bits of hash (two of 10^9 texts meet with a chance of 3 %), and sets, equal if
     128 bits of hash and their sizes are. So rows that share an id, repeated rows and rows without an id are all linked by their texts.
@@ -210,9 +263,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", do
     comp = components(links)
 
     told = kept(live.join(comp, "doc", "left").select("band", "doc", "n", F.coalesce("comp", "doc").alias("comp")), "told")
-    active = _bounded(_open(told), texts, threshold)
-    if active.limit(1).count():
-        more = kept(verify(_across(active, threshold), texts, threshold), "links")
+    crossing = kept(_open(told).select("doc", "n", "comp").distinct(), "open")
+    if crossing.limit(1).count():
+        shingle_lists = kept(texts.join(crossing.select("doc"), "doc", "left_semi").mapInArrow(_sets, "doc long, shingles array<bigint>, " + ", ".join(f"{m} long" for m in MAPS)), "shingles")
+        more = kept(_confirm(_across(crossing, shingle_lists, threshold), shingle_lists, threshold), "links")
         if more.limit(1).count():
             comp = components(links.unionByName(more))
     label = first.join(comp.select(F.col("doc").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))

@@ -613,3 +613,51 @@ def test_pipeline_run(spark, small, texts):
     for i, own in got.sort_values("start").groupby("doc_id"):
         assert np.frombuffer(b"".join(own["ids"]), "<u4").tolist() == tokenizer.encode(want[i], add_special_tokens=False).ids + [1]
         assert all(zlib.crc32(x) == c for x, c in zip(own["ids"], own.ids_crc32, strict=True))
+
+
+def linked(rows, threshold):
+    """The least id that each text reaches, by all pairs of shingle sets."""
+    found = [frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if (w := words(t)) else None for _, t in rows]
+    least = list(range(len(rows)))
+
+    def top(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, a in enumerate(found):
+        for j, b in enumerate(found[:i]):
+            if a and b and 100 * len(a & b) >= threshold * len(a | b):
+                x, y = top(i), top(j)
+                least[max(x, y)] = min(x, y)
+    return {rows[i][0]: rows[top(i)][0] for i in range(len(rows))}
+
+
+def pooled(n, seed=0):
+    """Texts of shared words and some passages of a small pool; a few are near copies."""
+    rng = np.random.default_rng(seed)
+    passages = [" ".join(f"p{k}w{i}" for i in range(50)) for k in range(30)]
+    shared = " ".join(f"s{i}" for i in range(150))
+    rows = [(i, shared + " " + " ".join(passages[k] for k in rng.choice(30, 6, replace=False)) + f" u{i}") for i in range(n)]
+    return rows + [(n + i, t.replace("s77 ", f"x{i} ") if i % 2 else t + " more words at the end") for i, t in rows[: n // 10]]
+
+
+@pytest.mark.parametrize("threshold", [60, 80, 85])
+def test_near_duplicates_of_pooled_passages(spark, monkeypatch, threshold):
+    """Texts of a common pool meet in nearly all buckets: links are those of all pairs, and few pairs are verified."""
+    checked = []
+    confirm = shingles._confirm
+    monkeypatch.setattr(shingles, "_confirm", lambda pairs, sets, t: confirm(checked.append(pairs.count()) or pairs, sets, t))
+    monkeypatch.setattr(shingles, "CROWD", 50)
+    rows = pooled(220)
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()}
+    assert got == linked(rows, threshold)
+    assert threshold == 60 or sum(checked) < 2 * len(rows)
+
+
+def test_bitmaps_bound_differences():
+    rng = np.random.default_rng(1)
+    one, two = (np.unique(rng.integers(0, 5000, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+    a, b = (shingles.bitmaps(np.sort(x), np.array([0, len(x)]))[0] for x in (one, two))
+    bits = sum(int(x).bit_count() for x in a ^ b)
+    assert 0 < bits <= len(np.setxor1d(one, two)) and (shingles.bitmaps(one, np.array([0, len(one)]))[0] == a).all()
