@@ -1,8 +1,9 @@
 """Document fingerprints of closed syncmers, by DataFrame functions only.
 
-The letters are words, ``[^\\x20\\x09-\\x0D]``, in pieces of at most 16 characters. A k-mer of K letters is chosen if the
-least of its S-mers (by hash) is its first or its last. That depends on the k-mer alone, so equal passages choose equal
-anchors wherever they stand."""
+The letters are words, ``[^\\x20\\x09-\\x0D]``, of at most 16 characters; a longer one, as text without blanks is, has each of its
+characters as a letter, so that no letter depends on where a long run begins. A k-mer of K letters is chosen if the least of
+its S-mers (by hash) is its first or its last. That depends on the k-mer alone, so equal passages choose equal anchors
+wherever they stand."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import kept, let
 
 K, S = 10, 3
-LETTER = r"[^\x20\x09-\x0D]{1,16}"
+LETTER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 #: Text bytes of a bucket of neighbouring ids, about, and the most cuts between ids: from 400 GB on, buckets grow with the
 #: input (1 GB at 100 TB); a bucket is sorted with spilling, so that costs parallel tasks but no memory.
 BUCKET_BYTES, MAX_CUTS = 4_000_000, 100_000
@@ -54,14 +55,19 @@ def written(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.concat(F.hex(x["pos"]), F.lit(":"), F.lower(F.hex(x["hash"])))), " ")
 
 
+def _numbers(values: list[int]) -> Column:
+    """An array of constants as one text, which the optimizer reads once: a plan doesn't grow by a node for each."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _below(cuts: list[int]) -> Column:
     """How many of the sorted ``cuts`` are less than ``at``: a search in steps of the root of their number."""
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    every = F.lit(cuts).cast("array<bigint>")
-    coarse = F.size(F.filter(F.lit(cuts[step - 1 :: step]).cast("array<bigint>"), lambda c: c < F.col("at"))) * step
-    return let(coarse, lambda n: n + F.size(F.filter(F.slice(every, n + 1, step), lambda c: c < F.col("at"))))
+    ends = cuts[step - 1 :: step]
+    coarse = F.size(F.filter(_numbers(ends), lambda c: c < F.col("at"))) * step
+    return let(coarse, lambda n: n + F.size(F.filter(F.slice(_numbers(cuts), n + 1, step), lambda c: c < F.col("at"))))
 
 
 def neighbours() -> Window:
