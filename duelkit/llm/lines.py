@@ -237,14 +237,16 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, text: str = "text", doc
     """All rows and columns of ``docs``, with ``text`` rid of its deleted lines, ``n_lines`` and ``lines_cut`` (numbers of
     the deleted lines). "Later" means a larger id; rows of one id follow by a hash of the text, rows without an id come first
     (nulls sort first). Rows that are equal in id and text are one row here: all keep, or all lose, the same lines. Null
-    text stays null; a text that loses all lines becomes empty. Columns of the two names are replaced."""
-    docs = docs.drop("n_lines", "lines_cut", "row_key", "cut")
-    keyed = docs.withColumn("row_key", F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h")))
-    cuts = deleted_lines(keyed.select("row_key", F.col(text).alias("text")), least)
-    joined = keyed.join(cuts, "row_key", "left")
-    lines = F.split(F.col(text), "\n", -1)
+    text stays null; a text that loses all lines becomes empty. Columns of the two names are replaced, all others stay, whatever
+    their names. An empty table gives none."""
+    docs = docs.drop("n_lines", "lines_cut")
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h")).alias("row_key"))
+    own = F.col("row").getField(text)
+    joined = keyed.join(deleted_lines(keyed.select("row_key", own.alias("text")), least), "row_key", "left")
+    lines = F.split(own, "\n", -1)
     # the lines between two deleted ones, then those after the last: as many slices as deleted lines and one more
     start = lambda k: F.coalesce(F.get("cut", k - 1), F.lit(-1)) + 2
     gap = lambda a, k: F.coalesce(F.get("cut", k), F.size(a)) + 1 - start(k)
     left = let(lines, lambda a: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("cut")), lambda k: F.slice(a, start(k), gap(a, k)))), "\n"))
-    return joined.withColumns({text: F.when(F.col("cut").isNull(), F.col(text)).otherwise(left), "n_lines": F.coalesce(F.size(lines), F.lit(0)), "lines_cut": F.coalesce("cut", F.array().cast("array<int>"))}).drop("row_key", "cut")
+    whole = {c: F.col("row").getField(c) for c in docs.columns} | {text: F.when(F.col("cut").isNull(), own).otherwise(left)}
+    return joined.select(*[v.alias(c) for c, v in whole.items()], F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce("cut", F.array().cast("array<int>")).alias("lines_cut"))
