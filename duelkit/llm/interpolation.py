@@ -8,8 +8,8 @@ are left out of the estimates meanwhile.
 
 1. Every task packs its documents into blocks of bounded size, one table row each, written once.
 2. A block asks for its distinct words and bigrams: 64-bit hashes with the block's own counts, pre-summed, as one row for
-   each slice of the key space in which it has any. So rows exchanged never outnumber the keys of the blocks, and grow
-   with the input, while slices (as many as the input's size asks for) stay bounded.
+   each slice of the key space in which it has any. Bytes of keys grow with the input, and slices stay bounded; rows are
+   blocks times slices until a slice holds one key of a block, so they grow with the square up to that bound.
 3. A slice sums all blocks' counts and answers each in the order of its asking; answers are joined back by block.
 
 No table of counts is sent to every task, so the vocabulary may grow with the corpus. Keys are compared by all their 64
@@ -27,13 +27,14 @@ from .common import crc_of_id, kept
 from .tokens import chunks, mix, utf8, words
 
 #: Text bytes of a block of documents (one longer text is a block of its own), and for each slice of the bigrams' key space.
-BLOCK_BYTES, SLICE_BYTES = 8_000_000, 8_000_000
+BLOCK_BYTES, SLICE_BYTES = 6_000_000, 6_000_000
 #: Bytes of a row group of the table of blocks, so that few blocks are read at once.
 GROUP_BYTES = 16_000_000
 #: Frequencies of contexts, in powers of two, with a bucket each; 0 is a context that was never seen.
 BUCKETS = 28
-#: Held-out estimates are grouped by steps of 1/20 of a power of ten, 0 apart: at most BUCKETS * GRID**2 groups.
-GRID = 200
+#: Held-out estimates are grouped by steps of 1/20 of a power of ten from 1 down to 10^-20, 0 apart, so none of a corpus of up to
+#: 10^20 tokens is clipped. Groups that occur are counted, a small part of BUCKETS * GRID**2.
+GRID = 402
 STEPS = 100
 _U = np.uint64
 _END = np.full(1, 0x5DEECE66D1234567, _U)
@@ -233,7 +234,7 @@ def _scored(tokens: int, kinds: int, weights: np.ndarray):
         one, two, context = block.known(answers, "train")
 
         def summed(x: np.ndarray) -> np.ndarray:  # each document by itself: equal texts get equal sums
-            return np.round(np.add.reduceat(x, block.at[:-1]), 6)
+            return np.add.reduceat(x, block.at[:-1])
 
         bucket = _bucket(context)
         p = weights[0][bucket] * two

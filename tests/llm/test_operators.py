@@ -174,6 +174,15 @@ def test_weights_and_unknown_words(spark):
     assert np.allclose(weights.sum(axis=0), 1) and all(v < 0 for v in end.values()) and got[102] < max(end.values())
 
 
+def test_small_estimates_keep_their_size():
+    """Estimates of 10^-14, as in corpora of 10^14 tokens, are not raised to a floor."""
+    p = np.array([1.0, 0.3, 1e-9, 1e-14, 3e-19])
+    grid = interpolation._grid(p)
+    assert 10 ** ((grid - interpolation.GRID + 1) / 20) == pytest.approx(p, rel=0.06) and interpolation._grid(np.zeros(1))[0] == 0
+    one, two = (interpolation.learn_weights({int(interpolation._grid(np.array([x]))[0]) + interpolation.GRID**2 * 4: 1000}, 10**14)[:, 4] for x in (1e-13, 1e-15))
+    assert one[1] > 0.9 > 0.2 > two[1]  # the even share is 10^-14
+
+
 def test_packing(spark, small, texts, odd):
     tokenizer = Tokenizer.from_file(packing.default_path())
     tokenizer.encode_special_tokens = True
@@ -286,6 +295,10 @@ def test_lines(spark, odd):
     got = {r.doc_id: (r.text, r.lines_cut) for r in lines.dedup_lines(docs).collect()}
     assert got[1] == (f"start\n{long}\nend here", []) and got[2] == ("other\nnew text", [1]) and got[3] == ("more", [0, 2])
     assert got[4][0] == "start\nend here" and got[5] == (None, []) and got[6] == ("", []) and got[7] == ("", [0, 1, 2])
+    named = docs.withColumns({"cut": F.col("doc_id") * 2, "row": F.lit("r"), "lines": F.lit(1)})
+    out = lines.dedup_lines(named)
+    assert out.columns == [*named.columns, "n_lines", "lines_cut"] and {r["doc_id"]: (r["text"], r["lines_cut"]) for r in out.collect()} == got
+    assert all((r["row_key"], r["cut"], r["row"], r["lines"]) == (0, r["doc_id"] * 2, "r", 1) for r in out.collect()) and lines.dedup_lines(named.limit(0)).count() == 0
     out = lines.dedup_lines(odd).toPandas()
     assert len(out) == len(ODD) and lines.rising([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
 
@@ -491,11 +504,12 @@ def chained(values):
 
 def test_anchors_equal_loops(spark, texts):
     """Closed syncmers by plain loops over letters, inner substrings and windows."""
-    some = {**dict(list(texts.items())[:60]), -1: "short text", -2: "", -3: "a b " * 40, -4: "x" * 400}
+    some = {**dict(list(texts.items())[:60]), -1: "short text", -2: "", -3: "a b " * 40, -4: "x" * 400, -5: "y" * 16 + " " + "漢字仮名" * 9 + " ab " + "z" * 17 + " end"}
     got = {r.i: [(x["pos"], x["hash"]) for x in r.a] for r in spark.createDataFrame(list(some.items()), "i long, t string").select("i", syncmers.anchors(F.col("t")).alias("a")).collect()}
     k, s = syncmers.K, syncmers.S
     for i, t in some.items():
-        h = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", t)]
+        letters = [x for w in re.findall(r"[^\x20\x09-\x0D]+", t) for x in ([w] if len(w) <= 16 else w)]
+        h = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in letters]
         want = [(1, chained(h))] if 0 < len(h) < k else []
         for at in range(len(h) - k + 1):
             inner = [chained(h[at + j : at + j + s]) for j in range(k - s + 1)]
@@ -504,6 +518,21 @@ def test_anchors_equal_loops(spark, texts):
         assert got[i] == want, i
 
 
+def test_anchors_of_text_without_blanks(spark):
+    """A letter put in front of text without blanks moves no other anchor."""
+    rng = np.random.default_rng(3)
+    han = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 3000))
+    both = spark.createDataFrame([(han, "x" + han)], "a string, b string").select(syncmers.likeness(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b"))).alias("n"))
+    assert both.first().n > 0.95
+
+
+def test_many_cuts_are_planned_at_once(spark):
+    began = time.time()
+    cuts = list(range(0, 200_000, 2))
+    got = spark.range(5).select(F.element_at(F.lit([0, 1, 77_777, 199_998, 300_000]).cast("array<bigint>"), (F.col("id") + 1).cast("int")).alias("at")).select("at", syncmers._below(cuts).alias("n"))
+    assert {r["at"]: r.n for r in got.collect()} == {x: min(-(-x // 2), 100_000) for x in (0, 1, 77_777, 199_998, 300_000)} and time.time() - began < 10
+
+
 def test_neighbours_in_many_buckets(spark):
     docs = spark.createDataFrame([(3 * i, f"text {i}") for i in range(100)], "doc_id long, text string")
     pairs = syncmers.with_next(docs, 60).withColumn("n", F.lead("text").over(syncmers.neighbours())).where("not ghost")
