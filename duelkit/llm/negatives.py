@@ -140,7 +140,9 @@ def _blocks(rows: DataFrame, references: np.ndarray) -> tuple[DataFrame, int]:
     """The rows' blocks, each in a stripe, and the number of stripes."""
     made = _sorted(rows).mapInArrow(_packed(references, BLOCK, False), PACK).withColumn("block", F.monotonically_increasing_id())
     made = kept(made, "blocks", {"parquet.block.size": 16_000_000})
-    stripes = max(1, -(-made.count() // STRIPE))
+    n = made.count()
+    # as many as there are cores, if there are so many blocks: each stripe costs a copy of the queries
+    stripes = max(1, -(-n // STRIPE), min(n, rows.sparkSession.sparkContext.defaultParallelism))
     return made.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int")), stripes
 
 
