@@ -811,3 +811,10 @@ def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(BETS + " SELECT match_idx, CASE WHEN tourney_date < DATE '1996-01-01' THEN 'selection' ELSE 'holdout' END AS part FROM bets WHERE tourney_date >= DATE '1992-06-01'")
 def selection_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bets.selection_holdout(_bets(spark, sf_dir), "1992-06-01", "1996-01-01").select("match_idx", "part")
+
+
+@register(BETS + """, p AS (SELECT count(*) FILTER (tourney_date < DATE '1996-01-01') AS s, count(*) FILTER (tourney_date >= DATE '1996-01-01') AS h FROM bets WHERE tourney_date >= DATE '1992-06-01')
+SELECT 'selection' AS part, s AS n_bets, s < 200 AS few FROM p UNION ALL SELECT 'holdout', h, h < 100 FROM p""")
+def part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bets of selection and holdout, and a warning where they are few."""
+    return bets.part_counts(bets.selection_holdout(_bets(spark, sf_dir), "1992-06-01", "1996-01-01"))

@@ -263,6 +263,12 @@ def test_many_files_of_few_headers(spark, tmp_path):
     assert report["1962.csv"].missing == "winner_id"
 
 
+def test_few_bets_are_told(spark):
+    parts = spark.createDataFrame([("selection",)] * 200 + [("holdout",)] * 99, "part string")
+    assert {(r.part, r.n_bets, r.few) for r in bets.part_counts(parts).collect()} == {("selection", 200, False), ("holdout", 99, True)}
+    assert {(r.n_bets, r.few) for r in bets.part_counts(parts.limit(0)).collect()} == {(0, True)}
+
+
 def test_stopping():
     assert backtest.stop_after([3, 2, 1, 2, 2, 2, 0], 3) == 6 and backtest.stop_after([3, 2, 1, 2, 2, 0.5, 2], 4) == 7 and backtest.stop_after([1], 10) == 1
 
