@@ -609,6 +609,41 @@ def test_empty_tables(spark, odd):
         assert made.count() == 0
 
 
+def test_chats_of_no_rows_and_clashing_names(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho <|x")], "conv_id long, turn int, role string, text string")
+    named = turns.withColumns({c: F.lit(9) for c in ("formatted", "loss", "turns", "block", "n", "start", "t")})
+    plain, clash = (chat.read_chats(chat.format_chats(df)).first() for df in (turns, named))
+    assert plain == clash and plain.loss_text == "ho <|x" and chat.format_chats(turns.limit(0)).count() == 0
+    digest = chat.chat_digest(named.limit(0)).collect()
+    assert [(r.conv_id, r.n_turns) for r in digest] == [(-1, 2)]
+
+
+def test_pipeline_of_no_rows_extra_columns_and_a_long_text(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    long = docs.limit(1).withColumns({"doc_id": F.lit(10**9).cast("long"), "text": F.concat(F.repeat(F.concat("text", F.lit("\n")), 40), F.lit("le la de et un "))})
+    wide = docs.unionByName(long).withColumns({c: F.lit(1) for c in ("row_key", "cut", "band", "comp", "kept", "score", "lang_pred", "n_lines")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide.limit(0).select(*docs.columns), small).count() == 0, name
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        a, b = (stage(spark, df, small) for df in (wide, wide.select(*docs.columns)))
+        assert a.columns == b.columns == docs.columns and a.select("doc_id", "text").exceptAll(b.select("doc_id", "text")).count() == 0, name
+
+
+def test_shuffles_are_uniform(spark):
+    """Over many seeds, each row is in each shard and in each slot equally often, and pairs of rows are as often together as
+    chance has it."""
+    n, shards, seeds = 24, 3, 60
+    rows = spark.range(n).select(F.col("id").alias("doc_id")).coalesce(2)
+    made = [sharding.shuffle_shards(rows, shards, seed).toPandas().assign(seed=seed) for seed in range(seeds)]
+    whole = pd.concat(made)
+    chi = lambda table, expected: ((table - expected) ** 2 / expected).to_numpy().sum()
+    by_shard = whole.groupby(["doc_id", "shard"]).size().unstack(fill_value=0)
+    by_slot = whole.groupby(["doc_id", "slot"]).size().unstack(fill_value=0)
+    assert chi(by_shard, seeds / shards) < 110 and chi(by_slot, seeds * shards / n) < 260  # 46 and 161 degrees of freedom, one in 10^5
+    together = sum(m.shard[m.doc_id == 0].iloc[0] == m.shard[m.doc_id == 1].iloc[0] for m in made)
+    assert abs(together - seeds * 7 / 23) < 17
+
+
 def test_pipeline_stages(spark, small, odd):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
