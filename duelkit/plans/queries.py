@@ -662,7 +662,9 @@ def elo_quality_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Winner-oriented records tell the outcome, and ids are names here: models see neither.
 LEAKS = ["player1_id", "player2_id", "h2h_smoothed_diff", "h2h_surface_smoothed_diff"]
 #: First day of contests for models, as the tables have it, and of the sliding test blocks: 10,000 rows come before it at sf 0.01.
-DATA_START, SLIDING_START = "1992-01-01", "1997-11-01"
+DATA_START, SLIDING_START = "1992-01-01", "2000-10-02"
+#: Origins of the models; at sf 0.01 two have enough rows.
+MODEL_CUTOFFS = [*CUTOFFS, "1999-01-01"]
 
 
 def _for_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -679,20 +681,20 @@ def _summary(spark: SparkSession, sf_dir: str, cutoffs: list[str]) -> DataFrame:
 @register()
 def walk_forward_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees of all selected features against the Elo and rank baselines at every accepted origin: rows, metrics, gains."""
-    return _summary(spark, sf_dir, CUTOFFS)
+    return _summary(spark, sf_dir, MODEL_CUTOFFS)
 
 
 @register()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the gain in the boosted trees of the latest accepted origin, and which features were never used."""
     df, features = _for_models(spark, sf_dir)
-    return backtest.latest_importance(df, CUTOFFS, features, DATA_START)
+    return backtest.latest_importance(df, MODEL_CUTOFFS, features, DATA_START)
 
 
 @register()
 def bootstrap_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the mean gains in accuracy and log-loss over the origins: boosted trees over Elo and rank, Elo over rank."""
-    summary = _summary(spark, sf_dir, CUTOFFS)
+    summary = _summary(spark, sf_dir, MODEL_CUTOFFS)
     out = None
     for c in [c for c in summary.columns if "_gain_" in c]:
         made = bets.bootstrap_mean(summary.select("origin", c), c).select(F.lit(c).alias("gain"), F.col("roi_mean").alias("mean_gain"), F.col("roi_low").alias("low"), F.col("roi_high").alias("high"))
