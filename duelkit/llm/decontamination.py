@@ -67,8 +67,8 @@ class Windows:
     def __init__(self, names: list[str], words: np.ndarray, ends: np.ndarray, window: int):
         self.items = sorted(set(names), key=lambda s: s.encode())
         place = {name: i for i, name in enumerate(self.items)}
-        self.words, letters = np.unique(words, return_inverse=True)
-        text = _code(letters + FIRST)
+        self.words, letters = np.unique(np.append(words, 0), return_inverse=True)  # never empty
+        text = _code(letters[:-1] + FIRST)
         number: dict[str, int] = {}
         found: list[set[int]] = []
         bounds = [0, *ends.tolist()]
@@ -203,13 +203,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     for i in range(max(n, 1)):
         own = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(max(n, 1))) == i).toArrow()
         words = own["words"].combine_chunks()
-        ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) if len(own) else np.zeros(0, np.int64)
-        values = words.flatten().to_numpy(zero_copy_only=False) if len(own) else np.zeros(0, np.int64)
-        if not len(own):
-            values, ends, names = np.zeros(1, np.int64), np.zeros(0, np.int64), []
-        else:
-            names = own["item"].to_pylist()
-        model = docs.sparkSession.sparkContext.broadcast((names, values, ends, window))
+        ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        model = docs.sparkSession.sparkContext.broadcast((own["item"].to_pylist(), words.flatten().to_numpy(zero_copy_only=False), ends, window))
         key = "doc_id" if n <= 1 else "row"
         part = rows.select(key, "text").mapInArrow(_scan(uuid.uuid4().hex, model, key), f"{key} {id_type if n <= 1 else 'long'}, {FOUND}")
         found = part if found is None else found.unionByName(part)
@@ -220,6 +215,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the spans."""
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
     names = F.array_join("items", ",")
     return decontaminate(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated")
