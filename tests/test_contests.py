@@ -233,6 +233,25 @@ def test_walk_forward_of_every_origin(spark):
     assert backtest.mean_gains(summary).first()["accuracy_gain_full_rank"] == pytest.approx(np.mean([r["accuracy_gain_full_rank"] for r in got.values()]), abs=1e-6)
 
 
+def test_loads_at_decimal_ties(spark, monkeypatch):
+    """Gaps of whole half-lives make loads exact ties; the last digit is that of the SQL's closed form, in any block."""
+    rows = [(p, p % 2 * 16 + i, d, n, 10.0 * n) for p, (a, b) in enumerate([(1, 1), (3, 2), (5, 2), (2, 4)]) for i, (d, n) in enumerate([(0, a), (42, b), (56, 0)])]
+    df = spark.createDataFrame(rows, "player_id long, i int, day int, sets int, minutes double")
+    sums = ", ".join(f"round(coalesce(sum({c} * exp(ln(2) / 14 * day)) OVER w * exp(-ln(2) / 14 * day), 0), {n}) AS {c}" for c, n in (("sets", 3), ("minutes", 2)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (player_id BIGINT, i INT, day INT, sets INT, minutes DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", rows)
+    want = sorted(con.execute(f"SELECT player_id, i, {sums} FROM t WINDOW w AS (PARTITION BY player_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").fetchall())
+    assert want[2][2] == 0.562  # 9 / 16 is half a digit more than it
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 1000)
+    got = fatigue.fatigue_ema(df, ["i"]).select("player_id", "i", "fatigue_ema_sets", "fatigue_ema_minutes").collect()
+    assert sorted(map(tuple, got)) == want
+    # contests beyond the first ones, and long after the first, are those of the scan
+    monkeypatch.setattr(fatigue, "EARLY", 2)
+    late = fatigue.fatigue_ema(df, ["i"]).select("player_id", "i", "fatigue_ema_sets").collect()
+    assert sorted(map(tuple, late)) == [(p, i, pytest.approx(x, abs=1.1e-3)) for p, i, x, _ in want]
+
+
 def test_models_without_enough_rows(spark, small):
     """At sf 0.001 no origin has enough rows: no rows come out; the feature table is a stage that the queries share."""
     assert QUERIES["feature_importance"](spark, small).count() == 0 and QUERIES["walk_forward_models"](spark, small).count() == 0
