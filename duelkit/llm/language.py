@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import crc_of_id, kept, parts
+from .common import crc_of_id, held, kept, parts, release
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The bounded sample that the model is fitted on: labelled documents of about so many bytes of text.
@@ -53,6 +53,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     total: Counter = Counter()
     for batch in parts(batches, "text"):
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -173,15 +174,8 @@ class Scorer(dict):
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(name: str, shared: Broadcast) -> Scorer:
-    """One for each worker and model, whatever the number of its tasks."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(shared.value)
-    return _SCORERS[name]
+    return held(("scorer", name), lambda: Scorer(shared.value))
 
 
 def classify(text: str | None, scorer: Scorer) -> tuple[str, float]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, let, parts
+from .common import kept, let, parts, release
 from .tokens import chunks, mix, sets, spans, utf8
 
 #: Words that a common block must have if many documents share it. Chance does not repeat so many, and boilerplate lines
@@ -87,6 +87,7 @@ def _tagged(hashes: np.ndarray, kind: int) -> np.ndarray:
 
 def _lines(least: int, rare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in parts(batches, "text"):
             flat, offsets = utf8(batch["text"])
             for a, b in chunks(offsets):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate, pairwise
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import parts
+from .common import held, parts
 
 #: Words whose ids a worker remembers, those used last.
 CACHE_WORDS = 800_000
@@ -76,10 +75,8 @@ class _Ids(dict):
             self.update((c, data[cut[k] : cut[k + 1]]) for k, c in enumerate(part))
 
 
-@lru_cache(maxsize=1)
 def _ids(path: str) -> _Ids:
-    """One for each worker, whatever the number of its tasks."""
-    return _Ids(path)
+    return held(("ids", path), lambda: _Ids(path))
 
 
 def split(text: str | None) -> list[str]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, parts
+from .common import kept, parts, release
 from .tokens import chunks, grams, mix, sets, utf8, words
 
 SHINGLE = 5
@@ -51,6 +51,7 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in parts(batches, "text"):
         flat, offsets = utf8(batch["text"])
         for a, b in chunks(offsets):

@@ -8,14 +8,17 @@ import math
 import re
 import struct
 import time
+import weakref
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import corpus_pipeline
 import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -183,6 +186,20 @@ def test_small_estimates_keep_their_size():
     assert one[1] > 0.9 > 0.2 > two[1]  # the even share is 10^-14
 
 
+def test_workers_hold_one_thing():
+    """What a worker holds of an earlier stage goes when another begins."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "doc": [1], "row_key": [1], "text": ["a b c d e f"], "lang": ["en"]})
+    for begin in (shingles._signed, language._counts, lines._lines(20, 5)):
+        ids = packing._ids(packing.default_path())
+        assert packing._ids(packing.default_path()) is ids
+        gone = weakref.ref(ids)
+        del ids
+        assert list(begin(iter([batch]))) and gone() is None
+    gone = weakref.ref(packing._ids(packing.default_path()))
+    model = language.Model(["en"], [pa.array([], pa.string())] * 5, np.zeros((5, 1)), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    assert language._scorer(model.name, SimpleNamespace(value=model)) is not None and gone() is None
+
+
 def test_packing(spark, small, texts, odd):
     tokenizer = Tokenizer.from_file(packing.default_path())
     tokenizer.encode_special_tokens = True
