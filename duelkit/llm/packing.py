@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
@@ -25,8 +26,8 @@ SCHEMA = "row_key long, doc_id long, start long, length long, doc_tokens long, o
 _MARK = re.compile("[\u0300-\u036f]")
 
 
-#: Words of Latin letters that fold and compose one by one, perhaps with a stop or comma.
-_PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+#: Words of Latin letters that fold and compose one by one, perhaps with ASCII marks after them.
+_PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[" + re.escape(string.punctuation) + "]*")
 #: The letters by which byte-level models write bytes that aren't printable: 256 and on, in order.
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
@@ -43,26 +44,34 @@ class _Ids(dict):
         self.tokenizer.encode_special_tokens = True  # control strings in texts are ordinary text
         self.old: dict[str, bytes] = {}
 
+    def _new(self, chunks: set[str]) -> set[str]:
+        """Those that aren't remembered; what the older half has moves to the newer."""
+        new = chunks.difference(self)
+        if not self.old:
+            return new
+        unseen = new.difference(self.old)
+        known = new - unseen
+        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        return unseen
+
     def learn(self, chunks: set[str]) -> None:
         if len(self) > CACHE_WORDS // 2:
             self.old = dict(self)
             self.clear()
-        new = {c for c in chunks if c not in self}
-        if self.old:
-            known = new & self.old.keys()
-            self.update((c, self.old[c]) for c in known)
-            new -= known
-        plain = [c for c in new if _PLAIN.fullmatch(c)]
-        self._learn_mixed([*new.difference(plain), *(c for c in ".," if c not in self and c not in new)])
-        # letters are one word for the model; a stop or comma is one of its own
-        words = [w for w in {c.rstrip(".,") for c in plain} if w not in self]
-        if words:
-            letters = "!".join(words).lower().encode().decode("latin-1").translate(_BYTES).split("!")
-            found = list(map(self.tokenizer.model.tokenize, letters))
+        new = self._new(chunks)
+        plain = list(filter(_PLAIN.fullmatch, new))
+        # letters are one word for the model; the marks after them, with no letter behind, are another
+        letters = [c.rstrip(string.punctuation) for c in plain]
+        marks = [c[len(w) :] for c, w in zip(plain, letters, strict=True)]
+        self._learn_mixed([*new.difference(plain).union(self._new(set(marks) - {""}))])
+        if words := self._new(set(letters)):
+            ascii_, other = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
+            spelt = ascii_ + ("!".join(other).lower().encode().decode("latin-1").translate(_BYTES).split("!") if other else [])
+            found = list(map(self.tokenizer.model.tokenize, spelt))
             data = np.array([t.id for got in found for t in got], "<u4").tobytes()
             places = accumulate((4 * len(got) for got in found), initial=0)
-            self.update((w, data[i:j]) for w, (i, j) in zip(words, pairwise(places), strict=True))
-        self.update((c, self[c[:-1]] + self[c[-1]]) for c in plain if c[-1] in ".,")
+            self.update((w, data[i:j]) for w, (i, j) in zip(ascii_ + other, pairwise(places), strict=True))
+        self.update((c, self[w] + self[m]) for c, w, m in zip(plain, letters, marks, strict=True) if m)
 
     def _learn_mixed(self, new: list[str]) -> None:
         for i in range(0, len(new), 5000):
@@ -84,7 +93,9 @@ def split(text: str | None) -> list[str]:
 
     The tokenizer folds case itself; folding A-Z first makes more chunks equal and changes no id, unless a mark follows."""
     text = text or ""
-    if not _MARK.search(text):
+    if text.isascii():
+        text = text.lower()
+    elif not _MARK.search(text):
         text = text.encode().lower().decode()  # bytes fold A-Z alone
     return text.replace("\n", " ").split(" ")
 

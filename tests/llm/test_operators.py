@@ -186,6 +186,20 @@ def test_small_estimates_keep_their_size():
     assert one[1] > 0.9 > 0.2 > two[1]  # the even share is 10^-14
 
 
+def test_ids_of_words_with_marks_behind(monkeypatch):
+    """Words with any ASCII marks after them go to the model by themselves; all ids are the tokenizer's, in both halves of the memory."""
+    seen = []
+    monkeypatch.setattr(packing, "CACHE_WORDS", 12)
+    monkeypatch.setattr(packing._Ids, "_learn_mixed", lambda self, new, real=packing._Ids._learn_mixed: (seen.extend(new), real(self, new))[1])
+    text = "eranes$$$ menteque,%%% señor*** thing'' can't ''s it's, a.b x'&t <|endoftext|> É!! e\u0301. Ña###\nwhat?' rock-n-roll @@ 12. ok.. wörld<| l'$ ._"
+    tokenizer = Tokenizer.from_file(packing.default_path())
+    tokenizer.encode_special_tokens = True
+    ids = packing._Ids(packing.default_path())
+    for part in (text, *text.split(" "), text.upper(), text):
+        assert np.frombuffer(packing.token_bytes([part], ids, 1)[0], "<u4").tolist() == [*tokenizer.encode(part, add_special_tokens=False).ids, 1]
+    assert ids.old and not {"eranes$$$", "menteque,%%%", "thing''", "what?'"} & set(seen)
+
+
 def test_workers_hold_one_thing():
     """What a worker holds of an earlier stage goes when another begins."""
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "doc": [1], "row_key": [1], "text": ["a b c d e f"], "lang": ["en"]})
