@@ -252,6 +252,14 @@ def test_loads_at_decimal_ties(spark, monkeypatch):
     assert sorted(map(tuple, late)) == [(p, i, pytest.approx(x, abs=1.1e-3)) for p, i, x, _ in want]
 
 
+def test_loads_at_decimal_ties_among_undated_contests(spark):
+    """Contests without a day, even the first, change nothing of it."""
+    rows = [(1, 0, None, 9, 9.0), (1, 1, 100, 1, 10.0), (1, 2, None, 7, 70.0), (1, 3, 142, 1, 10.0), (1, 4, 156, 0, 0.0)]
+    df = spark.createDataFrame(rows, "player_id long, i int, day int, sets int, minutes double")
+    got = {r.i: r.fatigue_ema_sets for r in fatigue.fatigue_ema(df, ["i"]).collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 0.0, 3: 0.125, 4: 0.562}
+
+
 def test_models_without_enough_rows(spark, small):
     """At sf 0.001 no origin has enough rows: no rows come out; the feature table is a stage that the queries share."""
     assert QUERIES["feature_importance"](spark, small).count() == 0 and QUERIES["walk_forward_models"](spark, small).count() == 0
