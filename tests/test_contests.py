@@ -260,6 +260,16 @@ def test_loads_at_decimal_ties_among_undated_contests(spark):
     assert got == {0: 0.0, 1: 0.0, 2: 0.0, 3: 0.125, 4: 0.562}
 
 
+def test_loads_at_decimal_ties_after_other_features(spark):
+    """As the feature table makes them: after rest and load of 30 days, in an order of several columns, whatever the rows' partitions."""
+    rows = [(p, "w", d, d, n, 10.0 * n) for p in range(5) for d, n in ((0, 1), (42, 1), (56, 0))]
+    df = spark.createDataFrame(rows, "player_id long, side string, day int, match_num int, sets int, minutes double").repartition(7, "day")
+    order = ["day", "match_num"]
+    got = fatigue.fatigue_ema(fatigue.load_30_days(fatigue.rest_days(df, order), order), order)
+    assert {(r.day, r.fatigue_ema_sets) for r in got.collect()} == {(0, 0.0), (42, 0.125), (56, 0.562)}
+    assert not [c for c in got.columns if c.startswith("_")]
+
+
 def test_models_without_enough_rows(spark, small):
     """At sf 0.001 no origin has enough rows: no rows come out; the feature table is a stage that the queries share."""
     assert QUERIES["feature_importance"](spark, small).count() == 0 and QUERIES["walk_forward_models"](spark, small).count() == 0
