@@ -270,6 +270,31 @@ def test_loads_at_decimal_ties_after_other_features(spark):
     assert not [c for c in got.columns if c.startswith("_")]
 
 
+def test_loads_at_decimal_ties_late_in_careers(spark, monkeypatch):
+    """Ties after a hundred contests and after twenty years, as long gaps leave few contests that count; groups of any size carry on."""
+    rng = np.random.default_rng(5)
+    rows = pd.concat([pd.DataFrame({"player_id": p, "day": 8000 + np.cumsum(rng.choice(gaps, n)), "sets": rng.integers(0, 6, n)}) for gaps, n, first in
+        (([0] * 20 + [7] * 20 + [14] * 20 + [28] * 8 + [700] * 2, 100, 0), ([14, 28, 56, 84, 500], 50, 1000)) for p in range(first, first + 100)], ignore_index=True)
+    rows = rows.assign(i=np.arange(len(rows)), minutes=10.0 * rows.sets)
+    con = duckdb.connect()
+    want = con.execute("SELECT player_id, i, round(coalesce(sum(sets * exp(ln(2) / 14 * s)) OVER w * exp(-ln(2) / 14 * s), 0), 3) AS sets, s FROM (SELECT *, day - min(day) OVER (PARTITION BY player_id) AS s FROM rows)"
+        " WINDOW w AS (PARTITION BY player_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ORDER BY i").fetchdf()
+    assert 7000 < want.s.max() < fatigue.EARLY_DAYS
+    df = spark.createDataFrame(rows)
+    got = fatigue.fatigue_ema(df, ["i"]).select("i", "fatigue_ema_sets").toPandas().sort_values("i")
+    assert list(got.fatigue_ema_sets) == list(want.sets)
+    monkeypatch.setattr(fatigue, "EARLY", 7)
+    got = fatigue.fatigue_ema(df, ["i"]).select("i", "fatigue_ema_sets").toPandas().sort_values("i")
+    assert list(got.fatigue_ema_sets) == pytest.approx(list(want.sets), abs=1.1e-3)
+
+
+def test_loads_when_days_do_not_rise(spark):
+    """Days far before the first one in the order overflow no weights."""
+    df = spark.createDataFrame([(1, 0, 40_000, 2, 9.0), (1, 1, 100, 1, 10.0), (1, 2, 40_014, 0, 0.0)], "player_id long, i int, day int, sets int, minutes double")
+    got = {r.i: r.fatigue_ema_sets for r in fatigue.fatigue_ema(df, ["i"]).collect()}
+    assert got[0] == 0.0 and got[2] == 1.0
+
+
 def test_models_without_enough_rows(spark, small):
     """At sf 0.001 no origin has enough rows: no rows come out; the feature table is a stage that the queries share."""
     assert QUERIES["feature_importance"](spark, small).count() == 0 and QUERIES["walk_forward_models"](spark, small).count() == 0
