@@ -213,6 +213,19 @@ def test_symmetry(spark, small):
     assert (np.where(first, back.player1_id, back.player2_id) == back.winner_id).all() and 0.4 < first.mean() < 0.6
 
 
+def test_certain_forecasts_have_the_sqls_loss(spark, small, tmp_path):
+    """Ranks so far apart that probabilities are 0 and 1 (as at sf 0.1): the loss is infinite where one is wrong. Clipped, it isn't."""
+    con = duckdb.connect()
+    for name, key in (("lineitem", "l_suppkey"), ("supplier", "s_suppkey"), ("orders", None)):
+        con.execute(f"CREATE VIEW {name} AS SELECT * {f'REPLACE ({key} * 500 AS {key})' if key else ''} FROM '{small}/{name}.parquet'")
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got, want = QUERIES["classification_metrics"](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL["classification_metrics"]).fetchdf()
+    assert np.isinf(want.log_loss).any()
+    pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False)
+    rows = spark.createDataFrame([("a", 0.0, 1), ("a", 1.0, 1), ("b", 0.0, 0), ("b", 1.0, None)], "g string, prob double, target_player1_won int")
+    assert {r.g: r.log_loss for r in backtest.classification_metrics(rows, ["g"]).collect()} == {"a": pytest.approx(-math.log(1e-15) / 2, abs=1e-6), "b": 0.0}
+
+
 def test_walk_forward_of_every_origin(spark):
     """Rows, metrics and gains of every accepted origin (few rounds here); one with too few rows has none."""
     df = tables.kept(queries._model(spark, "/root/testdata/sf0.01", queries._rated(spark, "/root/testdata/sf0.01")), "model")
