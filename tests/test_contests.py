@@ -510,6 +510,36 @@ def test_levels_and_components(spark):
     assert len(steps) == n // 20  # 20 pairs in turn
 
 
+def test_components_in_two_writes(spark, monkeypatch):
+    """Long chains of several groups: forests of tasks, then of groups, without a write for each round; larger groups go by rounds."""
+    rng = np.random.default_rng(9)
+    pairs = [(g, f"{g}{i:04d}", f"{g}{i + 1:04d}") for g in "xyz" for i in range(600) if i % 200 != 150] + [("x", "lone", "lone")]
+    df = spark.createDataFrame([pairs[i] for i in rng.permutation(len(pairs))], "g string, a string, b string").repartition(5)
+    want = {(g, n): n if n == "lone" else f"{g}{max(x for x in (0, 151, 351, 551) if x <= int(n[1:])):04d}" for g, a, b in pairs for n in (a, b)}
+    written = []
+    monkeypatch.setattr(graph, "kept", lambda df, name: written.append(name) or tables.kept(df, name))
+    monkeypatch.setattr(graph, "STEP", 50)
+    found = lambda: {(r.g, r.node): r.comp for r in graph.components(df, ["g"]).collect()}
+    assert found() == want and written == ["links", "labels"]
+    monkeypatch.setattr(graph, "FEW", 10)
+    assert found() == want
+
+
+def test_slices_are_read_alone(spark, small):
+    """Each slice of the ladders has a folder of its own; only the kinds asked for are rated, as with all of them."""
+    m = matches(spark, small)
+    read = []
+    dealt, ratings._dealt = ratings._dealt, lambda rows, *a: read.append([r.path for r in rows.select(F.input_file_name().alias("path")).distinct().collect()]) or dealt(rows, *a)
+    try:
+        some = ratings.rate(m, ORDER, slice_rows=500, kinds=("elo", "clutch_elo"))[0]
+    finally:
+        ratings._dealt = dealt
+    assert len(read) == 3 and all(f"_slice={i}/" in path for i, files in enumerate(read) for path in files)
+    shown = ["match_num", "winner_elo_pre", "loser_elo_pre", "winner_clutch_elo_pre", "loser_clutch_elo_pre", "elo_prob_winner"]
+    assert sorted(map(str, some.select(shown).collect())) == sorted(map(str, ratings.elo(m, ORDER).select(shown).collect()))
+    assert "winner_surface_elo_pre" not in some.columns
+
+
 def test_ties_keep_each_row_apart(spark):
     """Contests of one date and number: a player's first contest shows none before, whichever comes first."""
     rows = [("2020-01-01", 1, "a", "b"), ("2020-01-01", 1, "c", "d"), (None, 1, "a", "c"), ("2020-01-01", 1, "a", "d")]
