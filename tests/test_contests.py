@@ -308,6 +308,16 @@ def test_loads_when_days_do_not_rise(spark):
     assert got[0] == 0.0 and got[2] == 1.0
 
 
+def test_block_windows_are_counted_rows(spark):
+    """Arithmetic of blocks gives what counting the rows of all blocks gives, also where the table begins and ends; it takes a row a part."""
+    for n, first, offset in ((3000, 100, 0), (3000, 2999, 20), (900, 0, -90), (40, 40, 0)):
+        sizes = {"test_rows": 90, "step": 300, "train_rows": 1000, "offset": offset}
+        rows = backtest.block_rows(spark.range(n).withColumnRenamed("id", "seq"), n, first, **sizes).groupBy("block", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+        assert sorted(map(tuple, backtest.block_windows(spark, n, first, **sizes).collect())) == sorted(map(tuple, rows.collect()))
+    many = backtest.block_windows(spark, 50_000_000, 1_000_000)  # blocks hold 1.6e11 rows together
+    assert many.agg(F.sum("n")).first()[0] > 1.5e11 and 90_000 < many.count() <= 3 * 32_667
+
+
 def test_models_without_enough_rows(spark, small):
     """At sf 0.001 no origin has enough rows: no rows come out; the feature table is a stage that the queries share."""
     assert QUERIES["feature_importance"](spark, small).count() == 0 and QUERIES["walk_forward_models"](spark, small).count() == 0
