@@ -6,9 +6,10 @@ Of a pair it is the contests and the wins of its first player, in all and by sur
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
-from duelkit.operators import fatigue, form, h2h
+from duelkit.operators import fatigue, form, h2h, scan
 from duelkit.sources.tables import kept
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,20 +34,25 @@ def recent(pm: DataFrame, order: list[str], day: str = "day") -> DataFrame:
     return told.where((F.col("valid") & (F.col("_back") <= form.LAST)) | (F.col(day) >= F.col("_last") - REACH)).drop("_back", "_last")
 
 
-def player_features(pm: DataFrame, order: list[str], store: Store | None = None, digits: int = 4) -> tuple[DataFrame, Store]:
-    """All form and workload features of the new rows ``pm`` (of :func:`form.serve_return_metrics`, with ``day, elo, o_elo, sets,
-    minutes``), and the store after them. ``order`` orders rows without ties, and new rows come after those of the store.
+def player_features(pm: DataFrame, order: list[str], store: Store | None = None, digits: int = 4, keep: Sequence[str] | None = None, after: bool = True, metrics: Sequence[str] = form.METRICS) -> tuple[DataFrame, Store | None]:
+    """All form and workload features (of them ``keep``, if given) of the new rows ``pm`` (of :func:`form.serve_return_metrics`, with ``day, elo, o_elo, sets,
+    minutes``), and the store after them (none without ``after``). ``order`` orders rows without ties, and new rows come after those of the store.
 
-    Features are the same whether history comes in one run or in several."""
+    ``metrics`` are those whose form is asked for; a store serves these ones. Features are the same whether history comes in one run or in several."""
     source = pm.columns
+    wanted = lambda df: df if keep is None else df.select(*[c for c in df.columns if c in source or c in ("_new", "_row", "_block") or c in keep])
     new = pm.withColumn("_new", F.lit(True))
     wide = new if store is None else new.unionByName(store.rows.select(*source).withColumn("_new", F.lit(False)))
     start = None if store is None else store.players
-    out = form.hard_12_months(form.opponent_quality(form.rolling(wide, order, digits), order), digits=digits)
-    out = fatigue.load_30_days(fatigue.rest_days(out, order), order).where("_new").drop("_new")
-    out, averages = form.exponential_from(out, order, own="elo", other="o_elo", digits=digits, start=start)
-    out, loads = fatigue.fatigue_from(out, order, start=start)
-    out, streaks = form.streak_from(out, order, start=start)
+    out = scan.in_blocks(wide, order)  # one numbering for both scans, of narrow rows
+    out = form.hard_12_months(form.opponent_quality(form.rolling(out, order, digits, metrics), order), digits=digits, metrics=metrics)
+    out = wanted(fatigue.load_30_days(fatigue.rest_days(out, order), order)).where("_new").drop("_new")
+    out, averages = form.exponential_from(out, order, own="elo", other="o_elo", digits=digits, start=start, metrics=metrics)
+    out, loads = fatigue.fatigue_from(wanted(out), order, start=start)
+    out, streaks = form.streak_from(wanted(out), order, start=start)
+    out = wanted(out).drop("_row", "_block")
+    if not after:
+        return out, None
     players = averages.join(loads, "player_id").join(streaks, "player_id")
     if store is not None:
         players = players.unionByName(store.players.join(players.select("player_id"), "player_id", "left_anti"))

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from duelkit.functions import names, values
-from duelkit.operators import backtest, bets, clean, dataset, fatigue, form, graph, h2h, odds, ordering, profile, ratings, scan
+from duelkit.operators import backtest, bets, clean, dataset, fatigue, form, graph, h2h, history, odds, ordering, profile, ratings, scan
 from duelkit.plans import queries
 from duelkit.plans.fixture import ORDER, matches, player_matches
 from duelkit.plans.queries import ORACLE_SQL, QUERIES
@@ -308,6 +308,25 @@ def test_loads_when_days_do_not_rise(spark):
     assert got[0] == 0.0 and got[2] == 1.0
 
 
+def test_only_what_is_asked_for(spark, small, monkeypatch):
+    """Features of some metrics are those of all; both scans of stored state share one numbering, and nothing else is written."""
+    pm = form.serve_return_metrics(queries._loaded(spark, small))
+    named = lambda df, columns: sorted(map(str, df.select("match_num", "side", *columns).collect()))
+    shown = ["ema_n", "ema_hold_pct", "ema_long_hold_pct", "delta_form_hold_pct", "quality_ema", "quality_ema_n"]
+    rated = {"own": "elo", "other": "o_elo"}
+    whole = form.exponential(pm, ORDER, **rated)
+    assert named(form.exponential(pm, ORDER, metrics=["hold_pct"], **rated), shown) == named(whole, shown)
+    assert named(form.exponential(pm, ORDER, metrics=[], **rated), shown[-2:]) == named(whole, shown[-2:])
+    written = []
+    keep = lambda df, name, *a: written.append((name, df.columns)) or tables.kept(df, name, *a)
+    for module in (ordering, scan, history):
+        monkeypatch.setattr(module, "kept", keep)
+    got, store = history.player_features(pm, ORDER, keep=["rest_days", "ema_hold_pct"], after=False, metrics=["hold_pct"])
+    assert store is None and [name for name, _ in written] == ["ordered", "scanned", "scanned"]
+    assert not any(c.startswith(("r10_", "hard_12mo_", "_ema_ret")) for _, columns in written for c in columns)
+    assert named(got, ["ema_hold_pct"]) == named(whole, ["ema_hold_pct"]) and not {"_row", "_block", "streak"} & set(got.columns)
+
+
 def test_block_windows_are_counted_rows(spark):
     """Arithmetic of blocks gives what counting the rows of all blocks gives, also where the table begins and ends; it takes a row a part."""
     for n, first, offset in ((3000, 100, 0), (3000, 2999, 20), (900, 0, -90), (40, 40, 0)):
